@@ -157,12 +157,12 @@ def partition_offsets(counts: DataFrame, order: list[str], n: str, name: str) ->
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     local = materialize(counts.repartitionByRange(shuffles, *order).sortWithinPartitions(*order).mapInArrow(running, schema), name)
     sums = sorted(local.groupBy("part").agg(F.max(F.col("start") + F.col(n)).alias("s")).collect())
-    base, total = {}, 0
+    base, total = [], 0
     for r in sums:
-        base[r["part"]] = total
+        base.append((r["part"], total))
         total += r["s"]
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("part")) if base else F.lit(0)
-    return local.select(*names, (F.col("start") + shift).cast("long").alias("start"))
+    shift = spark.createDataFrame(base, "part int, shift long")
+    return local.join(F.broadcast(shift), "part").select(*names, (F.col("start") + F.col("shift")).alias("start"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
+from mnemora.llm.packing import op8_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_media": op5_media,
+    "op8_packing": op8_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
