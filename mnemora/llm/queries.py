@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
 from mnemora.llm.packing import op8_packing
+from mnemora.llm.secrets import op9_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op5_media": op5_media,
     "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
