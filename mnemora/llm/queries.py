@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemora.llm.lm import op7_lm_scoring
 from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
 from mnemora.llm.packing import op8_packing
@@ -14,6 +15,7 @@ from mnemora.llm.secrets import op9_secrets
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op5_media": op5_media,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
