@@ -11,6 +11,7 @@ from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
 from mnemora.llm.packing import op8_packing
 from mnemora.llm.secrets import op9_secrets
+from mnemora.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
@@ -18,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
