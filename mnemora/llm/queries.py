@@ -10,11 +10,13 @@ from mnemora.llm.lm import op7_lm_scoring
 from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
 from mnemora.llm.packing import op8_packing
+from mnemora.llm.quality import op4_quality
 from mnemora.llm.secrets import op9_secrets
 from mnemora.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op4_quality": op4_quality,
     "op5_media": op5_media,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
