@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemora.llm.decontaminate import op2_decontamination
+from mnemora.llm.line_dedup import op3_line_dedup
 from mnemora.llm.lm import op7_lm_scoring
 from mnemora.llm.media import op5_media
 from mnemora.llm.near_dedup import op1_near_dedup
@@ -18,6 +19,7 @@ from mnemora.llm.warc import OP10_SQL, op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_media": op5_media,
     "op7_lm_scoring": op7_lm_scoring,
