@@ -14,6 +14,7 @@ from mnemora.llm.near_dedup import op1_near_dedup
 from mnemora.llm.packing import op8_packing
 from mnemora.llm.quality import op4_quality
 from mnemora.llm.secrets import op9_secrets
+from mnemora.llm.shards import op6_shards
 from mnemora.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_media": op5_media,
+    "op6_shards": op6_shards,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
