@@ -98,23 +98,30 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", html:
     spark = df.sparkSession
     spark_root = new_path(spark, "warc")
     pages = df.select(F.col(page).alias("page"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
+    pages = pages.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long")).withColumn("key", key_column(F.col("url")))
     # small pre-aggregated rows; hot digests meet their copies salted
-    twice = pages.where((F.col("size") >= least) & F.col("page").isNotNull()).select("digest", "size", "page").groupBy("digest", "size").agg(F.max("page").alias("best"), F.count("*").alias("c")).where("c > 1")
+    small = pages.where((F.col("size") >= least) & F.col("page").isNotNull()).select("digest", "size", "page", "key")
+    twice = small.groupBy("digest", "size").agg(F.max("page").alias("best"), F.count("*").alias("c")).where("c > 1")
     twice = twice.select(F.col("digest").alias("d2"), F.col("size").alias("s2"), "best", F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("salt2"))
-    refers = pages.where((F.col("size") >= least) & F.col("page").isNotNull()).select("digest", "size", "page").withColumn("salt", F.pmod(F.hash("page"), F.lit(SALT))).join(twice, F.expr("digest = d2 and size = s2 and salt = salt2 and page <> best")).select(F.col("page").alias("p2"), "best").distinct()
-    whole = pages.join(refers, F.col("page") == F.col("p2"), "left").withColumn("refers", F.when(F.col("size") >= least, F.col("best")))
-    keyed = whole.withColumn("key", key_column(F.col("url")))
+    refers = small.withColumn("salt", F.pmod(F.hash("page"), F.lit(SALT))).join(twice, F.expr("digest = d2 and size = s2 and salt = salt2 and page <> best"))
+    # a reference travels to its page's place in the order, just before the page, so payloads are shuffled once
+    kind = [F.lit(None).cast(t).alias(n) for n, t in (("url", "string"), ("payload", "binary"))]
+    ahead = refers.select("key", "page", F.lit(0).alias("kind"), *kind, F.col("digest"), F.col("size"), F.col("best").alias("refers")).distinct()
+    rows = pages.select("key", "page", F.lit(1).alias("kind"), "url", "payload", "digest", "size", F.lit(None).cast(pages.schema["page"].dataType).alias("refers"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "key", "page").select("page", "url", "payload", "digest", "size", "refers")
+    dealt = rows.union(ahead).repartitionByRange(parts, "key", "page").sortWithinPartitions("key", "page", "kind").select("page", "kind", "url", "payload", "digest", "size", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        captures, out, at, archive = [], None, 0, ""
+        captures, out, at, archive, ahead = [], None, 0, "", {}
         for b in batches:
-            for p, u, payload, digest, size, refers in zip(*[b.column(i).to_pylist() for i in range(6)], strict=True):
+            for p, kind, u, payload, digest, size, refers in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+                if not kind:
+                    ahead = {k: v for k, v in ahead.items() if k[0] == p} | {(p, digest, size): refers}
+                    continue
+                refers = ahead.get((p, digest, size))
                 if out is None:
                     store, root = open_store(spark_root)
                     store.create_dir(root, recursive=True)
