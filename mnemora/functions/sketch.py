@@ -29,7 +29,7 @@ def bloom_build(df: DataFrame, key: str, n: int = 10_000, p: float = 0.01) -> Da
     """The filter as words of 63 bits (word, mask): distinct set bits are OR-ed map-side first."""
     bits, probes = bloom_size(n, p)
     at = df.select(F.explode(_probes(F.col(key), bits, probes)).alias("b"))
-    return at.groupBy(F.floor(F.col("b") / 63).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("b", F.lit(63)).cast("int"))).alias("mask"))
+    return at.groupBy(F.floor(F.col("b") / 63).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(b, 63) as int)))").alias("mask"))
 
 
 def bloom_contains(df: DataFrame, key: str, bloom: DataFrame, n: int = 10_000, p: float = 0.01) -> DataFrame:
