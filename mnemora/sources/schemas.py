@@ -15,7 +15,7 @@ EVIDENCE_TYPES = ("explicit_remember_request", "user_confirmation", "user_correc
 EVIDENCE_SOURCES = ("ingest", "chat", "consolidation", "retrieval", "auditor")
 
 _S, _L, _D, _B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
-_LIST, _VECTOR = T.ArrayType(_S), T.ArrayType(T.FloatType(), False)
+_LIST, _VECTOR = T.ArrayType(_S), T.ArrayType(T.FloatType())
 
 
 def _struct(**columns: T.DataType) -> T.StructType:
