@@ -5,11 +5,12 @@
    value j + r_j, so that an element's ranks are correlated over slots. Rounds j run in lockstep for all elements
    that are still needed; a document ends early, once all its slots are filled.
 2. Rows of one fingerprint are one class, as their sets are equal. Only one row of a class goes on.
-3. Bands of `rows` slots make bucket keys. In each bucket members are compared with pivots only (the smallest member,
-   in later rounds 4, 16, ... of them); members that link to a pivot leave the bucket, as do pivots, until no bucket has two
-   members. So a bucket of k copies costs k - 1 comparisons, and no pairs within a group are emitted.
-   Two members of one bucket that linked to different pivots are compared only where the triangle inequality of the
-   Jaccard distance leaves a link possible and they are not joined already.
+3. Bands of `rows` slots make bucket keys. In each bucket all members are compared with one pivot, the smallest, so k
+   copies cost k - 1 comparisons; links found so far are joined to components. Pairs within one component need no
+   comparison. What is left are members of one bucket in different components. The distances to the pivot are known and
+   the Jaccard distance is a metric, so members of the pivot's component that are nearer to it than any foreign member by
+   more than a link's distance go. The rest are compared by their signatures inside a task, in blocks of bounded size,
+   and only pairs whose signatures agree in `hint` of the slots (six standard deviations below a link's share) go on.
 4. Each compared pair is verified on full sets: 100 * intersection >= percent * union.
 5. Alternating stars find the components.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from mnemora.llm.common import WordHashes, components, materialize, mix64, records, shingle_hashes, table, text_runs, unpack, words_of
 
-BANDS, ROWS = 26, 5
+BANDS, ROWS, BLOCK = 26, 5, 2048
 _R = np.uint64((1 << 48) - 1)
 
 
@@ -97,7 +98,7 @@ def _signer(text: str, k: int, bands: int, rows: int):  # noqa: ANN202
                     for j in range(rows):
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column(text), pa.array(n), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), keys], names=["rec", "row", "text", "n", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column(text), pa.array(n), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), keys, pa.array([x.tobytes() for x in (mix64(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary())], names=["rec", "row", "text", "n", "fp", "bands", "sig"])
 
     return sign
 
@@ -123,6 +124,44 @@ def _verifier(k: int, percent: int):  # noqa: ANN202
     return verify
 
 
+def _comparer(percent: int, hint: int):  # noqa: ANN202
+    """Pairs of one group, of different components and near sizes, whose signatures agree in `hint` slots. Groups come one after the other."""
+
+    def pairs(g: list[np.ndarray]) -> pa.RecordBatch:
+        ids, comp, n, sig = g
+        out_a, out_b = [], []
+        for r in range(len(ids) - 1):
+            m = (comp[r + 1 :] != comp[r]) & (100 * np.minimum(n[r + 1 :], n[r]) >= percent * np.maximum(n[r + 1 :], n[r]))
+            if m.any():
+                c = np.flatnonzero(m) + r + 1
+                c = c[(sig[c] == sig[r]).sum(1) >= hint]
+                out_a.append(np.minimum(ids[c], ids[r]))
+                out_b.append(np.maximum(ids[c], ids[r]))
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([cat(out_a), cat(out_b)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            if not len(g):
+                continue
+            sig = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("sig").to_pylist()])
+            cols = [*[batch.column(c).to_numpy() for c in ("id", "comp", "n")], sig]
+            edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            for a, b in zip(edges, [*edges[1:], len(g)], strict=True):
+                if g[a] != last and held:
+                    yield pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+                    held = []
+                last = g[a]
+                held.append([c[a:b] for c in cols])
+        if held:
+            yield pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return compare
+
+
 def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Columns rec (all of the input row), row (long, unique), n (set size), comp (smallest row of its component).
 
@@ -130,7 +169,7 @@ def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 5, percent
     are linked. Repeated rows, equal ids and null ids don't matter here: rows are told apart by `row`.
     """
     base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("t")).withColumnRenamed("t", "__text")
-    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     s = materialize(base.mapInArrow(_signer("__text", shingle, bands, rows), schema), "smh-rows")
     full = s.where("n > 0")
     classes = full.groupBy("fp").agg(F.min("row").alias("id"), F.min("n").alias("n"))
@@ -147,41 +186,32 @@ def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 5, percent
         got = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         return materialize(got.select("a", "b", "ta", "tb").mapInArrow(_verifier(shingle, percent), "a long, b long, linked boolean, dist double"), "smh-pairs")
 
-    near = F.expr(f"100 * least(x.n, p.n) >= {percent} * greatest(x.n, p.n)")
-    tested: DataFrame | None = None
-    stars: DataFrame | None = None
-    active, pivots = members, 1
-    while not active.isEmpty():
-        pivot = active.groupBy("key", F.expr(f"pmod(hash(x.id), {pivots})").alias("g")).agg(F.min("x").alias("p")).select("key", "p")
-        met = active.join(pivot, "key").select("key", "x", "p", F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"))
-        pairs = met.where(near & F.expr("a != b")).select("a", "b").distinct()
-        tested = verify(pairs) if tested is None else tested.union(verify(pairs.join(tested, ["a", "b"], "left_anti")))
-        met = met.join(tested, ["a", "b"], "left").select("key", "x", "p", "linked", "dist", F.expr("a = b").alias("own"))
-        met = materialize(met.where("own or linked or dist is not null"), "smh-met")
-        stars = met if stars is None else stars.union(met)
-        gone = met.where("own or linked").select("key", "x").distinct()
-        rest = active.join(gone, ["key", "x"], "left_anti")
-        active = materialize(rest.join(rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "smh-active")
-        pivots *= 4
-    links = tested.where("linked").select("a", "b") if tested is not None else None
-    label = None
-    if links is not None:
-        label = components(links, "smh-components")
-        # pairs of one bucket whose pivots left open whether they link
-        side = stars.where("own or linked").select("key", F.col("p.id").alias("pivot"), F.col("x.id").alias("u"), F.when(F.col("own"), 0.0).otherwise(F.col("dist")).alias("du"))
-        limit = 1 - percent / 100 + 1e-9
-        far = stars.where(f"not own and not linked and dist <= {2 * limit}").select("key", F.col("p.id").alias("pivot"), F.col("x.id").alias("w"), F.col("dist").alias("dw"))
-        cand = far.join(side.where("du > 0"), ["key", "pivot"]).where(f"dw - du <= {limit}").select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
-        root = lambda c, n: label.select(F.col("node").alias(c), F.col("label").alias(n))
-        cand = cand.join(root("a", "la"), "a", "left").join(root("b", "lb"), "b", "left").where("coalesce(la, a) != coalesce(lb, b)").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        cand = materialize(cand, "smh-open")
-        if not cand.isEmpty():
-            more = verify(cand).where("linked").select("a", "b")
-            if not more.isEmpty():
-                label = components(links.union(more), "smh-components")
-        classes = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("label", "id").alias("comp"))
-    else:
-        classes = classes.select("fp", F.col("id").alias("comp"))
+    limit = 1 - percent / 100 + 1e-9  # the distance of a link
+    pivot = members.groupBy("key").agg(F.min("x").alias("p"))
+    met = members.join(pivot, "key").select("key", "x", "p", F.least("x.id", "p.id").alias("a"), F.greatest("x.id", "p.id").alias("b"), F.expr("1 - least(x.n, p.n) / greatest(x.n, p.n)").alias("low"))
+    tested = verify(met.where(F.expr(f"a <> b and low <= {limit}")).select("a", "b").distinct())
+    links = tested.where("linked").select("a", "b")
+    label = components(links, "smh-components")
+    met = met.join(tested, ["a", "b"], "left").select("key", F.col("x.id").alias("id"), F.expr("a = b").alias("own"), F.expr("case when a = b then 0.0D else dist end").alias("dist"), "low")
+    met = materialize(met.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label"), "smh-met")
+    # buckets with members of several components, without what the pivot's distances rule out
+    open_ = met.groupBy("key").agg(F.max(F.when(F.col("own"), F.col("comp"))).alias("pc"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key", "pc")
+    rest = materialize(met.where("not own").join(open_, "key"), "smh-rest")
+    foreign = rest.where("comp <> pc").groupBy("key").agg(F.min(F.coalesce("dist", "low")).alias("m"))
+    rest = rest.join(foreign, "key").where(f"comp <> pc or dist is null or dist >= m - {limit}")
+    many = rest.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    rest = rest.join(many, "key").select("key", "id", "comp", F.expr("pmod(hash(id), blocks)").alias("mine"), "blocks")
+    rest = rest.select("key", "id", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rest = rest.join(s.select(F.col("row").alias("id"), "sig", "n"), "id").select("key", "id", "comp", "n", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    hint = int(bands * rows * max(0.0, percent / 100 - 6 * (percent * (100 - percent) / 1e4 / (bands * rows)) ** 0.5))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select(F.xxhash64("key", "i", "j").alias("g"), "id", "comp", "n", "sig").mapInArrow(_comparer(percent, hint), "a long, b long")
+    alike = materialize(alike.distinct().join(tested, ["a", "b"], "left_anti"), "smh-alike")
+    if not alike.isEmpty():
+        more = verify(alike).where("linked").select("a", "b")
+        if not more.isEmpty():
+            label = components(links.union(more), "smh-components")
+    classes = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("label", "id").alias("comp"))
     return s.join(classes, "fp", "left").select("rec", "row", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")).alias("comp"))
 
 
