@@ -64,8 +64,9 @@ def curve_key(ids: list[np.ndarray], matrix: np.ndarray, bits: int) -> np.ndarra
 
 
 def tokenize(df: DataFrame, text: str, path: str, end: int, keyed: bool) -> DataFrame:
-    """rec, row, n (ids), key (on the curve), ids (zstd of little-endian ids), written to the shared folder."""
+    """rec (without the text), row, n (ids), key (on the curve), ids (zstd of little-endian ids), written to the shared folder."""
     base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text"))
+    base = base.select(F.struct(*[F.col("rec").getField(c).alias(c) for c in df.columns if c != text]).alias("rec"), "row", "__text")
     vocab = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

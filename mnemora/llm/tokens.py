@@ -41,30 +41,66 @@ def vocabulary(path: str) -> int:
 class ChunkIds(dict):
     """Memo: chunk of UTF-8 without ASCII white space, lower-cased, to its ids as little-endian bytes."""
 
-    def __init__(self, path: str, end: int, most: int = 250_000) -> None:
+    def __init__(self, path: str, end: int, most: int = 150_000, most_pieces: int = 500_000) -> None:
         self.tok = tokenizer(path)
-        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end, self.most = np.array([end], self.dtype).tobytes(), most
+        vocab = self.tok.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
+        self.end, self.most, self.most_pieces = np.array([end], self.dtype).tobytes(), most, most_pieces
         self.pieces: dict[str, bytes] = {}
+        # each piece ends with one id of a word end, so many pieces can be encoded as one text and be told apart
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for a in range(0, len(new), 5000):
+            some = new[a : a + 5000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            cut = ((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()
+            raw = ids.astype(self.dtype).tobytes()
+            if len(cut) == len(some) and (not cut or cut[-1] == len(raw)):
+                self.pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True))
+            else:  # a vocabulary without word ends
+                for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    self.pieces[p] = np.array(e.ids, self.dtype).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
-        parts = {}
+        if len(self.pieces) > self.most_pieces:
+            self.pieces.clear()
+        whole: list[bytes] = []  # one piece
+        ended: list[bytes] = []  # a piece and a sign
+        parts: dict[bytes, list[str]] = {}
+        words: list[str] = []
+        stems: list[str] = []
         for c in chunks:
             text = c.decode()
-            low = text.lower() if text.isascii() or is_normalized("NFC", text) and "İ" not in text and "Σ" not in text else None
-            parts[c] = [text] if low is None else PIECES.findall(low)
-        new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, self.dtype).tobytes()
+            if not text.isascii():
+                if not is_normalized("NFC", text) or "İ" in text or "Σ" in text:
+                    self[c] = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+                    continue
+                text = text.lower()
+            if text.isalpha():
+                whole.append(c)
+                words.append(text)
+            elif text[-1] in ".,!" and text[:-1].isalpha():
+                ended.append(c)
+                stems.append(text)
+            else:
+                parts[c] = PIECES.findall(text)
+        known = self.pieces
+        new = {w for w in words if w not in known}
+        new.update(p for t in stems for p in (t[:-1], t[-1]) if p not in known)
+        new.update(p for ps in parts.values() for p in ps if p not in known)
+        self._learn_pieces(list(new))
+        self.update(zip(whole, map(known.__getitem__, words), strict=True))
+        for c, t in zip(ended, stems, strict=True):
+            self[c] = known[t[:-1]] + known[t[-1]]
         for c, ps in parts.items():
-            self[c] = b"".join([self.pieces[p] for p in ps])
+            self[c] = b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids and the end id."""
         if len(self) > self.most:
             self.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         split = [t.lower().split() for t in texts]
         new = set().union(*split).difference(self)
         if new:
