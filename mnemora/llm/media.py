@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from mnemora.llm import flac
 from mnemora.llm.common import slices, table, text_runs, unpack
 
-ALIGN, RUN_BYTES = 64, 4_000_000
+ALIGN, RUN_BYTES = 64, 1_200_000
 
 
 def to_flac(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
