@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that an executor works on at once.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -63,6 +63,12 @@ def records(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("rec"), *extra)
 
 
+def records_beside(df: DataFrame, text: str, *extra: object) -> DataFrame:
+    """`rec` with all of a row but its text, which is the column `__text` beside it: texts are kept and moved once."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(0).alias("_")]
+    return df.select(F.struct(*rest).alias("rec"), *extra, F.col(f"`{text}`").alias("__text"))
+
+
 def unpack(df: DataFrame, names: list[str], **own: object) -> DataFrame:
     """rec.* followed by own columns; a column of the input with an own column's name gives way."""
     return df.select(*[F.col("rec").getField(c).alias(c) for c in names if c not in own], *[F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in own.items()])
@@ -101,7 +107,7 @@ class WordHashes(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def trim(self, most: int = 300_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self) > most:
             self.clear()
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, materialize, records, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, materialize, records_beside, table, text_runs, unpack
 
 LEAD, SUPPORT, MIN_DOCS, MIN_WORDS, FIELDS, AROUND = 3, 3, 3, 3, 0.4, 0.2
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
@@ -53,8 +53,8 @@ def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int],
 
 
 def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS, around: float = AROUND) -> DataFrame:
-    """Columns rec (the input row), row, text, n_lines (with words), drop (positions of lines to drop, from 0). Null texts have none."""
-    base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text"))
+    """Columns rec (the input row but its text), row, text, n_lines (with words), drop (positions of lines to drop, from 0). Null texts have none."""
+    base = records_beside(df, text, F.monotonically_increasing_id().alias("row"))
     long_list = T.ArrayType(T.LongType())
     schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line", "around")]])
 

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, components, materialize, mix64, records, shingle_hashes, table, text_runs, unpack, words_of
+from mnemora.llm.common import WordHashes, components, materialize, mix64, records_beside, shingle_hashes, table, text_runs, unpack, words_of
 
 BANDS, ROWS, BLOCK = 26, 5, 2048
 _R = np.uint64((1 << 48) - 1)
 
 
-def superminhash(elements: np.ndarray, owner: np.ndarray, docs: int, m: int, work: int = 400_000) -> np.ndarray:
+def superminhash(elements: np.ndarray, owner: np.ndarray, docs: int, m: int, work: int = 150_000) -> np.ndarray:
     """Signatures [docs, m] of uint64. owner: the document of each element, ascending. A document without elements keeps the largest value."""
     top = np.iinfo(np.uint64).max
     h = np.full(docs * m, top, np.uint64)
@@ -106,20 +106,21 @@ def _signer(text: str, k: int, bands: int, rows: int):  # noqa: ANN202
 def _verifier(k: int, percent: int):  # noqa: ANN202
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, kept = WordHashes(), (None, None)
-        for batch in batches:
-            out = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if kept[0] != a:
-                    kept = (a, shingle_hashes(memo.of(words_of(x.encode())), k))
-                other = shingle_hashes(memo.of(words_of(y.encode())), k)
-                both = np.concatenate([kept[1], other])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                out.append((same, len(both) - same))
-                memo.trim()
-            same = np.array([x for x, _ in out], np.int64)
-            union = np.array([x for _, x in out], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(100 * same >= percent * union), pa.array(1 - same / np.maximum(union, 1))], names=["a", "b", "linked", "dist"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(start, 256), []
+                for a, x, y in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                    if kept[0] != a:
+                        kept = (a, shingle_hashes(memo.of(words_of(x.encode())), k))
+                    other = shingle_hashes(memo.of(words_of(y.encode())), k)
+                    both = np.concatenate([kept[1], other])
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                    out.append((same, len(both) - same))
+                    memo.trim()
+                same = np.array([x for x, _ in out], np.int64)
+                union = np.array([x for _, x in out], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(100 * same >= percent * union), pa.array(1 - same / np.maximum(union, 1))], names=["a", "b", "linked", "dist"])
 
     return verify
 
@@ -163,12 +164,12 @@ def _comparer(percent: int, hint: int):  # noqa: ANN202
 
 
 def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Columns rec (all of the input row), row (long, unique), n (set size), comp (smallest row of its component).
+    """Columns rec (the input row but its text), text, row (long, unique), n (set size), comp (smallest row of its component).
 
     Nulls and texts without words have empty sets, are their own component and link with nothing. Rows with equal sets
     are linked. Repeated rows, equal ids and null ids don't matter here: rows are told apart by `row`.
     """
-    base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("t")).withColumnRenamed("t", "__text")
+    base = records_beside(df, text, F.monotonically_increasing_id().alias("row"))
     schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     s = materialize(base.mapInArrow(_signer("__text", shingle, bands, rows), schema), "smh-rows")
     full = s.where("n > 0")
@@ -212,24 +213,24 @@ def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 5, percent
         if not more.isEmpty():
             label = components(links.union(more), "smh-components")
     classes = classes.join(label.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("label", "id").alias("comp"))
-    return s.join(classes, "fp", "left").select("rec", "row", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")).alias("comp"))
+    return s.join(classes, "fp", "left").select("rec", "text", "row", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("row")).alias("comp"))
 
 
-def near_dedup_report(df: DataFrame, doc_id: str = "doc_id", **options: object) -> DataFrame:
+def near_dedup_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """The input's columns with n_shingles, component_id (smallest id of the component; nulls don't count) and kept (the row has that id)."""
-    got = near_duplicates(df, **options)
+    got = near_duplicates(df, text, **options)
     ident = F.col("rec").getField(doc_id)
     low = got.groupBy("comp").agg(F.min(ident).alias("low"))
     got = got.join(low, "comp").withColumn("kept", F.coalesce(ident == F.col("low"), F.lit(False)))
-    return unpack(got, df.columns, n_shingles="n", component_id="low", kept="kept")
+    return unpack(got, df.columns, **{text: "text"}, n_shingles="n", component_id="low", kept="kept")
 
 
-def near_dedup(df: DataFrame, doc_id: str = "doc_id", **options: object) -> DataFrame:
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """The input's rows, one of each component: that with the smallest id (null last), of equal ones the first row."""
-    got = near_duplicates(df, **options)
+    got = near_duplicates(df, text, **options)
     order = F.struct(F.col("rec").getField(doc_id).isNull().alias("z"), F.col("rec").getField(doc_id).alias("i"), F.col("row").alias("row"))
     keep = got.groupBy("comp").agg(F.min(order).alias("o")).select(F.col("o.row").alias("row"))
-    return unpack(got.join(keep, "row", "left_semi"), df.columns)
+    return unpack(got.join(keep, "row", "left_semi"), df.columns, **{text: "text"}).select(*df.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
