@@ -22,7 +22,7 @@ from mnemora.functions.sketch import reservoir
 from mnemora.functions.text import STOPWORDS
 from mnemora.operators import graph
 from mnemora.operators.segment import era_of, merge_micro, segment
-from mnemora.operators.similarity import connected, similar_pairs, unit_rows
+from mnemora.operators.similarity import connected, cut_lineage, similar_pairs, unit_rows
 from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
 
@@ -454,14 +454,21 @@ def eras(memories: DataFrame, c: Config) -> DataFrame:
     return _stream(live.select("id", "content", "topic", "created_at", "salience", "embedding"), run, out)
 
 
+def settle(s: State) -> State:
+    """Cut the lineage of the tables that passes change, in the shared checkpoint folder: a pass reads what the one before wrote."""
+    return s | {n: cut_lineage(s[n]) for n in ("memory_items", "memory_links", "memory_edges")}
+
+
 def consolidate(s: State, c: Config, now: int) -> State:
     """All passes in order; each reads what the one before made. A run's counters are appended to consolidation_runs."""
+    s = settle(s)
     before = s["memory_items"]
-    s = refresh_recurrence(collapse_bursts(merge_duplicates(s, c, now), c, now), now)
-    s = refine_topics(revise_salience(refresh_importance(s, c, now), c, now), c, now)
-    s = promote_to_foundation(promote_recurring(summarize_clusters(s, c, now), c, now), c, now)
-    s = revive(mark_stale(infer_contradictions(s, c), now), c, now)
-    s = rebuild_edges(archive_and_prune(s, c, now), c, now)
+    passes = (
+        lambda t: merge_duplicates(t, c, now), lambda t: collapse_bursts(t, c, now), lambda t: refresh_recurrence(t, now), lambda t: refresh_importance(t, c, now), lambda t: revise_salience(t, c, now), lambda t: refine_topics(t, c, now), lambda t: summarize_clusters(t, c, now), lambda t: promote_recurring(t, c, now),
+        lambda t: promote_to_foundation(t, c, now), lambda t: infer_contradictions(t, c), lambda t: mark_stale(t, now), lambda t: revive(t, c, now), lambda t: archive_and_prune(t, c, now), lambda t: rebuild_edges(t, c, now),
+    )
+    for step in passes:
+        s = settle(step(s))
     s = s | {"epochs": eras(s["memory_items"], c)}
     return s | {"consolidation_runs": s["consolidation_runs"].unionByName(run_row(before, s["memory_items"], now), allowMissingColumns=True)}
 

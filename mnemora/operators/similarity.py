@@ -101,7 +101,7 @@ def search(queries: DataFrame, df: DataFrame, k: int, key: str = "id", vector: s
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k).drop("rank")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder of spark.checkpoint.dir; without one (tests), keep it."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -114,13 +114,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over pairs (a, b). nodes: id. Labels spread along edges and jump over labels until none changes."""
-    both = _cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = _cut(nodes.select("id", F.col("id").alias("component")))
+    both = cut_lineage(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    label = cut_lineage(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("component").alias("low"))
         new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = _cut(new.join(jump, "component").select("id", F.col("root").alias("component")))
+        new = cut_lineage(new.join(jump, "component").select("id", F.col("root").alias("component")))
         old = label.withColumnRenamed("component", "before")
         if new.join(old, "id").where("component <> before").isEmpty():
             return new
