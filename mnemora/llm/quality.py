@@ -79,7 +79,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fi
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y").cast(pa.float64()), pa.array([figures(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     rows = base.mapInArrow(run, T.StructType([base.schema["doc_id"], T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).orderBy("doc_id").limit(2 * fit_rows).collect()
-    return Logistic(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1), np.array([float(r["y"] > 0) for r in rows]))
+    return Logistic(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(figures(b""))), np.array([float(r["y"] > 0) for r in rows]))
 
 
 def _strength(site: DataFrame, n: str, rate: object, prior: object) -> float:
