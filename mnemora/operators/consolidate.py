@@ -271,7 +271,7 @@ def modal(values: list[str | None]) -> str | None:
 
 def _stream(df: DataFrame, fn: Any, schema: T.StructType) -> DataFrame:
     """fn over rows of one time-ordered stream. The surprise signal is sequential, so the embedded rows of the store form one group; segment_streams() takes many streams."""
-    return df.groupBy(F.lit(0)).applyInPandas(lambda pdf: fn(pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)), schema)
+    return df.groupBy(F.lit("all")).applyInPandas(lambda pdf: fn(pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)), schema)
 
 
 def modal_dimension(memories: DataFrame) -> DataFrame:
