@@ -68,7 +68,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=3)
+        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=6)
         for b in batches:
             for run, texts in text_runs(b, "text"):
                 ids = memo.encode(texts)
@@ -91,7 +91,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     root = new_path(spark, "shards")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
         held: list[np.ndarray] = []
         slots: list[np.ndarray] = []
 
@@ -103,7 +103,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
             data, slot = data[order], slot[order]
             shard = slot // records
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            bodies = [pack.compress(slot[a:b].astype("<i8").tobytes() + data[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(slot)], strict=True)]
+            bodies = [pack.compress((slot[a:b] % records).astype("<u4").tobytes() + data[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(slot)], strict=True)]
             sizes = np.diff(np.append(cut, len(slot)))
             yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(sizes), pa.array(bodies, pa.binary())], names=["shard", "n", "body"])
             held.clear()
@@ -140,9 +140,9 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
         def close() -> pa.RecordBatch:
             parts = [unpack.decompress(x) for x in held]
-            n = [len(p) // (8 + rec.itemsize) for p in parts]
-            slot = np.concatenate([np.frombuffer(p, "<i8", k) for p, k in zip(parts, n, strict=True)])
-            data = np.concatenate([np.frombuffer(p, rec, k, 8 * k) for p, k in zip(parts, n, strict=True)])
+            n = [len(p) // (4 + rec.itemsize) for p in parts]
+            slot = np.concatenate([np.frombuffer(p, "<u4", k) for p, k in zip(parts, n, strict=True)])
+            data = np.concatenate([np.frombuffer(p, rec, k, 4 * k) for p, k in zip(parts, n, strict=True)])
             data = data[np.argsort(slot)]
             name = f"{base_path}/shard-{last:06d}-{uuid.uuid4().hex}.bin"
             with store.open_output_stream(name, compression=None) as f:
