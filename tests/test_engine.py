@@ -183,7 +183,7 @@ def test_retrieval_conflicts_and_association(spark):
     assert {r["id"] for r in ask(spark, mem, "main database")} >= {"old", "new"}
     assert "old" not in {r["id"] for r in ask(spark, mem, "main database", on)} and mem.where("stale").count() == 0
     edges = conform(spark.createDataFrame([("new", "far", "sequence", 5.0)], "src_id string, dst_id string, edge_type string, weight double"), "memory_edges")
-    near = replace(c, spreading=replace(c.spreading, enabled=True, inject=True))
+    near = replace(c, spreading=replace(c.spreading, enabled=True, inject=True, seeds=2))
     got = {r["id"]: r["total"] for r in ask(spark, mem, "main database", near, edges, top_k=2)}
     assert got["far"] > 0 and len(got) == 3
     links = empty(spark, "memory_links")
