@@ -1,20 +1,25 @@
-"""LM scoring with a weighted backoff automaton.
+"""LM scoring with a weighted backoff automaton whose states and arcs are tables dealt by hash.
 
-Counts cover the whole training side. The model keeps a word whose share of the training tokens is at least `word_share`,
-a bigram or trigram whose share is at least `gram_share`; shares bound the model at any corpus size (at most
-1 / share entries of each order), so that it can be broadcast, and an n-gram can only reach its share if its parts do,
-so each order is counted over the survivors of the one before. All other words are one class, <rare>.
+Counts cover the whole training side, and the model grows with it: all words are kept, and all bigrams and trigrams that
+stand at least `MIN_GRAM` times, at any size. A state is a context (its count, and the mass of its kept continuations);
+an arc is an n-gram with its count. Neither meets the driver or a broadcast. Texts are taken in chunks of bounded size;
+a chunk asks the parts of the table for the n-grams that it holds, in three rounds:
 
-States are contexts that have kept continuations; arcs carry discounted log-probabilities, the failure arc of a state
-leads to its suffix with the log of the mass left over. One traversal a document carries the state from left to right.
-A word of the class <rare> has the class's probability times (c + 1) / (N_rare + V_rare + 1) within it, with its exact count c
-from a join: rare words never meet the driver or a broadcast.
+1. words and bigrams: counts. Of the chunks that hold an n-gram, one is told that it owns it.
+2. trigrams whose bigrams are kept (others can't be): counts; owners of bigrams give their discounted counts to the state
+   of the first word, and every chunk reads the sums for its words.
+3. the same for trigrams and the states of two words.
+
+Chunks send each n-gram once, so that a common one is a number a chunk in its part. With the answers a chunk has all
+states and arcs that its texts pass, and follows them for all tokens at once: an arc's probability is its discounted
+share plus the failure arc's mass times the probability in the suffix. `Automaton` is the same model, state by state.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, materialize, records, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, materialize, mix64, records_beside, table, text_runs, unpack
 
-WORD_SHARE, GRAM_SHARE, DISCOUNT = 2e-6, 2e-6, 0.5
+MIN_GRAM, DISCOUNT = 2, 0.5
+#: Bytes of text in a chunk, and tokens for each part of the tables.
+CHUNK_BYTES, PART_TOKENS = 4_000_000, 2_000_000
 #: Hash that stands for the end of a text (a token of its own; words are hashed from other bytes).
 END = xxhash.xxh3_64_intdigest(b"\n<end>\n")
-_FLUSH = 3_000_000
-
-
-def _texts(df: DataFrame, text: str, train: object) -> DataFrame:
-    return records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"))
-
-
-class _Tally:
-    """Sums of counts by 64-bit key, folded whenever much has gathered."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.parts.append((k, c))
-        self.size += len(k)
-
-    def drain(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        keys, counts = np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(counts, first) if len(keys) else counts
-        for a in range(0, len(first), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first[a : a + 500_000]].view(np.int64)), pa.array(sums[a : a + 500_000])], names=["key", "c"])
-        self.parts, self.size = [], 0
-
-
 def _hashes(memo: WordHashes, texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for t in texts:
@@ -72,32 +47,174 @@ def _hashes(memo: WordHashes, texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _ids(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted array `known`, or len(known)."""
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, at, len(known))
+def _dump(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _load(blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+
+
+def _planes(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, lowest bytes first, so that the high bytes compress."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def _tight(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind != "f" and len(x) else x
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+class Chunk:
+    """Texts as distinct words' hashes and places among them, with what has been learnt of their n-grams."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, lens: np.ndarray, train: np.ndarray) -> None:
+        self.words, self.at, self.lens = words, at.astype(np.int64), lens
+        self.train = np.repeat(train, lens)
+        self.place = np.arange(len(at)) - np.repeat(np.cumsum(lens) - lens, lens)
+        # the token's bigram and trigram end at it; those without are left out
+        self.i2 = np.flatnonzero(self.place >= 1)
+        key2 = _mix(words[self.at[self.i2 - 1]], words[self.at[self.i2]])
+        self.keys2, first, self.of2 = np.unique(key2, return_index=True, return_inverse=True)
+        self.u2, self.v2 = self.at[self.i2[first] - 1], self.at[self.i2[first]]
 
+    def counts(self, of: np.ndarray, tokens: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(of[self.train[tokens]], minlength=size)
 
-def _counts(base: DataFrame, keys: object) -> DataFrame:
-    """(key, c) over the training texts; keys: function of the hashes of a text's tokens."""
+    def ask_words(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        every = np.arange(len(self.at))
+        return [(self.words, self.counts(self.at, every, len(self.words))), (self.keys2, self.counts(self.of2, self.i2, len(self.keys2)))]
+
+    def learn_words(self, got: list[np.ndarray], least_word: float, least: float) -> None:
+        (self.c1, self.own1), (self.c2, self.own2) = ((x >> 1, (x & 1) > 0) for x in got)
+        self.known = self.c1 >= least_word
+        self.kept2 = (self.c2 >= least) & self.known[self.u2] & self.known[self.v2]
+        of = np.full(len(self.at), -1)
+        of[self.i2] = self.of2
+        kept = np.append(self.kept2, False)
+        i3 = np.flatnonzero(self.place >= 2)
+        self.i3 = i3[kept[of[i3 - 1]] & kept[of[i3]]]
+        self.of = of
+        self.keys3, first, self.of3 = np.unique(_mix(self.keys2[of[self.i3 - 1]], self.words[self.at[self.i3]]), return_index=True, return_inverse=True)
+        self.u3 = of[self.i3[first] - 1]  # the bigram that is the trigram's context
+        self.states1, self.states2 = np.flatnonzero(self.c1 >= least), np.flatnonzero(self.kept2)
+
+    def ask_trigrams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        mine = self.kept2 & self.own2
+        give = np.bincount(self.u2[mine], self.c2[mine] - DISCOUNT, minlength=len(self.words))
+        return [(self.keys3, self.counts(self.of3, self.i3, len(self.keys3))), (self.words[self.states1], give[self.states1])]
+
+    def learn_trigrams(self, got: list[np.ndarray], least: float) -> None:
+        self.c3, self.own3 = got[0] >> 1, (got[0] & 1) > 0
+        self.kept3 = self.c3 >= least
+        self.left1 = np.ones(len(self.words))
+        self.left1[self.states1] = np.maximum(1 - got[1] / self.c1[self.states1], 1e-12)
+
+    def ask_states(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        mine = self.kept3 & self.own3
+        give = np.bincount(self.u3[mine], self.c3[mine] - DISCOUNT, minlength=len(self.keys2))
+        return [(self.keys2[self.states2], give[self.states2])]
+
+    def learn_states(self, got: list[np.ndarray]) -> None:
+        self.left2 = np.ones(len(self.keys2))
+        self.left2[self.states2] = np.maximum(1 - got[0] / self.c2[self.states2], 1e-12)
+
+    def scores(self, n: int, rare_n: int, rare_v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: words seen in training, sum of log10(c + 1), log10 of its probability."""
+        one = np.where(self.known, self.c1, (rare_n + 1) * (self.c1 + 1) / (rare_n + rare_v + 1)) / (n + 1)
+        two = np.where(self.kept2, (self.c2 - DISCOUNT) / np.maximum(self.c1[self.u2], 1), 0) + self.left1[self.u2] * one[self.v2]
+        p = one[self.at]
+        p[self.i2] = two[self.of2]
+        i3 = np.flatnonzero(self.place >= 2)
+        p[i3] *= self.left2[self.of[i3 - 1]]
+        p[self.i3] += np.where(self.kept3, (self.c3 - DISCOUNT) / self.c2[self.u3], 0)[self.of3]
+        ends = np.cumsum(self.lens) - self.lens
+        total = lambda x: np.add.reduceat(x, ends) if len(ends) else x
+        return total((self.c1 > 0).astype(np.int64)[self.at]), total(np.log10(self.c1 + 1.0)[self.at]), total(np.log10(p))
+
+
+def _chunks(base: DataFrame) -> DataFrame:
+    """chunk, recs, tokens, learnt (training tokens), body."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("recs", T.ArrayType(base.schema["rec"].dataType)), T.StructField("tokens", T.LongType()), T.StructField("learnt", T.LongType()), T.StructField("body", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, tally = WordHashes(), _Tally()
+        from pyspark import TaskContext
+
+        memo, number = WordHashes(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for _, texts in text_runs(batch.filter(batch.column("__train")), "__text"):
-                tally.add(np.concatenate([keys(h) for h in _hashes(memo, texts)]))
-                if tally.size > _FLUSH:
-                    yield from tally.drain()
-        yield from tally.drain()
+            for part, texts in text_runs(batch, "__text", CHUNK_BYTES):
+                hashes = _hashes(memo, texts)
+                lens, train = np.array([len(h) for h in hashes]), part.column("__train").to_numpy(zero_copy_only=False).astype(bool)
+                words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                recs = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("rec"))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), recs, pa.array([len(at)]), pa.array([int(lens[train].sum())]), pa.array([_dump(words, _tight(at), lens, train)])], names=["chunk", "recs", "tokens", "learnt", "body"])
+                number += 1
+
+    return materialize(base.mapInArrow(run, schema), "lm-chunks")
+
 
-    return base.select("__text", "__train").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's range of sorted keys begins and ends."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
-def _pull(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    return got["key"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
+def _round(chunks: DataFrame, parts: int, ask: Callable[[Chunk, list], list], past: list[DataFrame], name: str, owners: int) -> DataFrame:
+    """chunk, got: the sums of what all chunks sent for each key that a chunk named, by part. For the first `owners` kinds
+    of keys, twice the sum, and 1 more for one of the chunks that named the key."""
+
+    width = len(past)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                kinds = ask(Chunk(*_load(row["body"])), [row[f"got{i}"] for i in range(width)])
+                cuts = [_slices(k, parts) for k, _ in kinds]
+                to = [p for p in range(parts) if any(c[p] < c[p + 1] for c in cuts)]
+                blobs = [_dump(*[y for (k, x), c in zip(kinds, cuts, strict=True) for y in (_planes(k[c[p] : c[p + 1]]), _tight(x[c[p] : c[p + 1]]))]) for p in to]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([row["chunk"]] * len(to), pa.int64()), pa.array(blobs, pa.binary())], names=["part", "chunk", "blob"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        blobs = [_load(b) for b in group["blob"].to_pylist()]
+        replies: list[list[np.ndarray]] = [[] for _ in blobs]
+        for kind in range(len(blobs[0]) // 2):
+            keys = [_keys(b[2 * kind]) for b in blobs]
+            ends = np.cumsum([len(k) for k in keys])
+            keys, values = np.concatenate(keys), np.concatenate([b[2 * kind + 1].astype(np.int64 if kind < owners else np.float64) for b in blobs])
+            order = np.argsort(keys, kind="stable")
+            new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.zeros(0, bool)
+            sums = np.add.reduceat(values[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(keys) else values
+            out = np.empty_like(values)
+            out[order] = sums * 2 + new if kind < owners else sums
+            for reply, x in zip(replies, np.split(out, ends[:-1]), strict=True):
+                reply.append(_tight(x))
+        return pa.table({"chunk": group["chunk"], "x": pa.array([{"part": p, "blob": _dump(*r)} for p, r in zip(group["part"].to_pylist(), replies, strict=True)], pa.struct([("part", pa.int32()), ("blob", pa.binary())]))})
+
+    sent = _with(chunks.select("chunk", "body"), past).mapInArrow(send, "part int, chunk long, blob binary")
+    got = sent.groupBy("part").applyInArrow(answer, "chunk long, x struct<part:int,blob:binary>")
+    got = got.groupBy("chunk").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return materialize(got.select("chunk", F.col("x.blob").alias("got")), name)
+
+
+def _with(chunks: DataFrame, past: list[DataFrame]) -> DataFrame:
+    for i, got in enumerate(past):
+        chunks = chunks.join(got.withColumnRenamed("got", f"got{i}"), "chunk", "left")
+    return chunks
+
+
+def _joined(got: list[bytes] | None, kinds: int) -> list[np.ndarray]:
+    """Answers of all parts, in the order of the keys."""
+    parts = [_load(b) for b in got or []]
+    return [np.concatenate([np.zeros(0, np.int64), *[p[k] if p[k].dtype.kind == "f" else p[k].astype(np.int64) for p in parts]]) for k in range(kinds)]
 
 
 class Automaton:
@@ -154,83 +271,56 @@ class Automaton:
         return total
 
 
-def score_texts(df: DataFrame, train: object, text: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def score_texts(df: DataFrame, train: object, text: str = "text", word_share: float = 0.0, gram_share: float = 0.0) -> DataFrame:
     """The input's columns but `text`, with n_tokens, n_known, train_tokens, base_score and score.
 
     train: a boolean column that says which rows are learnt from (null: not). Null and empty texts are the end token
-    alone. With an empty training side N = V = 0: each token has base log10(0 + 1) - log10(0 + 1) = 0.
+    alone. With an empty training side N = V = 0: each token has base log10(0 + 1) - log10(0 + 1) = 0. Shares above 0
+    make a smaller model: words and n-grams below that share of the training tokens aren't kept, such words are one class.
     """
-    base = _texts(df, text, train)
-    grams = materialize(_counts(base, lambda h: h), "lm-words")
-    n, v = (int(x or 0) for x in grams.agg(F.sum("c"), F.count("*")).first())
-    hashes, uni = _pull(grams.where(F.col("c") >= max(1.0, word_share * n)))
-    order = np.argsort(hashes.view(np.uint64))
-    known, uni = hashes.view(np.uint64)[order], uni[order]
-    words = len(known)
-    span = np.uint64(words + 1)
-
-    def two(h: np.ndarray) -> np.ndarray:
-        i = _ids(h, known)
-        ok = (i[:-1] < words) & (i[1:] < words)
-        return i[:-1][ok].astype(np.uint64) * span + i[1:][ok].astype(np.uint64)
-
-    least = max(2.0, gram_share * n)
-    key2, c2 = _pull(_counts(base, two).where(F.col("c") >= least)) if words else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(key2.view(np.uint64))
-    key2, c2 = key2.view(np.uint64)[order], c2[order]
-
-    def three(h: np.ndarray) -> np.ndarray:
-        i = _ids(h, known).astype(np.uint64)
-        pair = np.where((i[:-1] < span - np.uint64(1)) & (i[1:] < span - np.uint64(1)), i[:-1] * span + i[1:], np.iinfo(np.uint64).max)
-        p = _ids(pair, key2)
-        ok = (p[:-1] < len(key2)) & (p[1:] < len(key2))
-        return p[:-1][ok].astype(np.uint64) * span + i[2:][ok]
-
-    key3, c3 = _pull(_counts(base, three).where(F.col("c") >= least)) if len(key2) else (np.zeros(0, np.int64),) * 2
-    key3 = key3.view(np.uint64)
-    rare_n, rare_v = n - int(uni.sum()), v - words
-    b2, b3 = (key2 // span, key2 % span), (key2[(key3 // span).astype(np.int64)] if len(key3) else key3, key3 % span)
-    model = (np.append(uni, rare_n), b2[0], b2[1], c2, b3[0] // span, b3[0] % span, b3[1], c3)
-    log_known = np.append(np.log10(uni + 1.0), 0.0)
+    lean = [c for c in df.columns if c != text]
+    chunks = _chunks(records_beside(df, text, F.coalesce(train, F.lit(False)).alias("__train")))
+    tokens, n = (int(x or 0) for x in chunks.agg(F.sum("tokens"), F.sum("learnt")).first())
+    parts = 1 + tokens // PART_TOKENS
+    least_word, least = max(1.0, word_share * n), max(float(MIN_GRAM), gram_share * n)
+
+    def first(c: Chunk, got: list) -> Chunk:
+        c.learn_words(_joined(got[0], 2), least_word, least)
+        return c
+
+    def second(c: Chunk, got: list) -> Chunk:
+        first(c, got).learn_trigrams(_joined(got[1], 2), least)
+        return c
+
+    one = _round(chunks, parts, lambda c, _: c.ask_words(), [], "lm-words", 2)
+
+    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for got in batch.column("got").to_pylist():
+                x = _joined(got, 1)[0]
+                c = (x >> 1)[(x & 1) > 0]
+                rare = c[(c > 0) & (c < least_word)]
+                yield pa.RecordBatch.from_arrays([pa.array([int((c > 0).sum())]), pa.array([int(rare.sum())]), pa.array([len(rare)])], names=["v", "rare_n", "rare_v"])
+
+    v, rare_n, rare_v = (int(x or 0) for x in one.select("got").mapInArrow(vocabulary, "v long, rare_n long, rare_v long").agg(F.sum("v"), F.sum("rare_n"), F.sum("rare_v")).first())
+    two = _round(chunks, parts, lambda c, got: first(c, got).ask_trigrams(), [one], "lm-trigrams", 1)
+    three = _round(chunks, parts, lambda c, got: second(c, got).ask_states(), [one, two], "lm-states", 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u1, a2, b2_, n2, a3, b3_, d3, n3 = (x.tolist() for x in model)
-        auto = Automaton(words, np.array(u1), dict(zip(zip(a2, b2_, strict=True), n2, strict=True)), dict(zip(zip(a3, b3_, d3, strict=True), n3, strict=True)))
-        memo = WordHashes()
         for batch in batches:
-            for part, texts in text_runs(batch, "__text"):
-                size, known_n, low, path, keys, freq = [], [], [], [], [], []
-                for h in _hashes(memo, texts):
-                    i = _ids(h, known)
-                    k, f = np.unique(h[i == words], return_counts=True)
-                    size.append(len(h))
-                    known_n.append(len(h) - int(f.sum()))
-                    low.append(float(log_known[i].sum()))
-                    path.append(auto.score(i.tolist()))
-                    keys.append(k.view(np.int64))
-                    freq.append(f.astype(np.int32))
-                at = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (keys, freq)]
-                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), pa.array(size, pa.int64()), pa.array(known_n, pa.int64()), pa.array(low), pa.array(path), *lists], names=["rec", "row", "n_tokens", "n_known", "low", "path", "keys", "freq"])
-
-    fields = [T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("path", T.DoubleType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("freq", T.ArrayType(T.IntegerType()))]
-    lean = [c for c in df.columns if c != text]
-    shrunk = base.select(F.struct(*([F.col("rec").getField(c).alias(c) for c in lean] or [F.lit(0).alias("_")])).alias("rec"), "row", "__text")
-    docs = materialize(shrunk.mapInArrow(run, T.StructType([shrunk.schema["rec"], *fields])), "lm-docs")
-    each = docs.select("row", F.explode(F.arrays_zip("keys", "freq")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.freq").alias("f"))
-    rare = grams.where(F.col("c") < max(1.0, word_share * n)) if n else grams
-    found = each.join(rare, "key").groupBy("row").agg(F.sum("f").alias("more"), F.sum(F.col("f") * F.log10(F.col("c") + 1.0)).alias("rare"))
-    got = docs.drop("keys", "freq").join(found, "row", "left").withColumns({"more": F.coalesce("more", F.lit(0)), "rare": F.coalesce("rare", F.lit(0.0))})
-    unseen = F.col("n_tokens") - F.col("n_known")
-    return unpack(
-        got,
-        lean,
-        n_tokens="n_tokens",
-        n_known=F.col("n_known") + F.col("more"),
-        train_tokens=F.lit(n).cast("long"),
-        base_score=F.col("low") + F.col("rare") - F.col("n_tokens") * F.lit(math.log10(n + v + 1)),
-        score=F.col("path") + F.col("rare") - unseen * F.lit(math.log10(rare_n + rare_v + 1)),
-    )
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                body, *got = (row.column(c)[0].as_py() for c in ("body", "got0", "got1", "got2"))
+                c = second(Chunk(*_load(body)), got)
+                c.learn_states(_joined(got[2], 1))
+                known, low, path = c.scores(n, rare_n, rare_v)
+                yield pa.RecordBatch.from_arrays([row.column("recs").flatten(), pa.array(c.lens, pa.int64()), pa.array(known, pa.int64()), pa.array(low), pa.array(path)], names=["rec", "n_tokens", "n_known", "low", "path"])
+
+    every = _with(chunks.select("chunk", "recs", "body"), [one, two, three])
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("low", T.DoubleType()), T.StructField("path", T.DoubleType())]
+    got = every.mapInArrow(run, T.StructType([T.StructField("rec", chunks.schema["recs"].dataType.elementType), *fields]))
+    base_score = F.col("low") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return unpack(got, lean, n_tokens="n_tokens", n_known="n_known", train_tokens=F.lit(n).cast("long"), base_score=base_score, score="path")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
