@@ -6,12 +6,16 @@ documents of a host is shrunk towards the global share, that of a path towards i
 the data (method of moments), so sparse sites count for little. A document's own evidence is left out of its site's.
 The posterior log-odds are the document's plus its path's, less the global ones.
 
+A good document has the label and is not toxic. Words that tell toxic documents from others (presence in labelled
+documents, largest z-scores first, `WORDS` of them at most) are marks of the regression beside the figures.
+
 Only the regression is fitted on a bounded sample (`fit_rows` labelled documents, smallest hash of the id first); the
 site statistics and the scores cover all rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +27,8 @@ from pyspark.sql import types as T
 
 from mnemora.llm.common import materialize, records, table, text_runs, unpack
 
-FIT_ROWS, KEEP = 20_000, 0.5
+FIT_ROWS, KEEP, WORDS = 20_000, 0.5, 128
+_WORD = re.compile(rb"[a-z\x80-\xff]+")
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 stop, 7 sign, 8 beyond ASCII
 for _chars, _n in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), (b"0123456789", 3), (b" \t\r\x0b\x0c", 4), (b"\n", 5), (b".,;:'\"-()", 6), (b"%*#$&|!@<>{}[]~^=+_/\\`?", 7), (bytes(range(128, 256)), 8)):
     _CLASS[list(_chars)] = _n
@@ -45,6 +50,39 @@ def figures(text: bytes) -> list[float]:
     return [1.0, *head, same, np.sqrt(same), bare, np.sqrt(bare), distinct, max(counts.values(), default=0) / w, np.log1p(n) / 10, n / w / 10, len(set(lines)) / len(lines), float(n == 0)]
 
 
+def words_in(text: bytes) -> set[bytes]:
+    """Distinct words of letters, A-Z in lower case."""
+    return set(_WORD.findall(text.lower()))
+
+
+def marks(text: bytes, lexicon: dict[bytes, int]) -> list[float]:
+    """1 for each word of the lexicon that a text holds, else 0."""
+    out = [0.0] * len(lexicon)
+    if lexicon:
+        for w in words_in(text) & lexicon.keys():
+            out[lexicon[w]] = 1.0
+    return out
+
+
+def lexicon_of(base: DataFrame, most: int = WORDS, support: int = 5) -> dict[bytes, int]:
+    """Words whose share of toxic documents is furthest above chance. base: text, toxic (0/1)."""
+    total = base.agg(F.sum("toxic").alias("b"), F.count("*").alias("n")).first()
+    bad, n = int(total["b"] or 0), total["n"]
+    if not 0 < bad < n:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in text_runs(b, "text"):
+                found = [(w, y) for t, y in zip(texts, part.column("toxic").to_pylist(), strict=True) for w in words_in(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["word", "toxic"])
+
+    seen = base.select("text", "toxic").mapInArrow(run, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("b"), F.count("*").alias("c")).where(F.col("c") >= support)
+    expect = F.col("c") * F.lit(bad / n)
+    seen = seen.withColumn("z", (F.col("b") - expect) / F.sqrt(expect * F.lit(1 - bad / n))).where("z > 4")
+    return {bytes(r["word"]): i for i, r in enumerate(seen.orderBy(F.desc("z"), "word").limit(most).collect())}
+
+
 class Logistic:
     """Standardised ridge logistic regression by Newton steps."""
 
@@ -68,18 +106,31 @@ class Logistic:
         return np.clip(np.clip((x - self.mean) / self.sd, -30, 30) @ self.w, -30, 30) if self.w.any() else np.zeros(len(x))
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, fit_rows: int) -> Logistic:
-    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+def good(labels: DataFrame, label: str, toxic: str) -> DataFrame:
+    """doc_id, y (1: has the label and isn't toxic), toxic; of several labels the worst counts. Null labels and ids don't count."""
+    bad = F.coalesce((F.col(toxic) > 0).cast("int"), F.lit(0)) if toxic in labels.columns else F.lit(0)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col(label) > 0).cast("int").alias("y"), bad.alias("toxic"))
+    return known.groupBy("doc_id").agg(F.min(F.col("y") * (1 - F.col("toxic"))).alias("y"), F.max("toxic").alias("toxic"))
+
+
+def fit(df: DataFrame, known: DataFrame, doc_id: str, text: str, fit_rows: int) -> tuple[Logistic, dict[bytes, int]]:
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "doc_id")
+    base = materialize(base, "quality-fit")
+    lexicon = lexicon_of(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in text_runs(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y").cast(pa.float64()), pa.array([figures(t) for t in texts], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y").cast(pa.float64()), pa.array([figures(t) for t in texts], pa.list_(pa.float64())), pa.array([[i for i, m in enumerate(marks(t, lexicon)) if m] for t in texts], pa.list_(pa.int32()))], names=["doc_id", "y", "x", "m"])
 
-    rows = base.mapInArrow(run, T.StructType([base.schema["doc_id"], T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).orderBy("doc_id").limit(2 * fit_rows).collect()
-    return Logistic(np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(figures(b""))), np.array([float(r["y"] > 0) for r in rows]))
+    schema = T.StructType([base.schema["doc_id"], T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
+    rows = base.mapInArrow(run, schema).orderBy("doc_id").limit(2 * fit_rows).collect()
+    x = np.zeros((len(rows), len(figures(b"")) + len(lexicon)))
+    for out, r in zip(x, rows, strict=True):
+        out[: len(r["x"])] = r["x"]
+        out[[len(r["x"]) + i for i in r["m"]]] = 1
+    return Logistic(x, np.array([r["y"] for r in rows])), lexicon
 
 
 def _strength(site: DataFrame, n: str, rate: object, prior: object) -> float:
@@ -93,27 +144,28 @@ def _strength(site: DataFrame, n: str, rate: object, prior: object) -> float:
     return float(min(1e6, max(1.0, 1 / rho - 1 if rho > 1e-6 else 1e6)))
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str | None = "lang", label: str = "quality", fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str | None = "lang", label: str = "quality", toxic: str = "toxic", fit_rows: int = FIT_ROWS, keep: float = KEEP) -> DataFrame:
     """The input's columns with doc_logit, site_logit, quality (posterior) and keep.
 
-    labels: doc_id and a 0/1 column; several labels of one id count as the least, labels of unknown ids don't count.
+    labels: doc_id and 0/1 columns (`toxic` may be absent); several labels of one id count as the worst, labels of unknown ids don't count.
     Null hosts and paths are sites of their own; null and empty texts are scored by the figures of an empty text.
     Without labels of both kinds the classifier says 0 for all, and every row is kept.
     """
-    model = fit(df, labels, doc_id, text, label, fit_rows)
+    known = good(labels, label, toxic)
+    model, lexicon = fit(df, known, doc_id, text, fit_rows)
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
     base = records(df, F.col(f"`{doc_id}`").alias("id"), name(host).alias("host"), (name(path) if path else F.lit("")).alias("path"), F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in text_runs(b, "__text"):
-                logit = model.logit(np.array([figures(t) for t in texts]))
+                logit = model.logit(np.array([figures(t) + marks(t, lexicon) for t in texts]))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rec", "id", "host", "path")], pa.array(logit)], names=["rec", "id", "host", "path", "logit"])
 
     docs = base.mapInArrow(run, T.StructType([base.schema["rec"], base.schema["id"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("logit", T.DoubleType())]))
     docs = materialize(docs, "quality")
     sigmoid = lambda c: 1 / (1 + F.exp(-c))
-    known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y")).select(F.col("doc_id").alias("id"), "y")
+    known = known.select(F.col("doc_id").alias("id"), "y")
     # all documents by site from the classifier, then what the labels say of labelled ones instead
     soft = docs.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(sigmoid(F.col("logit"))).alias("s"))
     fix = docs.select("id", "host", "path", "logit").join(known, "id").groupBy("host", "path").agg(F.sum((F.col("y") > 0).cast("double") - sigmoid(F.col("logit"))).alias("d"))
