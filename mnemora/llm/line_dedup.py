@@ -5,9 +5,9 @@ words; a leaf holds the lines that agree in these. In a leaf, a word that stands
 lines is fixed, any other is a field, so lines that differ in names or codes share a template; where more than
 `fields` of the words would be fields, the leaf holds unlike lines, and the line itself is the template. This rule needs no order of arrival,
 so leaves of any size are counted by pre-aggregated sums and no leaf is gathered in one task.
-A template recurs if it stands in at least `min_docs` documents and in enough different surroundings (the leaves of
-the lines before and after): copies of one document repeat their lines in the same surroundings, and are the business
-of document dedup. Lines of recurring templates are dropped.
+A template recurs if it stands in documents of at least `min_docs` copy classes (components of near-dedup): copies of
+one document, however many, count once, and are the business of document dedup. Lines of recurring templates are
+dropped, in passages of any number of lines.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemora.llm.common import WordHashes, materialize, records_beside, table, text_runs, unpack
+from mnemora.llm.near_dedup import near_duplicates
 
-LEAD, SUPPORT, MIN_DOCS, MIN_WORDS, FIELDS, AROUND = 3, 3, 3, 3, 0.4, 0.2
+LEAD, SUPPORT, MIN_DOCS, MIN_WORDS, FIELDS = 3, 3, 3, 3, 0.4
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _STAR = b"<*>"
 
@@ -39,8 +40,8 @@ def _hash(x: bytes) -> int:
     return xxhash.xxh3_64_intdigest(x)
 
 
-def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(position, leaf, line, surroundings) of the lines with words, as hashes."""
+def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int]]:
+    """(position, leaf, line) of the lines with words, as hashes."""
     at, leaf, line = [], [], []
     for i, x in enumerate(text.split(b"\n")):
         words = masked(x)
@@ -48,26 +49,25 @@ def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int],
             at.append(i)
             leaf.append(_hash(b"%d " % len(words) + b" ".join(words[:lead])))
             line.append(_hash(b" ".join(words)) if len(words) >= MIN_WORDS else 0)
-    around = [_hash(b"%d %d" % x) for x in zip([0, *leaf][:-1], [*leaf[1:], 0], strict=True)] if leaf else []
-    return at, leaf, line, around
+    return at, leaf, line
 
 
-def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS, around: float = AROUND) -> DataFrame:
+def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS) -> DataFrame:
     """Columns rec (the input row but its text), row, text, n_lines (with words), drop (positions of lines to drop, from 0). Null texts have none."""
     base = records_beside(df, text, F.monotonically_increasing_id().alias("row"))
     long_list = T.ArrayType(T.LongType())
-    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line", "around")]])
+    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line")]])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_runs(batch, "__text"):
                 got = [line_keys(t, lead) for t in texts]
                 ends = pa.array(np.cumsum([0, *[len(g[0]) for g in got]]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.array([x for g in got for x in g[c]], np.uint64).view(np.int64))) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), *lists], names=["rec", "row", "text", "at", "leaf", "line", "around"])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.array([x for g in got for x in g[c]], np.uint64).view(np.int64))) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), *lists], names=["rec", "row", "text", "at", "leaf", "line"])
 
     docs = materialize(base.mapInArrow(keys, schema), "lines")
-    every = docs.select("row", F.explode(F.arrays_zip("at", "leaf", "line", "around")).alias("x")).select("row", "x.*").where("line <> 0")
+    every = docs.select("row", F.explode(F.arrays_zip("at", "leaf", "line")).alias("x")).select("row", "x.*").where("line <> 0")
     leaves = every.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
     lines = materialize(every.join(leaves, "leaf"), "lines-often")
     # leaves with unlike lines: the words of one of each kind of line, weighted by how often it stands
@@ -91,10 +91,10 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     shape = shape.groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(leaf, place, if(fixed, word, 0L)))").alias("shape"), F.avg((~F.col("fixed")).cast("int")).alias("open"))
     shape = shape.select("leaf", "line", F.when(F.col("open") <= fields, F.col("shape")).otherwise(F.col("line")).alias("template"))
     lines = lines.join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
-    lines = materialize(lines.select("row", "at", "around", "template"), "lines-templates")
-    docs_of = lines.groupBy("template", "row").agg(F.lit(1).alias("_")).groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    places = lines.groupBy("template", "around").agg(F.lit(1).alias("_")).groupBy("template").agg(F.count("*").alias("places"))
-    often = docs_of.join(places, "template").where(f"places >= {min_docs} and places >= {around} * docs").select("template")
+    lines = materialize(lines.select("row", "at", "template"), "lines-templates")
+    classes = near_duplicates(docs.select(F.col("row").alias("of"), "text"), "text").select(F.col("rec.of").alias("row"), "comp")
+    holds = lines.select("template", "row").distinct().join(classes, "row").select("template", "comp").distinct()
+    often = holds.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
     drop = lines.join(often, "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop"))
     got = docs.select("rec", "row", "text", F.size("at").cast("long").alias("n_lines")).join(drop, "row", "left")
     return got.withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
