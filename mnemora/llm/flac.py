@@ -69,7 +69,7 @@ def frame_header(number: int, size: int) -> bytes:
         n = 2
         while number >= 1 << (5 * n + 1):
             n += 1
-        head += bytes([(0xFF << (7 - n) & 0xFF if n < 7 else 0xFE) | number >> (6 * (n - 1))] + [0x80 | number >> (6 * i) & 0x3F for i in range(n - 2, -1, -1)])
+        head += bytes([0xFF << (8 - n) & 0xFF | number >> (6 * (n - 1))] + [0x80 | number >> (6 * i) & 0x3F for i in range(n - 2, -1, -1)])
     head += bytes([size - 1]) if code == 0b0110 else struct.pack(">H", size - 1) if code == 0b0111 else b""
     return head + bytes([crc8(head)])
 
