@@ -174,7 +174,9 @@ def partition_offsets(counts: DataFrame, order: list[str], n: str, name: str) ->
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): label is the smallest node of the component. edges: a, b (long); nodes without an edge are absent.
 
-    Alternating large and small stars; each round is a written table, and no node's neighbours are gathered in one task.
+    Alternating large and small stars; each round is a written table. A node's neighbours are never gathered: sums over them
+    are made before the shuffle, and joins of them to their node's minimum are plain joins, which AQE splits where a
+    node (the centre of a large star) is hot.
     """
     e = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while not e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() or not e.groupBy("u").count().where("count > 1").isEmpty():
