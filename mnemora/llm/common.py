@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +22,7 @@ from pyspark.sql import types as T
 #: Bytes of text that an executor works on at once.
 BATCH_BYTES = 1_000_000
 
-_scratch: list[tuple[SparkSession, str]] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,19 +30,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder if all runs
+    in one process (local mode), else a folder in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    own = tempfile.mkdtemp(prefix="mnemora-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        own = tempfile.mkdtemp(prefix="mnemora-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+    else:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_mnemora"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+@contextmanager
+def owned(paths: list[str]) -> Iterator[None]:
+    """Scratch tables made inside are listed in `paths`; their owner deletes them once nothing reads them. Others stay."""
+    token = _owner.set(paths)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    if (paths := _owner.get()) is not None:
+        paths.append(path)
     return path
 
 
@@ -49,15 +75,6 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete all scratch tables. Only for callers whose results no longer depend on them."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def records(df: DataFrame, *extra: str) -> DataFrame:
     """One struct column `rec` with all of a row, so that own columns never clash with the input's."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("rec"), *extra)
@@ -100,6 +117,13 @@ def text_runs(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> I
         yield batch.slice(a, b - a), texts[a:b]
 
 
+def column_runs(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `limit` bytes of text; the texts stay in their column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for a, b in slices(size, limit):
+        yield batch.slice(a, b - a)
+
+
 class WordHashes(dict):
     """Memo of 64-bit word hashes; trim() bounds it."""
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import materialize, mix64, partition_offsets, records, table, text_runs
-from mnemora.llm.tokens import ChunkIds, default_path, vocabulary
+from mnemora.llm.common import column_runs, materialize, mix64, partition_offsets, records, table
+from mnemora.llm.tokens import RUN_BYTES, chunk_ids, default_path, vocabulary
 
 LENGTH, END, DIMS, BITS = 4096, 2, 4, 8
 
@@ -63,20 +63,20 @@ def curve_key(ids: list[np.ndarray], matrix: np.ndarray, bits: int) -> np.ndarra
     return hilbert_key(np.minimum((1 << bits) / (1 + np.exp(-1.702 * point)), top).astype(np.int64), bits)
 
 
-def tokenize(df: DataFrame, text: str, path: str, end: int, keyed: bool) -> DataFrame:
+def tokenize(df: DataFrame, text: str, path: str, end: int) -> DataFrame:
     """rec (without the text), row, n (ids), key (on the curve), ids (zstd of little-endian ids), written to the shared folder."""
     base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text"))
     base = base.select(F.struct(*[F.col("rec").getField(c).alias(c) for c in df.columns if c != text]).alias("rec"), "row", "__text")
     vocab = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, matrix, pack = ChunkIds(path, end), signs(vocab, DIMS), zstandard.ZstdCompressor(level=3)
+        memo, matrix, pack = chunk_ids(path, end), signs(vocab, DIMS), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part, texts in text_runs(batch, "__text"):
-                ids = memo.encode(texts)
-                arrays = [np.frombuffer(x, memo.dtype) for x in ids]
-                key = curve_key(arrays, matrix, BITS).view(np.int64) if keyed else np.zeros(len(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), pa.array([len(a) for a in arrays], pa.int64()), pa.array(key), pa.array([pack.compress(x) for x in ids], pa.binary())], names=["rec", "row", "n", "key", "ids"])
+            for part in column_runs(batch, "__text", RUN_BYTES):
+                flat, n = memo.encode_column(part.column("__text"))
+                arrays = np.split(flat, np.cumsum(n)[:-1])
+                key = curve_key(arrays, matrix, BITS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), pa.array(n), pa.array(key), pa.array([pack.compress(x.data) for x in arrays], pa.binary())], names=["rec", "row", "n", "key", "ids"])
 
     schema = T.StructType([base.schema["rec"], *[T.StructField(c, T.LongType()) for c in ("row", "n", "key")], T.StructField("ids", T.BinaryType())])
     return materialize(base.mapInArrow(run, schema), "tokens", "none")
@@ -90,7 +90,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     """
     path = path or default_path()
     keep = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tokens = tokenize(keep, "text", path, end, keyed=True).select(F.col("rec.doc_id").alias("doc_id"), "row", "n", "key", "ids")
+    tokens = tokenize(keep, "text", path, end).select(F.col("rec.doc_id").alias("doc_id"), "row", "n", "key", "ids")
     starts = partition_offsets(tokens.select("key", "doc_id", "row", "n"), ["key", "doc_id", "row"], "n", "pack-starts")
     joined = tokens.select("row", "doc_id", "ids").join(starts.select("row", F.col("start").alias("at")), "row")
     wide = np.dtype("<u2" if vocabulary(path) <= 1 << 16 else "<u4")

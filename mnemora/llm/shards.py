@@ -3,7 +3,8 @@
 A document's ids are cut into sequences of `length`; sequences are numbered 0..N-1 in the order of the table (partitions
 and rows as they are read). A keyed Feistel network over the least even number of bits that holds N, with cycle-walking,
 is a bijection of 0..N-1, so every sequence has a global slot and no slot is empty; the order needs no sort and no
-state but the key. Slots are dealt by shard, each shard is sorted by slot and written as one file of fixed-stride records:
+state but the key. Tasks take ranges of slots: as slots are evenly used, the bounds are known beforehand, and blocks go
+straight to the task of their range. Each shard is sorted by slot and written as one file of fixed-stride records:
 slot s is at (s mod records) * stride of shard s // records, so a reader can begin or go on at any slot by one seek.
 Record: doc_id (int64; the least value for null), chunk and count of ids (uint32 each), then the ids, zero-padded.
 """
@@ -21,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import materialize, mix64, new_path, table, text_runs
-from mnemora.llm.tokens import ChunkIds, default_path, vocabulary
+from mnemora.llm.common import column_runs, materialize, mix64, new_path, table
+from mnemora.llm.tokens import RUN_BYTES, chunk_ids, default_path, vocabulary
 from mnemora.llm.warc import open_store
 
 LENGTH, RECORDS, KEY, END, ROUNDS = 256, 4096, 20_240_101, 2, 6
@@ -55,7 +56,9 @@ def record_type(length: int, wide: np.dtype) -> np.dtype:
 def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, length: int = LENGTH, records: int = RECORDS, key: int = KEY, end: int = END) -> DataFrame:
     """The manifest, one row a shard: shard, path, records, bytes. doc_id: a whole number. Written once.
 
-    Null and empty texts are the end id alone. Repeated rows are sequences of their own. An empty table has no shards.
+    Null and empty texts are the end id alone; texts of any length are cut into as many sequences as they need. Repeated
+    rows are sequences of their own. An empty table has no shards. The least 64-bit number as an id reads back as null,
+    for which it stands. Other columns of the input aren't used.
     Blocks of sequences for one shard travel together, compressed; a task writes a shard under a name of its own, so a task that is run
     again leaves an orphan at worst.
     """
@@ -68,15 +71,14 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=6)
+        part, at, memo, pack = TaskContext.get().partitionId(), 0, chunk_ids(path, end), zstandard.ZstdCompressor(level=6)
         for b in batches:
-            for run, texts in text_runs(b, "text"):
-                ids = memo.encode(texts)
-                n = np.array([-(-len(x) // (length * wide.itemsize)) for x in ids], np.int64)
-                size = np.array([len(x) // wide.itemsize for x in ids], np.int64)
+            for run in column_runs(b, "text", RUN_BYTES):
+                ids, size = memo.encode_column(run.column("text"))
+                n = -(-size // length)
                 doc = run.column("doc").fill_null(_NULL).to_numpy().astype("<i8")
                 # one row for a run of documents: heads and ids, compressed together
-                body = pack.compress(struct.pack("<q", len(ids)) + doc.tobytes() + size.astype("<i8").tobytes() + b"".join(ids))
+                body = pack.compress(struct.pack("<q", len(size)) + doc.tobytes() + size.astype("<i8").tobytes() + ids.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at]), pa.array([int(n.sum())]), pa.array([body], pa.binary())], names=["part", "at", "n", "body"])
                 at += int(n.sum())
 
@@ -161,7 +163,9 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // records)))
     blocks = tokens.select("part", "at", "body").mapInArrow(place, "shard long, n long, body binary")
-    got = blocks.repartition(tasks, "shard").sortWithinPartitions("shard").select("shard", "body").mapInArrow(write, _MANIFEST)
+    shards = -(-total // records)
+    ranges = blocks.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))  # the task of a range of shards
+    got = ranges.sortWithinPartitions("shard").select("shard", "body").mapInArrow(write, _MANIFEST)
     return materialize(got.withColumn("path", F.concat(F.lit(root.split(":/", 1)[0] + "://" if ":/" in root else ""), "path")), "shard-manifest")
 
 
@@ -174,18 +178,28 @@ def read_records(path: str, at: int, count: int, rec: np.dtype) -> np.ndarray:
 
 
 class SlotReader:
-    """Reads sequences in training order from any slot on; `slot` is all the state there is to resume."""
+    """Reads sequences in training order from any slot on; `slot` is all the state there is to resume.
+
+    The manifest stays a table: the places of `PAGE` shards are fetched at a time.
+    """
+
+    PAGE = 256
 
     def __init__(self, manifest: DataFrame, length: int = LENGTH, records: int = RECORDS, path: str | None = None) -> None:
-        self.paths = [r["path"] for r in manifest.orderBy("shard").collect()]
+        self.manifest, self.paths = manifest, {}
         self.total = int(manifest.agg(F.sum("records")).first()[0] or 0)
         self.rec, self.records, self.slot = record_type(length, np.dtype("<u2" if vocabulary(path or default_path()) <= 1 << 16 else "<u4")), records, 0
 
+    def _path(self, shard: int) -> str:
+        if shard not in self.paths:
+            self.paths = {r["shard"]: r["path"] for r in self.manifest.where(F.col("shard").between(shard, shard + self.PAGE - 1)).select("shard", "path").collect()}
+        return self.paths[shard]
+
     def read(self, count: int) -> list[np.ndarray]:
         """The ids of the next sequences."""
         out: list[np.ndarray] = []
         while len(out) < count and self.slot < self.total:
-            got = read_records(self.paths[self.slot // self.records], self.slot % self.records, count - len(out), self.rec)
+            got = read_records(self._path(self.slot // self.records), self.slot % self.records, count - len(out), self.rec)
             out += [r["ids"][: r["count"]] for r in got]
             self.slot += len(got)
         return out

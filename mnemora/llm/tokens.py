@@ -12,8 +12,12 @@ from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: Bytes of text that are encoded at once: the more, the fewer chunks are distinct.
+RUN_BYTES = 4_000_000
 #: The pattern of the tokenizer file's pre-tokenizer (fixed value of that format).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -38,71 +42,107 @@ def vocabulary(path: str) -> int:
     return tokenizer(path).get_vocab_size()
 
 
-class ChunkIds(dict):
-    """Memo: chunk of UTF-8 without ASCII white space, lower-cased, to its ids as little-endian bytes."""
+@cache
+def chunk_ids(path: str, end: int) -> ChunkIds:
+    """The memo of this worker process, kept from task to task."""
+    return ChunkIds(path, end)
+
+
+class ChunkIds:
+    """Memo: chunk of UTF-8 without ASCII white space, lower-cased, to its ids as little-endian bytes.
+
+    Pieces of chunks are chunks themselves and share the memo. It has two generations: a full one becomes the old one,
+    and what is met again moves to the new one, so that frequent chunks are never learnt twice and memory is bounded by
+    twice `most` chunks and those of one run of texts.
+    """
 
-    def __init__(self, path: str, end: int, most: int = 150_000, most_pieces: int = 500_000) -> None:
+    def __init__(self, path: str, end: int, most: int = 250_000) -> None:
         self.tok = tokenizer(path)
         vocab = self.tok.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
-        self.end, self.most, self.most_pieces = np.array([end], self.dtype).tobytes(), most, most_pieces
-        self.pieces: dict[str, bytes] = {}
+        self.end, self.most = np.array([end], self.dtype).tobytes(), most
+        self.new: dict[bytes, bytes] = {}  # plain dicts: sets are held against these without being copied
+        self.old: dict[bytes, bytes] = {}
         # each piece ends with one id of a word end, so many pieces can be encoded as one text and be told apart
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn_pieces(self, new: list[bytes]) -> None:
         for a in range(0, len(new), 5000):
             some = new[a : a + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
             cut = ((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()
             raw = ids.astype(self.dtype).tobytes()
             if len(cut) == len(some) and (not cut or cut[-1] == len(raw)):
-                self.pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True))
+                self.new.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut, strict=False)], strict=True))
             else:  # a vocabulary without word ends
-                for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.pieces[p] = np.array(e.ids, self.dtype).tobytes()
+                for p, e in zip(some, self.tok.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                    self.new[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def _unknown(self, chunks: set[bytes]) -> set[bytes]:
+        """What neither generation knows; what the old one knows moves to the new one."""
+        left = chunks.difference(self.new)
+        if self.old:
+            again = [c for c in left if c in self.old]
+            self.new.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            left.difference_update(again)
+        return left
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.pieces) > self.most_pieces:
-            self.pieces.clear()
         whole: list[bytes] = []  # one piece
-        ended: list[bytes] = []  # a piece and a sign
-        parts: dict[bytes, list[str]] = {}
-        words: list[str] = []
-        stems: list[str] = []
+        parts: dict[bytes, tuple[bytes, ...]] = {}
         for c in chunks:
-            text = c.decode()
-            if not text.isascii():
-                if not is_normalized("NFC", text) or "İ" in text or "Σ" in text:
-                    self[c] = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
-                    continue
-                text = text.lower()
-            if text.isalpha():
+            if c.isalpha():
                 whole.append(c)
-                words.append(text)
-            elif text[-1] in ".,!" and text[:-1].isalpha():
-                ended.append(c)
-                stems.append(text)
+            elif c[-1] in b".,!" and c[:-1].isalpha():
+                parts[c] = (c[:-1], c[-1:])
             else:
-                parts[c] = PIECES.findall(text)
-        known = self.pieces
-        new = {w for w in words if w not in known}
-        new.update(p for t in stems for p in (t[:-1], t[-1]) if p not in known)
-        new.update(p for ps in parts.values() for p in ps if p not in known)
-        self._learn_pieces(list(new))
-        self.update(zip(whole, map(known.__getitem__, words), strict=True))
-        for c, t in zip(ended, stems, strict=True):
-            self[c] = known[t[:-1]] + known[t[-1]]
+                text = c.decode()
+                if not text.isascii():
+                    if not is_normalized("NFC", text) or "İ" in text or "Σ" in text:
+                        self.new[c] = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+                        continue
+                    text = text.lower()
+                    if text.isalpha():
+                        parts[c] = (text.encode(),)
+                        continue
+                    if text[-1] in ".,!" and text[:-1].isalpha():
+                        parts[c] = (text[:-1].encode(), text[-1].encode())
+                        continue
+                parts[c] = tuple([p.encode() for p in PIECES.findall(text)])
+        pieces = set(whole)
+        for ps in parts.values():
+            pieces.update(ps)
+        self._learn_pieces(list(self._unknown(pieces)))
+        ids = self.new
         for c, ps in parts.items():
-            self[c] = b"".join([known[p] for p in ps])
+            ids[c] = ids[ps[0]] + ids[ps[1]] if len(ps) == 2 else b"".join([ids[p] for p in ps])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts (null: empty), each text's followed by the end id, and the count of each text.
+
+        Only distinct chunks meet the memo; words are cut, numbered and replaced by their ids in whole columns.
+        """
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+        # a sign after a letter and before white space is a piece of its own
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(low, r"(\pL)([.,!])(\s)", r"\1 \2\3"))
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_pylist()
+        left = self._unknown({c for c in chunks if c})
+        if left:
+            self.learn(left)
+        self.new[b""] = b""
+        ids = pa.array([*map(self.new.__getitem__, chunks), self.end], pa.binary())
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        # each word's ids laid end to end, with an end after each text
+        line = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(chunks))))
+        at = np.frombuffer(line.buffers()[1], np.int32)[: len(line) + 1]
+        stop = at[ends + np.arange(1, len(ends) + 1)] // self.dtype.itemsize
+        return np.frombuffer(line.buffers()[2] or b"", self.dtype)[: int(stop[-1]) if len(stop) else 0], np.diff(stop.astype(np.int64), prepend=0)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids and the end id."""
-        if len(self) > self.most:
-            self.clear()
-        split = [t.lower().split() for t in texts]
-        new = set().union(*split).difference(self)
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, chunks)) + self.end for chunks in split]
+        """Each text's ids and the end id, as little-endian bytes."""
+        flat, n = self.encode_column(pa.array([t.decode() for t in texts], pa.string()))
+        return [x.tobytes() for x in np.split(flat, np.cumsum(n)[:-1])] if len(texts) else []
