@@ -1,20 +1,24 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Symbols are words (A-Z lower-cased, without punctuation at their ends). Items of the benchmark are the small side: they are held in blocks of
-bounded size, and all documents are read against each block. A document's windows are as long as the item and start
-where one of its three-word runs would put it; an item of n words and a window within e = floor(rate * n) edits share
-such a run wherever n - e >= 3 * (e + 1) holds, so this leaves no window out for those; windows of shorter items start at
-every shared word.
-Items and windows go through the random walk of Chakraborty, Goldenberg and Koucky: step j writes the current symbol
-and moves on if a random bit of (j, symbol) says so, which maps edit distance to Hamming distance. Each of `walks`
-embeddings is cut to `bits` sampled places `tables` times; one equal sample makes a candidate. The number of tables is
-set from `recall`. Candidates are verified by the exact edit distance of the item to the best-matching part of the document.
+Symbols are words (A-Z lower-cased, without punctuation at their ends). Items of the benchmark are the small side: they
+are held in blocks of bounded size, and all documents are read against each block.
+Items are classed by length (`lo` to `hi` words, a third apart). A window begins at every word of a document where the
+next `lo` words hold as many word pairs of the block as an item with all its edits would leave there: `lo` - 1 - 2 * edits.
+That is a lower bound, so no window is lost.
+Windows and items go through the random walk of Chakraborty, Goldenberg and Koucky: step j writes the current symbol and
+moves on if a random bit of (j, symbol) says so, which maps edit distance to Hamming distance. A walk goes 1.5 * `lo`
+steps, which keeps it within the item. Each walk is cut to `BITS` sampled places `TABLES` times, and an equal sample in
+the block's hash table makes an item a candidate for the window. How many walks a class needs is found by planting
+edited copies of its items until `recall` of them meet; more edits or longer items take more walks.
+Candidates are verified by the exact edit distance of the item to the best-matching part of the document around them.
 """
 
 from __future__ import annotations
 
-import math
+import random
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from mnemora.llm.common import WordHashes, mix64, records, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, materialize, mix64, records, table, text_runs, unpack
 
-RATE, WALKS, BITS, RECALL, BLOCK_WORDS = 0.15, 8, 4, 0.999, 500_000
+RATE, BITS, TABLES, RECALL, BLOCK_WORDS = 0.15, 4, 4, 0.999, 500_000
+#: Numbers of walks to choose from, and planted copies to choose by.
+WALKS, TRIALS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64), 600
 _EDGE = b".,;:!?\"'()[]{}"
 
 
@@ -44,43 +51,31 @@ def allowed(n: int, rate: float) -> int:
     return int(rate * n + 1e-9)
 
 
-def tables_for(rate: float, bits: int, recall: float, walks: int, n: int = 40) -> int:
-    """Samples a walk, so that at `rate` edits a window meets its item with probability `recall` at least.
-
-    The bound takes the embedding's usual distortion: each edit costs about sqrt(3 n) / 2 places until the walks meet again.
-    """
-    apart = min(0.9, allowed(n, rate) * math.sqrt(3 * n) / 2 / (3 * n))
-    hit = (1 - apart) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit) / walks))
-
-
-def embed(seq: np.ndarray, walks: int, steps: np.ndarray) -> np.ndarray:
-    """CGK strings [rows, walks, max steps] of padded symbol rows [rows, n]; 0 pads. steps: 3 n of each row's item."""
-    rows, n = seq.shape
-    most = int(steps.max())
-    place = np.zeros((rows, walks), np.int64)
-    wide = np.concatenate([seq, np.zeros((rows, 1), np.uint64)], 1)
-    out = np.zeros((rows, walks, most), np.uint64)
-    line = np.arange(rows)[:, None]
-    salt = mix64(np.arange(1, walks * most + 1, dtype=np.uint64)).reshape(most, walks)
-    for j in range(most):
-        c = wide[line, np.minimum(place, n)]
-        out[:, :, j] = np.where((j < steps)[:, None], c, np.uint64(0))
-        place += ((mix64(c ^ salt[j]) & np.uint64(1)) & (c != 0)).astype(np.int64)
-    return out
-
-
-def samples(code: np.ndarray, steps: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Keys [rows, walks * tables]: hashes of `bits` sampled places of each walk. Places depend on the item's length alone."""
-    rows, walks, _ = code.shape
-    pick = mix64(np.arange(1, walks * tables * bits + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(walks, tables, bits)
-    at = (pick[None] % steps.astype(np.uint64)[:, None, None, None]).astype(np.int64)
-    got = code[np.arange(rows)[:, None, None, None], np.arange(walks)[None, :, None, None], at]
-    key = np.zeros(got.shape[:3], np.uint64)
+def walk_keys(line: np.ndarray, starts: np.ndarray, walks: int, steps: int) -> np.ndarray:
+    """Sampled keys [starts, walks * TABLES] of the walks that begin at `starts` of a line of symbols. 0 ends a text: walks stay there."""
+    salt = mix64(np.arange(1, walks * steps + 1, dtype=np.uint64)).reshape(walks, steps)
+    pick = (mix64(np.arange(1, walks * TABLES * BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(steps)).astype(np.int64).reshape(walks, TABLES, BITS)
+    out = np.empty((len(starts), walks, TABLES), np.uint64)
+    code = np.empty((steps, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
-        for b in range(bits):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + got[..., b])
-    return key.reshape(rows, -1)
+        for w in range(walks):
+            place = starts.copy()
+            for j in range(steps):
+                c = code[j] = line[place]
+                place += (mix64(c ^ salt[w, j]) & np.uint64(1)).astype(np.int64) * (c != 0)
+            for t in range(TABLES):
+                key = np.full(len(starts), w * TABLES + t + 1, np.uint64)
+                for b in range(BITS):
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + code[pick[w, t, b]])
+                out[:, w, t] = key
+    return out.reshape(len(starts), -1)
+
+
+def laid_out(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all sequences in one line, each followed by 0, and where each begins."""
+    n = np.array([len(s) + 1 for s in seqs], np.int64)
+    end = np.zeros(1, np.uint64)
+    return np.concatenate([end[:0], *[x for s in seqs for x in (s, end)]]), np.cumsum(n) - n
 
 
 def _column_ends(item: list[int], text: list[int], free: bool) -> list[int]:
@@ -112,65 +107,112 @@ def best_part(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return cost, end - (len(back) - 1 - back[::-1].index(cost)), end
 
 
+class LengthClass:
+    """Items of `lo` to `hi` words: steps and number of walks, and the hash table from sampled keys to items."""
+
+    def __init__(self, lo: int, hi: int, items: np.ndarray, rate: float) -> None:
+        self.lo, self.items = lo, items
+        self.need = max(1, lo - 1 - 2 * allowed(hi, rate))
+        self.steps = max(1, lo * 3 // 2 if lo >= 8 else lo)
+        self.walks = 1
+
+    def plant(self, seqs: list[np.ndarray], rate: float, recall: float) -> int:
+        """The least of WALKS by which `recall` of planted copies with all edits meet their item."""
+        r = random.Random(self.lo)
+        pairs = []
+        for trial in range(TRIALS):
+            s = seqs[self.items[trial % len(self.items)]]
+            x = s.tolist()
+            for _ in range(allowed(len(s), rate)):
+                at = r.randrange(len(x))
+                x[at : at + 1] = r.choice([[], [r.getrandbits(63) | 1], [x[at], r.getrandbits(63) | 1]])
+            pairs.append((s, np.array([*x, *(r.getrandbits(63) | 1 for _ in range(self.steps))], np.uint64)))
+        keys = [walk_keys(*laid_out(list(side)), WALKS[-1], self.steps) for side in zip(*pairs, strict=True)]
+        met = (keys[0] == keys[1]).reshape(TRIALS, WALKS[-1], TABLES).any(2)
+        return next((w for w in WALKS if met[:, :w].any(1).mean() >= recall), WALKS[-1])
+
+    def index(self, line: np.ndarray, begin: np.ndarray) -> None:
+        keys = walk_keys(line, begin[self.items], self.walks, self.steps)
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.keys, self.owner = keys.ravel()[order], np.repeat(self.items, keys.shape[1])[order]
+
+    def meet(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of every window that shares a sampled key with an item, once each."""
+        found = []
+        for a in range(0, len(starts), 4096):
+            some = starts[a : a + 4096]
+            keys = walk_keys(line, some, self.walks, self.steps)
+            low, high = np.searchsorted(self.keys, keys.ravel(), "left"), np.searchsorted(self.keys, keys.ravel(), "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            found.append(np.unique(np.stack([np.repeat(np.repeat(some, keys.shape[1]), n), self.owner[at]], 1), axis=0))
+        return tuple(np.concatenate(found).T) if found else (starts, starts)
+
+
 class Items:
-    """One block of the benchmark: symbols, run hashes that seed windows, and sampled keys."""
+    """One block of the benchmark: symbols, word pairs, and length classes with their hash tables."""
 
-    def __init__(self, rows: list[tuple[object, bytes]], rate: float, walks: int, bits: int, recall: float) -> None:
+    def __init__(self, rows: list[tuple[object, bytes]], rate: float, recall: float, walks: list[int] | None = None) -> None:
+        """walks: of each class, where they have been found before."""
         memo = Symbols()
         self.ids = [i for i, _ in rows]
         self.seq = [memo.read(t) for _, t in rows]
-        self.n = np.array([len(s) for s in self.seq])
-        self.edits = np.array([allowed(int(n), rate) for n in self.n])
-        self.walks, self.bits, self.tables = walks, bits, tables_for(rate, bits, recall, walks)
-        runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {1: [], 3: []}
-        for i, s in enumerate(self.seq):
-            k = 3 if len(s) - self.edits[i] >= 3 * (self.edits[i] + 1) else 1
-            h = run_hashes(s, k)
-            runs[k].append((h, np.full(len(h), i), np.arange(len(h))))
-        self.seed = {}
-        for k, parts in runs.items():
-            if parts:
-                h, i, o = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(h, kind="stable")
-                bloom = np.zeros(1 << 20, bool)
-                bloom[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.seed[k] = (h[order], i[order], o[order], bloom)
-        self.keys = self.sign(self.seq, np.arange(len(self.seq))) if len(rows) else None
-
-    def sign(self, windows: list[np.ndarray], item: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(windows), max(1, int(self.n[item].max()))), np.uint64)
-        for r, w in enumerate(windows):
-            wide[r, : len(w)] = w
-        steps = np.maximum(3 * self.n[item], 1)
-        return samples(embed(wide, self.walks, steps), steps, self.bits, self.tables)
-
-    def windows(self, s: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) where a shared run would put the item; starts may lie before the text's begin."""
-        found = []
-        for k, (h, item, offset, bloom) in self.seed.items():
-            r = run_hashes(s, k)
-            at = np.flatnonzero(bloom[(r & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            a, b = np.searchsorted(h, r[at], "left"), np.searchsorted(h, r[at], "right")
-            n = b - a
-            if n.any():
-                which = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                found.append(np.stack([item[which], np.repeat(at, n) - offset[which]], 1))
-        return [tuple(x) for x in np.unique(np.concatenate(found), axis=0).tolist()] if found else []
+        n = np.array([len(s) for s in self.seq])
+        self.edits = np.array([allowed(int(x), rate) for x in n])
+        self.classes: list[LengthClass] = []
+        left = np.unique(n)
+        while len(left):
+            lo = int(left[0])
+            hi = max(lo, lo * 4 // 3)
+            self.classes.append(LengthClass(lo, hi, np.flatnonzero((n >= lo) & (n <= hi)), rate))
+            left = left[left > hi]
+        line, begin = laid_out(self.seq)
+        for i, c in enumerate(self.classes):
+            c.walks = walks[i] if walks else c.plant(self.seq, rate, recall)
+            c.index(line, begin)
+        self.parts = {}
+        for k in (1, 2):  # single words seed items of one word, pairs all others
+            h = np.unique(np.concatenate([np.zeros(0, np.uint64), *[run_hashes(s, k) for s in self.seq if (len(s) == 1) == (k == 1)]]))
+            bloom = np.zeros(1 << 22, bool)
+            bloom[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            self.parts[k] = (h, bloom)
+
+    def _marks(self, line: np.ndarray, k: int) -> np.ndarray:
+        """Running count of the line's k-word runs that are the block's."""
+        h, bloom = self.parts[k]
+        r = run_hashes(line, k)
+        at = np.flatnonzero(bloom[(r & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if len(at):
+            at = at[h[np.minimum(np.searchsorted(h, r[at]), len(h) - 1)] == r[at]]
+        out = np.zeros(len(line) + 1, np.int32)
+        out[at + 1] = 1
+        return np.cumsum(out, dtype=np.int32)
 
     def hits(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item, edits, start, end) of each item within its edits of a part of the text, in words; the best part of each."""
-        some = [(d, i, b) for d, s in enumerate(texts) for i, b in self.windows(s)]
+        line, begin = laid_out(texts)
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        for a in range(0, len(some), 4000):
-            part = some[a : a + 4000]
-            item = np.array([i for _, i, _ in part])
-            keys = self.sign([texts[d][max(0, b) : max(0, b + self.n[i])] for d, i, b in part], item)
-            for (d, i, b), ok in zip(part, (keys == self.keys[item]).any(1).tolist(), strict=True):
-                if not ok or out[d].get(i, (1,))[0] == 0:
-                    continue
-                e = int(self.edits[i])
-                low = max(0, b - e)
-                cost, x, y = best_part(self.seq[i].tolist(), texts[d][low : max(0, b + int(self.n[i]) + e)].tolist())
+        near: dict[tuple[int, int], list[int]] = {}
+        marks = {k: self._marks(line, k) for k in {min(c.lo, 2) for c in self.classes}}
+        for c in self.classes:
+            m, span = marks[min(c.lo, 2)], max(1, c.lo - 1)
+            if not m[-1]:
+                continue
+            # a window may begin after the last pairs that it has room for; the line's end is cut off
+            count = m[np.minimum(np.arange(len(line)) + span, len(line))] - m[:-1]
+            starts, items = c.meet(line, np.flatnonzero(count >= c.need))
+            for d, b, i in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), items.tolist(), strict=True):
+                near.setdefault((d, i), []).append(b - int(begin[d]))
+        for (d, i), places in near.items():
+            e, n = int(self.edits[i]), len(self.seq[i])
+            regions: list[list[int]] = []
+            for b in places:  # ascending
+                if regions and b - e <= regions[-1][1]:
+                    regions[-1][1] = b + n + e
+                else:
+                    regions.append([max(0, b - e), b + n + e])
+            for low, high in regions:
+                cost, x, y = best_part(self.seq[i].tolist(), texts[d][low:high].tolist())
                 if cost <= e and (cost, low + x) < out[d].get(i, (1 << 60,))[:2]:
                     out[d][i] = (cost, low + x, low + y)
         return [[(i, *v) for i, v in sorted(found.items())] for found in out]
@@ -185,30 +227,61 @@ def run_hashes(s: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, walks: int = WALKS, bits: int = BITS, recall: float = RECALL) -> DataFrame:
+_held: dict[str, Items] = {}
+
+
+def _items(name: str, rows: list[tuple[object, bytes]], rate: float, recall: float, walks: list[int]) -> Items:
+    """The block's tables, made once in a worker process; those of one block are held at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Items(rows, rate, recall, walks)
+    return _held[name]
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, recall: float = RECALL) -> DataFrame:
     """Columns rec (the input row), row, and hits: an array of (item_id, edits, start, end), sorted by item. Rows without hits have an empty array.
 
-    Null texts and texts without words have none, nor do items without words; an item is found however often it is listed.
-    The benchmark is read to the driver in blocks of at most BLOCK_WORDS words; each block is one pass over the documents.
+    An item of n words is found in parts within floor(rate * n) edits of it. Null texts and texts without words have no
+    hits, nor do items without words; texts and items of any length are read whole. An item is found however often it is
+    listed, and an id with several texts has a hit for each that is found. Of parts with equally many edits that which
+    begins first counts; different items may share a part. Repeated rows have hits of their own; an empty table or
+    benchmark gives none. Columns of the input stay in `rec`, so their names don't matter.
+    The benchmark is read to the driver in blocks of at most BLOCK_WORDS words (or one item); a block is one pass over
+    the documents, and of several passes each is written before the next block is read, so one block is held at a time.
     """
+    spark = df.sparkSession
     base = records(df, F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text"))
     ident = benchmark.schema[item_id].dataType
     hit = T.ArrayType(T.StructType([T.StructField("item_id", ident), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    got = base.select("rec", "row", "__text", F.array().cast(hit).alias("hits"))
-    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("__text", base.schema["__text"].dataType), T.StructField("hits", hit)])
-    for rows in _blocks(benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")):
 
-        def run(batches: Iterator[pa.RecordBatch], rows: list[tuple[object, bytes]] = rows) -> Iterator[pa.RecordBatch]:
-            items, memo = Items(rows, rate, walks, bits, recall), Symbols()
+    def scan(docs: DataFrame, rows: list[tuple[object, bytes]]) -> DataFrame:
+        walks = [c.walks for c in Items(rows, rate, recall).classes]
+        name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(rows)  # at most BLOCK_WORDS words
+        kept = [c for c in docs.columns if c != "__text"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, memo = _items(name, shared.value, rate, recall, walks), Symbols()
             for batch in batches:
                 for part, texts in text_runs(batch, "__text"):
                     hits = items.hits([memo.read(t) for t in texts])
-                    found = [[*before, *({"item_id": items.ids[i], "edits": e, "start": x, "end": y} for i, e, x, y in new)] for before, new in zip(part.column("hits").to_pylist(), hits, strict=True)]
                     memo.trim()
-                    yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), pa.array(found, part.column("hits").type)], names=["rec", "row", "__text", "hits"])
+                    found = [[{"item_id": items.ids[i], "edits": e, "start": x, "end": y} for i, e, x, y in one] for one in hits]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(found, to_arrow_type(hit))], names=[*kept, "hits"])
+
+        return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], T.StructField("hits", hit)]))
 
-        got = got.mapInArrow(run, schema)
-    return got.select("rec", "row", F.array_sort("hits").alias("hits"))
+    blocks = _blocks(benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null"))
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return base.select("rec", "row", F.array().cast(hit).alias("hits"))
+    if second is None:
+        return scan(base, first).select("rec", "row", F.array_sort("hits").alias("hits"))
+    every: DataFrame | None = None
+    for rows in chain([first, second], blocks):
+        got = materialize(scan(base.select("row", "__text"), rows).where(F.size("hits") > 0), "leaks")
+        every = got if every is None else every.union(got)
+    sums = every.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # a document's own hits
+    return base.select("rec", "row").join(sums, "row", "left").select("rec", "row", F.coalesce("hits", F.array().cast(hit)).alias("hits"))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
@@ -228,7 +301,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The input's rows without hits."""
+    """The input's rows and columns, without rows that have hits (see leaks()). Null and empty texts stay."""
     return unpack(leaks(df, benchmark, **options).where(F.size("hits") == 0), df.columns)
 
 
