@@ -5,9 +5,10 @@ words; a leaf holds the lines that agree in these. In a leaf, a word that stands
 lines is fixed, any other is a field, so lines that differ in names or codes share a template; where more than
 `fields` of the words would be fields, the leaf holds unlike lines, and the line itself is the template. This rule needs no order of arrival,
 so leaves of any size are counted by pre-aggregated sums and no leaf is gathered in one task.
-A template recurs if it stands in documents of at least `min_docs` copy classes (components of near-dedup): copies of
-one document, however many, count once, and are the business of document dedup. Lines of recurring templates are
-dropped, in passages of any number of lines.
+A template without a fixed word (a line of numbers) is no template. Else it recurs if it stands in documents of at least
+`min_docs` copy classes: copies of one document, however many, count once, and are the business of document dedup. Copy
+classes are components of near-dedup over the documents that hold a template of `min_docs` documents; the others have
+no say. Lines of recurring templates are dropped, in passages of any number of lines and lines of any number of words.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from mnemora.llm.common import WordHashes, materialize, records_beside, table, text_runs, unpack
 from mnemora.llm.near_dedup import near_duplicates
 
-LEAD, SUPPORT, MIN_DOCS, MIN_WORDS, FIELDS = 3, 3, 3, 3, 0.4
+LEAD, SUPPORT, MIN_DOCS, FIELDS = 3, 3, 3, 0.4
+#: Bands and rows of signatures for copy classes: a pair at 0.8 meets with probability 0.985, a group of copies is one by its many pairs.
+BANDS, ROWS = 8, 4
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _STAR = b"<*>"
 
@@ -48,12 +51,17 @@ def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int]]:
         if words:
             at.append(i)
             leaf.append(_hash(b"%d " % len(words) + b" ".join(words[:lead])))
-            line.append(_hash(b" ".join(words)) if len(words) >= MIN_WORDS else 0)
+            line.append(_hash(b" ".join(words)) if any(w != _STAR for w in words) else 0)
     return at, leaf, line
 
 
 def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS) -> DataFrame:
-    """Columns rec (the input row but its text), row, text, n_lines (with words), drop (positions of lines to drop, from 0). Null texts have none."""
+    """Columns rec (the input row but its text), row, parts (the text's lines), n_lines (with words), drop (positions of lines to drop, from 0).
+
+    A null text has null parts, an empty one a single empty line; neither has lines to drop. Texts and lines of any
+    length are read whole. A line that a document repeats counts once for its template and is dropped at every place.
+    Repeated rows are copies of one document. An empty table gives no rows; columns of the input stay in `rec`.
+    """
     base = records_beside(df, text, F.monotonically_increasing_id().alias("row"))
     long_list = T.ArrayType(T.LongType())
     schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line")]])
@@ -66,7 +74,8 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.array([x for g in got for x in g[c]], np.uint64).view(np.int64))) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), *lists], names=["rec", "row", "text", "at", "leaf", "line"])
 
-    docs = materialize(base.mapInArrow(keys, schema), "lines")
+    docs = base.mapInArrow(keys, schema).select("rec", "row", F.split("text", "\n", -1).alias("parts"), "at", "leaf", "line")
+    docs = materialize(docs, "lines")
     every = docs.select("row", F.explode(F.arrays_zip("at", "leaf", "line")).alias("x")).select("row", "x.*").where("line <> 0")
     leaves = every.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
     lines = materialize(every.join(leaves, "leaf"), "lines-often")
@@ -79,12 +88,14 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for part, texts in text_runs(batch, "text"):
-                rows = [(w["leaf"], w["line"], w["n"], memo.of(masked(parts[w["at"]])).view(np.int64)) for parts, want in zip((t.split(b"\n") for t in texts), part.column("want").to_pylist(), strict=True) for w in want]
+            for part, texts in text_runs(batch, "some"):
+                found = part.column("want").to_pylist()
+                rows = [(w["leaf"], w["line"], w["n"], memo.of(masked(x)).view(np.int64)) for lines, want in zip((t.split(b"\n") for t in texts), found, strict=True) for x, w in zip(lines, want, strict=True)]
                 memo.trim()
                 yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["leaf", "line", "n", "words"])
 
-    word = docs.select("row", "text").join(wanted, "row").select("text", "want").mapInArrow(words, "leaf long, line long, n long, words array<long>")
+    wanted = docs.select("row", "parts").join(wanted, "row").select(F.array_join(F.transform("want", lambda w: F.col("parts")[w["at"].cast("int")]), "\n").alias("some"), "want")
+    word = wanted.mapInArrow(words, "leaf long, line long, n long, words array<long>")
     word = materialize(word, "lines-words").select("leaf", "line", "n", F.posexplode("words").alias("place", "word"))
     fixed = word.groupBy("leaf", "place", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= support).select("leaf", "place", "word", F.lit(True).alias("fixed"))
     shape = word.join(fixed, ["leaf", "place", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("word") != F.lit(np.uint64(_hash(_STAR)).astype(np.int64).item())))
@@ -92,23 +103,28 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     shape = shape.select("leaf", "line", F.when(F.col("open") <= fields, F.col("shape")).otherwise(F.col("line")).alias("template"))
     lines = lines.join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     lines = materialize(lines.select("row", "at", "template"), "lines-templates")
-    classes = near_duplicates(docs.select(F.col("row").alias("of"), "text"), "text").select(F.col("rec.of").alias("row"), "comp")
-    holds = lines.select("template", "row").distinct().join(classes, "row").select("template", "comp").distinct()
-    often = holds.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    holds = lines.select("template", "row").distinct()
+    often = holds.groupBy("template").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("template")
+    holds = materialize(holds.join(often, "template"), "lines-holds")
+    some = docs.select("row", F.array_join("parts", "\n").alias("text")).join(holds.select("row").distinct(), "row")
+    classes = near_duplicates(some.select(F.col("row").alias("of"), "text"), "text", bands=BANDS, rows=ROWS).select(F.col("rec.of").alias("row"), "comp")
+    often = holds.join(classes, "row").select("template", "comp").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
     drop = lines.join(often, "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop"))
-    got = docs.select("rec", "row", "text", F.size("at").cast("long").alias("n_lines")).join(drop, "row", "left")
+    got = docs.select("rec", "row", "parts", F.size("at").cast("long").alias("n_lines")).join(drop, "row", "left")
     return got.withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
 
 
-def _clean(text: object, drop: object) -> object:
-    """The text without the lines at the dropped positions; a null text stays null."""
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(drop, i.cast("long")))
-    return F.when(F.size(drop) == 0, text).otherwise(F.array_join(left, "\n"))
+def _clean(parts: object, drop: object) -> object:
+    """The text without the lines at the dropped positions; a null text stays null. Linear in the lines."""
+    every = F.sequence(F.lit(0).cast("long"), (F.size(parts) - 1).cast("long"))
+    left = F.transform(F.array_except(every, drop), lambda i: parts[i.cast("int")])
+    return F.array_join(F.when(F.size(drop) == 0, parts).otherwise(left), "\n")
 
 
 def drop_lines(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **options: object) -> DataFrame:
-    """The input's rows and columns, with recurring lines cut from the text (and n_chars, if there, counted anew). No row is dropped."""
-    got = recurring(df, text, **options).withColumn("clean", _clean(F.col("text"), F.col("drop")))
+    """The input's rows and columns, with recurring lines cut from the text (and n_chars, if there, counted anew where a
+    line was cut). No row is dropped: a text of which nothing is left is empty. Otherwise as recurring()."""
+    got = recurring(df, text, **options).withColumn("clean", _clean(F.col("parts"), F.col("drop")))
     own = {text: F.col("clean")} | ({n_chars: F.when(F.size("drop") == 0, F.col("rec").getField(n_chars)).otherwise(F.char_length("clean")).cast(df.schema[n_chars].dataType)} if n_chars in df.columns else {})
     return unpack(got, df.columns, **own).select(*df.columns)
 
@@ -116,5 +132,5 @@ def drop_lines(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents`: doc_id, n_lines (with words), n_dropped, and sha-256 of the text that is left (null: of an empty one)."""
     got = recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    clean = F.coalesce(_clean(F.col("text"), F.col("drop")), F.lit(""))
+    clean = F.coalesce(_clean(F.col("parts"), F.col("drop")), F.lit(""))
     return got.select(F.col("rec.doc_id").alias("doc_id"), "n_lines", F.size("drop").cast("long").alias("n_dropped"), F.sha2(clean, 256).alias("kept_sha256"))

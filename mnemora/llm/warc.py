@@ -4,8 +4,8 @@ Writing. Pages are dealt into ranges of their reversed-host key, and each range
 folder: WARC/1.0 records, a gzip member each. Payloads of at least `least` bytes that are equal (SHA-1 and size) are
 stored once, with the largest page_id; the others are revisit records that name it.
 Index. Each archive's captures, one text line each, are sorted by (reversed-host key, page) and cut into gzip blocks of
-`lines` lines; the first key of each block goes into a sparse directory. As ranges don't overlap, archives in order of
-their range make one sorted index.
+`lines` lines; the first key of each block goes into a sparse directory. Ranges, order and directory have one key, made
+once, and ranges don't overlap, so archives in order of their range make one sorted index.
 Lookup. A binary search in the directory finds the block, a binary search in the block the line, and a range read of
 the archive the record. Files are written under a name of the attempt's own and named by what the task returns, so a
 lost executor leaves an orphan at worst.
@@ -18,10 +18,11 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,20 +37,27 @@ VERSION = b"WARC/1.0\r\n"
 _DIRECTORY = T.StructType([T.StructField(c, t) for c, t in (("part", T.IntegerType()), ("block", T.IntegerType()), ("first_key", T.StringType()), ("archive", T.StringType()), ("index", T.StringType()), ("offset", T.LongType()), ("size", T.LongType()), ("captures", T.LongType()))])
 
 
+#: A URL's authority, path and query; the same pattern for Spark and Python.
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[0-9]*)?([^?#]*)(\?[^#]*)?"
+_BLANK, _UPPER, _LOWER = "".join(map(chr, range(33))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def reversed_host(url: str | None) -> str:
-    """`http://a.b.org:80/x?y#z` as `org,b,a)/x?y`: lower-case host parts from the right, no scheme, port or fragment. Null: empty."""
-    try:
-        p = urlsplit((url or "").strip())
-        host = (p.hostname or "").lower()
-    except ValueError:
-        return (url or "").strip()
-    return ",".join(reversed(host.split("."))) + ")" + (p.path or "/") + (f"?{p.query}" if p.query else "") if host else (url or "").strip()
+    """`http://a.b.org:80/x?y#z` as `org,b,a)/x?y`: A-Z of the host lower-cased, its parts from the right, no scheme, user,
+    port or fragment, an empty path as `/`. What has no host is its own key, without blanks around it; null is empty."""
+    url = (url or "").strip(_BLANK)
+    m = re.match(_URL, url)
+    if not m or not m[1]:
+        return url
+    return ",".join(reversed(m[1].translate(str.maketrans(_UPPER, _LOWER)).split("."))) + ")" + (m[2] or "/") + (m[3] if len(m[3] or "") > 1 else "")
 
 
 def key_column(url: object) -> object:
-    """reversed_host() as an expression, for range partitioning; equal order is not needed, only the same spread."""
-    host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)), F.lit(""))
+    """reversed_host() as an expression. Archives are ranges of this key and captures are sorted by it."""
+    url = F.coalesce(F.btrim(url, F.lit(_BLANK)), F.lit(""))
+    host, path, query = (F.regexp_extract(url, _URL, i) for i in (1, 2, 3))
+    turned = F.array_join(F.reverse(F.split(F.translate(host, _UPPER, _LOWER), r"\.", -1)), ",")
+    return F.when(host == "", url).otherwise(F.concat(turned, F.lit(")"), F.when(path == "", "/").otherwise(path), F.when(F.length(query) > 1, query).otherwise("")))
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -63,9 +71,9 @@ def _line_safe(text: str) -> str:
 
 def record(page: str, url: str, payload: bytes, refers: str | None, digest: bytes, size: int) -> bytes:
     """One gzip member: a response with the payload, or a revisit with the digest of what it would hold."""
-    head = [b"WARC-Type: " + (b"response" if refers is None else b"revisit"), f"WARC-Record-ID: <urn:page:{page}>".encode(), b"WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line_safe(url)}".encode(), b"WARC-Payload-Digest: sha1:" + base64.b32encode(digest), b"X-Payload-Length: %d" % size, b"Content-Type: application/http; msgtype=response"]
+    head = [b"WARC-Type: " + (b"response" if refers is None else b"revisit"), f"WARC-Record-ID: <urn:page:{quote(page, safe='')}>".encode(), b"WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_line_safe(url)}".encode(), b"WARC-Payload-Digest: sha1:" + base64.b32encode(digest), b"X-Payload-Length: %d" % size, b"Content-Type: application/http; msgtype=response"]
     if refers is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers}>".encode(), b"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{quote(refers, safe='')}>".encode(), b"WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + (payload if refers is None else b"")
     raw = VERSION + b"\r\n".join(head) + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -94,6 +102,8 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", html:
 
     Null html is an empty payload, null url an empty one; a null page can't be referred to and is always a response.
     Repeated rows with one page_id are equal copies of one capture: each is written, and refers to the first's page.
+    Payloads of any length are one record (a member is made in memory); of equal payloads the largest page_id is the
+    response. An empty table has an empty directory. Other columns of the input aren't used, whatever their names.
     """
     spark = df.sparkSession
     spark_root = new_path(spark, "warc")
@@ -106,10 +116,11 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", html:
     refers = small.withColumn("salt", F.pmod(F.hash("page"), F.lit(SALT))).join(twice, F.expr("digest = d2 and size = s2 and salt = salt2 and page <> best"))
     # a reference travels to its page's place in the order, just before the page, so payloads are shuffled once
     kind = [F.lit(None).cast(t).alias(n) for n, t in (("url", "string"), ("payload", "binary"))]
-    ahead = refers.select("key", "page", F.lit(0).alias("kind"), *kind, F.col("digest"), F.col("size"), F.col("best").alias("refers")).distinct()
-    rows = pages.select("key", "page", F.lit(1).alias("kind"), "url", "payload", "digest", "size", F.lit(None).cast(pages.schema["page"].dataType).alias("refers"))
+    ahead = refers.select("key", "page", F.lit(0).cast("long").alias("tie"), F.lit(0).alias("kind"), *kind, F.col("digest"), F.col("size"), F.col("best").alias("refers")).distinct()
+    tie = lambda c: F.when(F.col("page").isNull(), c).otherwise(F.lit(0).cast("long")).alias("tie")  # noqa: E731  pages without an id are spread, too
+    rows = pages.select("key", "page", tie(F.monotonically_increasing_id()), F.lit(1).alias("kind"), "url", "payload", "digest", "size", F.lit(None).cast(pages.schema["page"].dataType).alias("refers"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.union(ahead).repartitionByRange(parts, "key", "page").sortWithinPartitions("key", "page", "kind").select("page", "kind", "url", "payload", "digest", "size", "refers")
+    dealt = rows.union(ahead).repartitionByRange(parts, "key", "page", "tie").sortWithinPartitions("key", "page", "tie", "kind").select("key", "page", "kind", "url", "payload", "digest", "size", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,7 +128,7 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", html:
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         captures, out, at, archive, ahead = [], None, 0, "", {}
         for b in batches:
-            for p, kind, u, payload, digest, size, refers in zip(*[b.column(i).to_pylist() for i in range(7)], strict=True):
+            for key, p, kind, u, payload, digest, size, refers in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
                 if not kind:
                     ahead = {k: v for k, v in ahead.items() if k[0] == p} | {(p, digest, size): refers}
                     continue
@@ -129,18 +140,17 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", html:
                     out = store.open_output_stream(archive, compression=None)
                 member = record(str(p), u, payload, None if refers is None else str(refers), digest, size)
                 out.write(member)
-                captures.append((reversed_host(u), p is None, p or 0, at, len(member)))
+                captures.append((key, p, at, len(member)))
                 at += len(member)
         if out is None:
             return
         out.close()
-        captures.sort()
         rows, offset = [], 0
         index = f"{root}/part-{part:05d}-{name}.cdx.gz"
         with store.open_output_stream(index, compression=None) as f:
             for block, a in enumerate(range(0, len(captures), lines)):
                 some = captures[a : a + lines]
-                text = "".join(json.dumps([k, None if none else p, o, n]) + "\n" for k, none, p, o, n in some)
+                text = "".join(json.dumps(c) + "\n" for c in some)
                 data = gzip.compress(text.encode(), mtime=0)
                 f.write(data)
                 rows.append((part, block, some[0][0], archive, index, offset, len(data), len(some)))
@@ -177,7 +187,7 @@ def read_archives(directory: DataFrame) -> DataFrame:
                         headers, payload = parse(f.read_at(n, at))
                         revisit = headers["warc-type"] == "revisit"
                         digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        rows.append((None if page is None else str(page), key, headers["warc-type"], headers["warc-refers-to"][10:-1] if revisit else None, digest, int(headers["x-payload-length"]) if revisit else len(payload), None if revisit else payload))
+                        rows.append((None if page is None else str(page), key, headers["warc-type"], unquote(headers["warc-refers-to"][10:-1]) if revisit else None, digest, int(headers["x-payload-length"]) if revisit else len(payload), None if revisit else payload))
                         size += len(payload)
                         if size > 8_000_000:
                             yield _captures(rows)
@@ -195,26 +205,45 @@ def _captures(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class CaptureIndex:
-    """Point lookups: the sparse directory in order (one row for `lines` captures), then one block, then one range read."""
+    """Point lookups by binary searches: of the archives' first keys (one for each partition that wrote), of the block
+    directory of the archives found, of the lines of a block; then a range read of each record.
+
+    The directory stays a table: only the archives' first keys are held, and the blocks of the archives asked last.
+    """
+
+    HELD = 64
 
     def __init__(self, directory: DataFrame) -> None:
-        self.rows = sorted(directory.collect(), key=lambda r: (r["first_key"], r["part"], r["block"]))
-        self.keys = [r["first_key"] for r in self.rows]
+        self.directory = directory
+        first = directory.where("block = 0").select("first_key", "part").collect()
+        self.parts = sorted((r["first_key"], r["part"]) for r in first)
+        self.blocks: dict[int, list] = {}
+
+    def _blocks(self, part: int) -> list:
+        if part not in self.blocks:
+            if len(self.blocks) >= self.HELD:
+                self.blocks.clear()
+            self.blocks[part] = self.directory.where(F.col("part") == part).orderBy("block").collect()
+        return self.blocks[part]
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Headers and payloads of all captures of a URL (equal reversed-host key)."""
         key = reversed_host(url)
-        at = max(0, bisect.bisect_left(self.keys, key) - 1)
+        at = max(0, bisect.bisect_left(self.parts, key, key=lambda x: x[0]) - 1)
         out = []
-        while at < len(self.rows) and self.keys[at] <= key:
-            r = self.rows[at]
-            store, index = open_store(_uri(r["store"], r["index"]))
-            lines = read_block(store, index, r["offset"], r["size"])
-            i = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            with store.open_input_file(open_store(_uri(r["store"], r["archive"]))[1]) as f:
-                while i < len(lines) and lines[i][0] == key:
-                    out.append(parse(f.read_at(lines[i][3], lines[i][2])))
-                    i += 1
+        while at < len(self.parts) and self.parts[at][0] <= key:
+            blocks = self._blocks(self.parts[at][1])
+            b = max(0, bisect.bisect_left(blocks, key, key=lambda r: r["first_key"]) - 1)
+            while b < len(blocks) and blocks[b]["first_key"] <= key:
+                r = blocks[b]
+                store, index = open_store(_uri(r["store"], r["index"]))
+                lines = read_block(store, index, r["offset"], r["size"])
+                i = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                with store.open_input_file(open_store(_uri(r["store"], r["archive"]))[1]) as f:
+                    while i < len(lines) and lines[i][0] == key:
+                        out.append(parse(f.read_at(lines[i][3], lines[i][2])))
+                        i += 1
+                b += 1
             at += 1
         return out
 
