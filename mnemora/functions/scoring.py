@@ -84,6 +84,11 @@ def salience(best: Column, density: Column, spread: Column, relevance: Column) -
     return clamp(F.greatest(clamp(1 - best), density * spread) * clamp(relevance))
 
 
+def provisional_salience(best: Column, relevance: Column) -> Column:
+    """Novelty at ingest, weighted by content."""
+    return clamp(clamp(1 - best) * clamp(relevance))
+
+
 def recurrence_blend(raw: Column, sessions: Column, days: Column, contexts: Column, reuse: Column) -> Column:
     return F.least(F.lit(1.0), 0.10 * F.log1p(raw) + 0.25 * F.log1p(sessions) + 0.35 * F.log1p(days) + 0.20 * F.least(contexts / 8, F.lit(1.0)) + 0.10 * F.log1p(reuse))
 

@@ -5,6 +5,8 @@ Everything here stays in the JVM. Token lists are arrays; `toks` arguments are c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,15 +112,25 @@ def chunks(text: Column, target: int = 550, overlap: int = 80) -> Column:
     step = target - min(overlap, target // 2)
     words = F.filter(F.split(normalize(text), " "), lambda w: w != "")
     n = F.size(words)
-    last = F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / F.lit(float(step))).cast("int"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(target)), " "))).otherwise(F.array().cast("array<string>"))
+    last = lambda n: F.when(n <= target, F.lit(0)).otherwise(F.ceil((n - target) / F.lit(float(step))).cast("int"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), last(F.size(w))), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(target)), " "))
+    return F.when(n > 0, once(words, cut)).otherwise(F.array().cast("array<string>"))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: a lambda's argument isn't evaluated anew inside inner lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def keywords(text: Column, most: int) -> Column:
-    """The most frequent tokens, of equal ones the alphabetically first."""
-    toks = tokenize(text)
-    counted = F.transform(F.array_distinct(toks), lambda t: F.struct((-F.size(F.filter(toks, lambda u: u == t))).alias("n"), t.alias("t")))
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: s["t"])
+    """The most frequent tokens, of equal ones the alphabetically first. Counts are lengths of runs of the sorted tokens."""
+
+    def count(t: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return once(first, lambda f: F.transform(f, lambda at, k: F.struct((at - F.coalesce(F.get(f, k + 1), F.size(t))).alias("n"), F.get(t, at).alias("t"))))
+
+    counted = once(F.array_sort(tokenize(text)), lambda t: F.when(F.size(t) > 0, F.transform(F.slice(F.array_sort(count(t)), 1, most), lambda s: s["t"])).otherwise(F.array().cast("array<string>")))
+    return F.when(text.isNotNull(), counted)
 
 
 def guess_topic(tags: Column, words: Column) -> Column:

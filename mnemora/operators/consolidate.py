@@ -22,7 +22,7 @@ from mnemora.functions.sketch import reservoir
 from mnemora.functions.text import STOPWORDS
 from mnemora.operators import graph
 from mnemora.operators.segment import era_of, merge_micro, segment
-from mnemora.operators.similarity import connected, cut_lineage, similar_pairs, unit_rows
+from mnemora.operators.similarity import connected, cut_lineage, neighbor_sums, similar_pairs, unit_rows
 from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
 
@@ -144,37 +144,56 @@ def _derived(rows: DataFrame, like: DataFrame, now: int) -> DataFrame:
     return rows.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
-def _mentions(base: DataFrame, most: int = 10) -> DataFrame:
+def _mentions(base: DataFrame, each: DataFrame, most: int = 10) -> DataFrame:
     """(id, raw): summed weights of all rows that share a term, each row once.
 
-    Rows aren't paired over popular terms: the sum over a union is the alternating sum over the sets of terms that a row
-    has, and the weight of all rows that hold a set is one pre-aggregated sum. Rows with more than `most` terms, whose
-    sets would be too many, are few; they are paired.
+    Rows aren't paired over popular terms. Terms of a single row play no part; rows with the same terms otherwise are one
+    set with a summed weight. The sum over a union is the alternating sum over the subsets of a set's terms, and the weight
+    of all sets that hold a subset is one pre-aggregated sum. Sets of more than `most` shared terms, whose subsets would
+    be too many, are few; they are paired.
     """
-    few, many = base.where(F.size("terms") <= most), base.where(F.size("terms") > most)
-    subsets = F.expr("transform(sequence(1, cast(pow(2, size(terms)) as int) - 1), m -> named_struct('set', xxhash64(array_sort(filter(terms, (t, i) -> (shiftright(m, i) & 1) = 1))), 'sign', if(bit_count(m) % 2 = 1, 1, -1)))")
-    sets = few.select("id", "w", F.explode(subsets).alias("s")).select("id", "w", "s.set", "s.sign")
-    weight = sets.groupBy("set").agg(F.sum("w").alias("total"))
-    raw = sets.join(weight, "set").groupBy("id").agg(F.sum(F.col("sign") * F.col("total")).alias("raw"))
-    term = lambda df, n: df.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"), F.explode("terms").alias("term"))
-    pairs = term(base, "p").join(term(many, "q"), "term").select("p", "q", "wp", "wq").distinct()
-    extra = pairs.select(F.col("p").alias("id"), F.col("wq").alias("raw")).union(pairs.join(few.select(F.col("id").alias("p")), "p", "left_semi").select(F.col("q").alias("id"), F.col("wp").alias("raw")))
-    return raw.union(extra).groupBy("id").agg(F.sum("raw").alias("raw"))
+    shared = each.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term")
+    kept = each.join(shared, "term").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a row's own terms
+    rows = base.select("id", "w").join(kept, "id", "left").withColumn("set", F.coalesce(F.xxhash64("terms"), F.lit(0))).withColumn("set", F.when(F.col("terms").isNull(), None).otherwise(F.col("set")))
+    sets = cut_lineage(rows.where("set is not null").groupBy("set").agg(F.first("terms").alias("terms"), F.sum("w").alias("w")))
+    few, many = sets.where(F.size("terms") <= most), sets.where(F.size("terms") > most)
+    subsets = F.expr("transform(sequence(1, cast(pow(2, size(terms)) as int) - 1), m -> named_struct('sub', xxhash64(filter(terms, (t, i) -> (shiftright(m, i) & 1) = 1)), 'sign', if(bit_count(m) % 2 = 1, 1, -1)))")
+    subs = few.select("set", "w", F.explode(subsets).alias("s")).select("set", "w", "s.sub", "s.sign")
+    weight = subs.groupBy("sub").agg(F.sum("w").alias("total"))
+    raw = subs.join(weight, "sub").groupBy("set").agg(F.sum(F.col("sign") * F.col("total")).alias("raw"))
+    term = lambda df, n: df.select(F.col("set").alias(n), F.col("w").alias(f"w{n}"), F.explode("terms").alias("term"))
+    pairs = term(sets, "p").join(term(many, "q"), "term").select("p", "q", "wp", "wq").distinct()
+    extra = pairs.select(F.col("p").alias("set"), F.col("wq").alias("raw")).union(pairs.join(few.select(F.col("set").alias("p")), "p", "left_semi").select(F.col("q").alias("set"), F.col("wp").alias("raw")))
+    raw = raw.union(extra).groupBy("set").agg(F.sum("raw").alias("raw"))
+    return rows.join(raw, "set", "left").select("id", F.coalesce("raw", "w").alias("raw"))
+
+
+#: Where each count alone brings the blend to its limit (sessions, days) or its own part to its limit (contexts): more makes no difference.
+ENOUGH = {"s": 54, "d": 17, "c": 8}
 
 
 def recurrence(memories: DataFrame, evidence: DataFrame, sessions_by: str = "session:") -> DataFrame:
-    """(id, raw, sessions, days, contexts, blend) of rows with terms: what the rows that share a term with each have, its own included."""
-    base = memories.select("id", x.recurrence_terms(F.col("topic"), F.col("entities")).alias("terms"), x.recurrence_multiplier(F.col("source"), F.col("tags")).alias("w"), F.filter("tags", lambda t: t.startswith(sessions_by)).alias("sessions"), F.floor(F.col("created_at") / DAY).cast("string").alias("day")).where(F.size("terms") > 0)
+    """(id, raw, sessions, days, contexts, blend) of rows with terms: what the rows that share a term with each have, its own included.
+
+    sessions, days and contexts are counted up to ENOUGH, from where the blend doesn't change any more: 0.25 * log1p(54) and
+    0.35 * log1p(17) are above 1, and contexts count up to 8. So a term hands at most that many of its facts (and as many
+    contexts more as a row has terms, which don't count for it) to each row that has it, however popular the term is.
+    """
+    base = cut_lineage(memories.select("id", x.recurrence_terms(F.col("topic"), F.col("entities")).alias("terms"), x.recurrence_multiplier(F.col("source"), F.col("tags")).alias("w"), F.filter("tags", lambda t: t.startswith(sessions_by)).alias("sessions"), F.floor(F.col("created_at") / DAY).cast("string").alias("day")).where(F.size("terms") > 0))
+    widest = base.agg(F.max(F.size("terms"))).first()[0] or 0
     each = base.select("id", "terms", "sessions", "day", F.explode("terms").alias("term"))
     mine = each.select("id", "term")
-    # distinct facts of each term, aggregated once and then joined to the rows that have it
     fact = lambda k, v: F.transform(v, lambda y: F.struct(F.lit(k).alias("k"), y.alias("v")))
     facts = each.select("term", F.explode(F.concat(fact("s", F.col("sessions")), fact("d", F.array("day")), fact("c", F.col("terms")))).alias("f")).select("term", "f.k", "f.v").distinct()
+    # the first facts of each term and kind: tasks keep no more than these before the shuffle
+    facts = facts.withColumn("n", F.row_number().over(W.partitionBy("term", "k").orderBy("v"))).where(F.col("n") <= max(ENOUGH["s"], ENOUGH["c"] + widest))
+    facts = facts.where(F.col("n") <= m.pick(F.col("k"), ENOUGH | {"c": ENOUGH["c"] + widest}, 0)).drop("n")
     got = mine.join(facts, "term").select("id", "k", "v").distinct()
     own = mine.select("id", F.lit("c").alias("k"), F.col("term").alias("v"))
-    got = got.join(own, ["id", "k", "v"], "left_anti").groupBy("id").agg(F.count_if(F.col("k") == "s").alias("sessions"), F.count_if(F.col("k") == "d").alias("days"), F.count_if(F.col("k") == "c").alias("contexts"))
+    enough = lambda k: F.least(F.count_if(F.col("k") == k), F.lit(ENOUGH[k]))
+    got = got.join(own, ["id", "k", "v"], "left_anti").groupBy("id").agg(enough("s").alias("sessions"), enough("d").alias("days"), enough("c").alias("contexts"))
     reuse = evidence.where("evidence_type in ('retrieval_success', 'user_confirmation')").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("reuse"))
-    out = base.select("id").join(_mentions(base), "id").join(got, "id").join(reuse, "id", "left").na.fill(0, ["reuse"])
+    out = _mentions(base, each).join(got, "id").join(reuse, "id", "left").na.fill(0, ["reuse"])
     return out.select("id", "raw", "sessions", "days", "contexts", m.recurrence_blend(F.col("raw"), F.col("sessions"), F.col("days"), F.col("contexts"), F.col("reuse")).alias("blend"))
 
 
@@ -207,21 +226,13 @@ def refresh_importance(s: State, c: Config, now: int) -> State:
 
 
 def neighbor_stats(memories: DataFrame, now: int, c: Config = Config()) -> DataFrame:
-    """(id, best, near, density, spread, class) of active rows, from all pairs of non-negative cosine that matter.
-
-    best is exact where it is at least the least cosine kept (surprise_max); below, it is given as 0 with the class that it has in any case, surprise.
-    """
+    """(id, best, near, density, spread, class) of active rows: best is the largest cosine to another active row (0 at least)."""
     p = c.neighbors
     live = memories.where("memory_type <> 'archive' and embedding is not null").select("id", "created_at", "embedding")
     oldest = memories.agg(F.min("created_at")).first()[0]
     span = max(1.0, max(0, now - (oldest if oldest is not None else now)) / DAY)
-    pairs = similar_pairs(live, p.surprise_max)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").union(pairs.select("b", "a", "cosine"))
-    seen = both.join(live.select(F.col("id").alias("other"), m.age_days(F.col("created_at"), now).alias("age")), "other")
-    near = F.col("cosine") >= p.similarity
-    got = seen.groupBy("id").agg(F.max("cosine").alias("best"), F.count_if(near).alias("near"), F.min(F.when(near, F.col("age"))).alias("lo"), F.max(F.when(near, F.col("age"))).alias("hi"))
-    got = live.select("id").join(got, "id", "left").na.fill(0.0, ["best"]).na.fill(0, ["near"])
-    spread = F.when(F.col("near") >= 2, m.clamp((F.col("hi") - F.col("lo")) / span)).otherwise(0.0)
+    got = neighbor_sums(live, p.similarity, "created_at")
+    spread = F.when(F.col("near") >= 2, m.clamp((m.age_days(F.col("first"), now) - m.age_days(F.col("last"), now)) / span)).otherwise(0.0)
     got = got.select("id", "best", "near", m.clamp(F.col("near") / max(p.saturation, 1.0)).alias("density"), spread.alias("spread"))
     return got.withColumn("class", m.neighbor_class(F.col("best"), F.col("near"), F.col("density"), F.col("spread"), p))
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from mnemora.functions import scoring as m
 from mnemora.functions import text as x
 from mnemora.functions.extract import parsed
+from mnemora.functions.sketch import bloom_build, bloom_contains
 from mnemora.functions.vector import Provider, provider
+from mnemora.operators.similarity import cut_lineage, neighbor_sums
 
 CHUNK, OVERLAP = 550, 80
 
@@ -33,32 +35,46 @@ def prepare(requests: DataFrame, embed: Provider | None = None) -> DataFrame:
     return df.withColumn("embedding", F.transform(embed.embed(F.col("content")), lambda v: v.cast("float"))).withColumn("relevance", m.content_relevance(F.col("content"), F.col("entities")))
 
 
-def split_arrivals(prepared: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_arrivals(prepared: DataFrame, memories: DataFrame, warm: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(first arrivals of new hashes, (content_hash, times, last) of all repeats). Hashes are pre-aggregated, so a text that arrives very often is no hot window."""
     order = F.struct("arrival_ts", F.coalesce("session_id", F.lit("")).alias("s"), F.col("text").alias("t"))
     seen = prepared.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("arrival_ts").alias("last"), F.min(order).alias("o"))
     known = memories.select("content_hash", F.lit(1).alias("known"))
-    seen = seen.join(known, "content_hash", "left")
+    if warm is None:
+        seen = seen.join(known, "content_hash", "left")
+    else:  # what the filter doesn't hold is new for certain
+        asked = bloom_contains(seen, "content_hash", warm[0], warm[1])
+        seen = asked.where("maybe").drop("maybe").join(known, "content_hash", "left").unionByName(asked.where("not maybe").drop("maybe").withColumn("known", F.lit(None).cast("int")))
     fresh = prepared.join(seen.where("known is null").select("content_hash", F.col("o.arrival_ts").alias("arrival_ts"), F.col("o.t").alias("text"), F.col("o.s").alias("s")), ["content_hash", "arrival_ts", "text"]).where(F.coalesce("session_id", F.lit("")) == F.col("s")).drop("s").dropDuplicates(["content_hash"])
     again = seen.select("content_hash", (F.col("n") - F.when(F.col("known").isNull(), 1).otherwise(0)).alias("times"), "last").where("times > 0")
     return fresh, again
 
 
-def ingest(requests: DataFrame, memories: DataFrame, embed: Provider | None = None) -> dict[str, DataFrame]:
+def warm_filter(memories: DataFrame, arrivals: int = 0) -> tuple[DataFrame, int]:
+    """K2: the Bloom filter of all stored hashes and the number of keys that it is made for (10,000 at least)."""
+    n = max(10_000, memories.count() + arrivals)
+    return bloom_build(memories, "content_hash", n), n
+
+
+def ingest(requests: DataFrame, memories: DataFrame, embed: Provider | None = None, warm: tuple[DataFrame, int] | None = None) -> dict[str, DataFrame]:
     """New tables: memory_items, raw_events, memory_evidence, source_documents, source_chunks, sessions (new rows of the last five).
 
-    A repeated text reinforces the stored row: recurrence +0.2 and access +1 each time. Provisional salience of a batch is that of a
-    store without near rows (the consolidation pass computes the real one from all pairs).
+    A repeated text reinforces the stored row: recurrence +0.2 and access +1 each time. Provisional salience (A10, M17) is
+    novelty, 1 less the largest cosine to a stored row or an earlier one of the batch, times relevance.
+    `warm` (K2): a Bloom filter of the stored hashes, of warm_filter(); hashes that it doesn't hold skip the join with the store.
     """
     ready = prepare(requests, embed)
-    fresh, again = split_arrivals(ready, memories)
+    fresh, again = split_arrivals(ready, memories, warm)
+    fresh = cut_lineage(fresh)
+    novelty = neighbor_sums(memories.select("content_hash", "created_at", "embedding"), 2.0, "created_at", "content_hash", queries=fresh.select("content_hash", F.col("arrival_ts").alias("created_at"), "embedding"))
+    fresh = fresh.join(novelty.select(F.col("id").alias("content_hash"), "best"), "content_hash", "left").withColumn("novel", m.provisional_salience(F.coalesce("best", F.lit(0.0)), F.col("relevance")))
     ident = x.new_id("mem", F.col("content_hash"))
     zero, none = F.lit(0.0), F.lit(None)
     source = F.when(F.col("long"), F.coalesce("source", "mode")).otherwise(F.col("source"))
     doc_tag = F.when(F.col("long"), F.array_union("tags", F.array(F.concat(F.lit("source_doc:"), x.new_id("src", F.col("content_hash")))))).otherwise(F.col("tags"))
     rows = fresh.select(
         ident.alias("id"), "content", none.cast("string").alias("summary"), "memory_type", source.alias("source"), "topic", "entities", doc_tag.alias("tags"), F.col("arrival_ts").alias("created_at"), F.col("arrival_ts").alias("updated_at"), none.cast("long").alias("last_accessed_at"), F.lit(0).cast("long").alias("access_count"),
-        "importance_score", zero.alias("recurrence_score"), F.lit(1.0).alias("recency_score"), F.col("importance_score").alias("decay_score"), m.clamp(F.col("relevance")).alias("salience"), "confidence", F.lit(False).alias("stale"), F.lit(False).alias("pinned"), "embedding", "content_hash",
+        "importance_score", zero.alias("recurrence_score"), F.lit(1.0).alias("recency_score"), F.col("importance_score").alias("decay_score"), F.col("novel").alias("salience"), "confidence", F.lit(False).alias("stale"), F.lit(False).alias("pinned"), "embedding", "content_hash",
     )
     items = memories.unionByName(rows.select(*memories.columns))
     hit = F.coalesce("times", F.lit(0))
@@ -88,9 +104,12 @@ def source_documents(long: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def prior_messages(messages: DataFrame, n: int, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """The last n user messages before each row of its conversation, oldest first."""
-    over = W.partitionBy(conversation).orderBy(turn)
-    said = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(over.rowsBetween(W.unboundedPreceding, -1))
-    return messages.withColumn("prior", F.slice(said, F.greatest(F.size(said) - n, F.lit(0)) + 1, n))
+    # a user message carries the last n of its kind, and each row takes those of the last user message before it
+    user = F.col("role") == "user"
+    kind = W.partitionBy(conversation, F.coalesce(user, F.lit(False))).orderBy(turn).rowsBetween(1 - n, 0)
+    before = W.partitionBy(conversation).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
+    got = messages.withColumn("_said", F.when(user, F.collect_list("text").over(kind)))
+    return got.withColumn("prior", F.coalesce(F.last("_said", ignorenulls=True).over(before), F.array().cast("array<string>"))).drop("_said")
 
 
 def history(messages: DataFrame, turns: int, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:

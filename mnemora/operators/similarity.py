@@ -59,6 +59,52 @@ def similar_pairs(df: DataFrame, low: float, high: float | None = None, within:
     return spread.groupBy("w", "d", "i", "j").applyInPandas(product, schema)
 
 
+def _sums(m: np.ndarray, at: np.ndarray, own: np.ndarray, other: np.ndarray, similarity: float, own_at: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of each row of m: the largest value above 0, how many reach `similarity`, and the first and last time of those.
+    A row isn't held against itself; with own_at, only against earlier rows (of one time, those with a smaller key)."""
+    skip = own[:, None] == other[None]
+    if own_at is not None:
+        skip |= (at[None] > own_at[:, None]) | ((at[None] == own_at[:, None]) & (other[None] > own[:, None]))
+    m = np.where(skip, -1.0, m)
+    near = m >= similarity
+    some = near.any(1)
+    return {"best": np.maximum(m.max(1, initial=0.0), 0.0), "near": near.sum(1), "first": np.where(some, np.where(near, at[None], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max), np.iinfo(np.int64).max), "last": np.where(some, np.where(near, at[None], np.iinfo(np.int64).min).max(1, initial=np.iinfo(np.int64).min), np.iinfo(np.int64).min)}
+
+
+def neighbor_sums(df: DataFrame, similarity: float, at: str, key: str = "id", vector: str = "embedding", block: int = BLOCK, queries: DataFrame | None = None) -> DataFrame:
+    """(id, best, near, first, last) of each row over all other rows: the largest cosine (0 at least), how many reach
+    `similarity`, and the first and last `at` of those (null without any).
+
+    With `queries` (same columns), of each query over all earlier rows of `df` and of the queries. Tasks multiply blocks
+    and give one partial row for each row of the block, so no pairs are made: rows grow with n and the number of blocks.
+    """
+    pick = lambda d, asks: d.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(at).cast("long").alias("t"), F.size(vector).alias("d"), F.lit(asks).alias("asks"))
+    held = pick(df, False) if queries is None else pick(df, False).union(pick(queries, False))
+    asked = pick(df if queries is None else queries, True)
+    kind = df.schema[key].dataType
+    count = lambda d, name: d.groupBy("d").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = count(asked, "qb").join(count(held, "rb"), "d")
+    mine = lambda d, own, others: d.join(F.broadcast(sizes), "d").withColumn("m", F.expr(f"pmod(xxhash64(k), {own})").cast("int")).withColumn("o", F.explode(F.expr(f"sequence(0, {others} - 1)")))  # noqa: E731  a row for each vector size
+    cells = mine(asked, "qb", "rb").select("k", "v", "t", "d", "asks", F.col("m").alias("i"), F.col("o").alias("j")).union(mine(held, "rb", "qb").select("k", "v", "t", "d", "asks", F.col("o").alias("i"), F.col("m").alias("j")))
+    ordered = queries is not None
+
+    def product(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        x, y = unit_rows(list(q["v"])) if len(q) else None, unit_rows(list(r["v"])) if len(r) else None
+        names = np.unique(np.concatenate([q["k"].to_numpy(), r["k"].to_numpy()]), return_inverse=True)[1]  # numbers in the order of the keys
+        mine, theirs = names[: len(q)], names[len(q) :]
+        out = []
+        for s in range(0, len(q), 512):
+            part = q.iloc[s : s + 512]
+            m = x[s : s + 512] @ y.T if len(r) else np.zeros((len(part), 0))
+            out.append(pd.DataFrame({"id": part["k"].to_numpy(), **_sums(m, r["t"].to_numpy(), mine[s : s + 512], theirs, similarity, part["t"].to_numpy() if ordered else None)}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "best": [], "near": [], "first": [], "last": []})
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("best", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("near", "first", "last")]])
+    got = cells.groupBy("d", "i", "j").applyInPandas(product, schema).groupBy("id").agg(F.max("best").alias("best"), F.sum("near").alias("near"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return got.select("id", "best", "near", *[F.when(F.col("near") > 0, F.col(c)).alias(c) for c in ("first", "last")])
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k most similar partners of each row of (a, b, cosine): (id, other, cosine, rank). Ties: the smaller id."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").union(pairs.select("b", "a", "cosine"))

@@ -17,7 +17,7 @@ from mnemora.operators import consolidate as co
 from mnemora.operators import graph, reports, retrieve
 from mnemora.operators.ingest import history, prior_messages
 from mnemora.operators.segment import era_of, rolling_threshold, segment_streams, surprise_by_window
-from mnemora.operators.similarity import connected, nearest, search, similar_pairs
+from mnemora.operators.similarity import connected, nearest, neighbor_sums, search, similar_pairs
 from mnemora.plans.config import Config, Segment, Spreading
 from mnemora.sources import fixtures as fx
 from mnemora.sources import store as st
@@ -314,13 +314,29 @@ def _g8(s: SparkSession, d: str) -> DataFrame:
     return connected(mem.select("id"), similar_pairs(mem, 0.8).select("a", "b"))
 
 
-@query("a9_neighbor_stats", f"""SELECT m.id, coalesce(round(max(CASE WHEN c >= 0.55 THEN c END), 6), 0) AS best, count(*) FILTER (c >= 0.6) AS near FROM act m LEFT JOIN (SELECT a AS id, b AS o, cosine AS c FROM prs UNION ALL SELECT b, a, cosine FROM prs) p ON p.id = m.id AND p.o IN (SELECT id FROM act) GROUP BY m.id""", MEM, BAG, _PAIRS, "act AS (SELECT id FROM mem WHERE memory_type <> 'archive')")
+_ALL = "alp AS (SELECT a.id, b.id AS o, b.created_at AS tm, sum(x.x * y.x) AS c FROM act a JOIN bag x ON x.id = a.id JOIN bag y ON y.bucket = x.bucket JOIN act b ON b.id = y.id WHERE a.id <> b.id GROUP BY ALL)"
+
+
+@query("a9_neighbor_stats", f"""SELECT id, best, near, round(density, 6) AS density, round(spread, 6) AS spread, CASE WHEN best < 0.45 THEN 'surprise' WHEN near >= 2 AND spread <= 0.15 THEN 'burst' WHEN near >= 2 AND spread >= 0.40 AND density >= 0.35 THEN 'habit' ELSE 'ordinary' END AS class FROM
+(SELECT m.id, round(greatest(coalesce(max(c), 0), 0), 6) AS best, count(*) FILTER (c >= 0.6) AS near, least(count(*) FILTER (c >= 0.6) / 8.0::DOUBLE, 1) AS density, CASE WHEN count(*) FILTER (c >= 0.6) >= 2 THEN least(1, (max(tm) FILTER (c >= 0.6) - min(tm) FILTER (c >= 0.6)) / 86400.0::DOUBLE / greatest(1, ({NOW} - (SELECT min(created_at) FROM mem)) / 86400.0::DOUBLE)) ELSE 0::DOUBLE END AS spread FROM act m LEFT JOIN alp p ON p.id = m.id GROUP BY m.id)""", MEM, BAG, "act AS (SELECT id, created_at FROM mem WHERE memory_type <> 'archive')", _ALL)
 def _a9(s: SparkSession, d: str) -> DataFrame:
-    from dataclasses import replace
+    got = co.neighbor_stats(fx.memories(s, d, vectors=True), NOW)
+    return got.select("id", F.round("best", 6).alias("best"), "near", F.round("density", 6).alias("density"), F.round("spread", 6).alias("spread"), "class")
+
+
+@query("c5_revise_salience", f"""SELECT m.id, round(CASE WHEN memory_type = 'archive' THEN m.salience ELSE greatest(1 - best, density * spread) * CASE WHEN length(content) >= 16 AND len(entities) > 0 THEN 1.0::DOUBLE WHEN length(content) >= 16 THEN 0.7 WHEN len(entities) > 0 THEN 0.4 ELSE 0.1 END END, 5) AS salience FROM mem m LEFT JOIN
+(SELECT m.id, greatest(coalesce(max(c), 0), 0) AS best, least(count(*) FILTER (c >= 0.6) / 8.0::DOUBLE, 1) AS density, CASE WHEN count(*) FILTER (c >= 0.6) >= 2 THEN least(1, (max(tm) FILTER (c >= 0.6) - min(tm) FILTER (c >= 0.6)) / 86400.0::DOUBLE / greatest(1, ({NOW} - (SELECT min(created_at) FROM mem)) / 86400.0::DOUBLE)) ELSE 0::DOUBLE END AS spread FROM act m LEFT JOIN alp p ON p.id = m.id GROUP BY m.id) s ON s.id = m.id""", MEM, BAG, "act AS (SELECT id, created_at FROM mem WHERE memory_type <> 'archive')", _ALL)
+def _c5(s: SparkSession, d: str) -> DataFrame:
+    mem = fx.memories(s, d, vectors=True)
+    return co.revise_salience({"memory_items": mem}, Config(), NOW)["memory_items"].select("id", F.round("salience", 5).alias("salience"))
+
 
-    c = Config()
-    c = replace(c, neighbors=replace(c.neighbors, surprise_max=0.55))
-    return co.neighbor_stats(fx.memories(s, d, vectors=True), NOW, c).select("id", F.round("best", 6).alias("best"), "near")
+@query("a10_provisional_salience", f"""SELECT 'mem_' || q.doc_id AS id, round(least(1, greatest(0, 1 - greatest(coalesce(max(CASE WHEN b.created_at < q.created_at OR (b.created_at = q.created_at AND b.id < q.id) THEN c END), 0), 0))), 6) AS novelty FROM mem q LEFT JOIN alp p ON p.id = q.id LEFT JOIN mem b ON b.id = p.o WHERE q.memory_type = 'semantic' GROUP BY q.doc_id""", MEM, BAG, "act AS (SELECT id, created_at FROM mem)", _ALL)
+def _a10(s: SparkSession, d: str) -> DataFrame:
+    mem = fx.memories(s, d, vectors=True).select("id", "created_at", "embedding", "memory_type")
+    new = mem.where("memory_type = 'semantic'")
+    got = neighbor_sums(mem.where("memory_type <> 'semantic'").drop("memory_type"), 2.0, "created_at", queries=new.drop("memory_type"))
+    return new.select("id").join(got, "id", "left").select("id", F.round(m.provisional_salience(F.coalesce("best", F.lit(0.0)), F.lit(1.0)), 6).alias("novelty"))
 
 
 # reports
@@ -393,9 +409,8 @@ def _g1(s: SparkSession, d: str) -> DataFrame:
 
 @query("g2_semantic_edges", "SELECT least(id, other) AS src_id, greatest(id, other) AS dst_id, round(max(cosine), 6) AS weight FROM (SELECT id, other, cosine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other) AS rank FROM (SELECT a AS id, b AS other, cosine FROM prs UNION ALL SELECT b, a, cosine FROM prs) WHERE id IN (SELECT id FROM act) AND other IN (SELECT id FROM act)) WHERE rank <= 5 GROUP BY 1, 2", MEM, BAG, _PAIRS, "act AS (SELECT id FROM mem WHERE memory_type <> 'archive')")
 def _g2(s: SparkSession, d: str) -> DataFrame:
-    mem = fx.memories(s, d, vectors=True).where("memory_type <> 'archive'")
-    near = nearest(similar_pairs(mem, 0.55).withColumn("cosine", F.round("cosine", 12)), 5)
-    return near.groupBy(F.least("id", "other").alias("src_id"), F.greatest("id", "other").alias("dst_id")).agg(F.round(F.max("cosine"), 6).alias("weight"))
+    got = graph.semantic_edges(fx.memories(s, d, vectors=True), 0.55, 5, NOW)
+    return got.select("src_id", "dst_id", F.round("weight", 6).alias("weight"))
 
 
 _SEQ = f"""SELECT a AS src_id, b AS dst_id, round(sum(exp(-0.02::DOUBLE * greatest({NOW} - tm, 0) / 86400.0::DOUBLE)), 6) AS weight, count(*) AS co_count FROM
@@ -428,7 +443,7 @@ def _g5(s: SparkSession, d: str) -> DataFrame:
 _TERMS = "tms AS (SELECT id, w, session, day, unnest(terms) AS term, terms FROM (SELECT id, CASE WHEN source IN ('code_block', 'log_dump') THEN 0 ELSE 2 END AS w, tags[3] AS session, created_at // 86400 AS day, list_distinct(list_filter(list_transform(list_concat(entities, [topic]), lambda t: lower(t)), lambda t: t IS NOT NULL)) AS terms FROM mem)), shr AS (SELECT DISTINCT a.id, b.id AS o, b.w, b.session, b.day, b.terms, a.terms AS own FROM tms a JOIN tms b USING (term))"
 
 
-@query("c3_recurrence", f"SELECT s.id, sum(w)::BIGINT AS raw, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days, coalesce(any_value(k), 0) AS contexts, round(least(1.0, 0.10 * ln(1 + sum(w)) + 0.25 * ln(1 + count(DISTINCT session)) + 0.35 * ln(1 + count(DISTINCT day)) + 0.20 * least(coalesce(any_value(k), 0) / 8.0, 1.0) + 0.10 * ln(1 + coalesce(any_value(r), 0))), 6) AS blend FROM shr s LEFT JOIN (SELECT id, count(DISTINCT t) AS k FROM (SELECT id, own, unnest(terms) AS t FROM shr) WHERE NOT list_contains(own, t) GROUP BY id) c ON c.id = s.id LEFT JOIN (SELECT memory_id, count(*) AS r FROM evd WHERE evidence_type IN ('retrieval_success', 'user_confirmation') GROUP BY 1) e ON e.memory_id = s.id GROUP BY s.id", MEM, EVD, _TERMS)
+@query("c3_recurrence", f"SELECT id, raw, least(sn, 54) AS sessions, least(dn, 17) AS days, least(k, 8) AS contexts, round(least(1.0, 0.10 * ln(1 + raw) + 0.25 * ln(1 + sn) + 0.35 * ln(1 + dn) + 0.20 * least(k / 8.0, 1.0) + 0.10 * ln(1 + r)), 6) AS blend FROM (SELECT s.id, sum(w)::BIGINT AS raw, count(DISTINCT session) AS sn, count(DISTINCT day) AS dn, coalesce(any_value(k), 0) AS k, coalesce(any_value(r), 0) AS r FROM shr s LEFT JOIN (SELECT id, count(DISTINCT t) AS k FROM (SELECT id, own, unnest(terms) AS t FROM shr) WHERE NOT list_contains(own, t) GROUP BY id) c ON c.id = s.id LEFT JOIN (SELECT memory_id, count(*) AS r FROM evd WHERE evidence_type IN ('retrieval_success', 'user_confirmation') GROUP BY 1) e ON e.memory_id = s.id GROUP BY s.id)", MEM, EVD, _TERMS)
 def _c3(s: SparkSession, d: str) -> DataFrame:
     return co.recurrence(fx.memories(s, d), fx.evidence(s, d)).select("id", "raw", "sessions", "days", "contexts", F.round("blend", 6).alias("blend"))
 
@@ -540,12 +555,13 @@ def _n6(s: SparkSession, d: str) -> DataFrame:
 # sketches
 
 
-@query("k1_bloom", "SELECT count(*) AS kept FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)")
+@query("k1_bloom", "SELECT count(*) AS keys, count(*) FILTER (user_id % 2 = 0) AS inserted, 0::BIGINT AS missed, true AS few_false FROM (SELECT DISTINCT user_id FROM events)")
 def _k1(s: SparkSession, d: str) -> DataFrame:
-    keys = fx.read(s, d, "events").select("user_id").distinct()
-    inside = keys.where("user_id % 2 = 0")
-    bloom = sketch.bloom_build(inside, "user_id", 10_000)
-    return sketch.bloom_contains(inside, "user_id", bloom, 10_000).agg(F.count_if("maybe").alias("kept"))
+    keys = fx.read(s, d, "events").select("user_id").distinct().withColumn("inside", F.col("user_id") % 2 == 0)
+    bloom = sketch.bloom_build(keys.where("inside"), "user_id", 10_000)
+    asked = sketch.bloom_contains(keys, "user_id", bloom, 10_000)
+    n = lambda cond: F.count_if(F.expr(cond))
+    return asked.agg(F.count("*").alias("keys"), n("inside").alias("inserted"), n("inside and not maybe").alias("missed"), (n("maybe and not inside") <= 0.05 * n("not inside")).alias("few_false"))
 
 
 @query("k3_count_min", "SELECT user_id, count(*) AS estimate FROM events GROUP BY user_id")
