@@ -144,27 +144,30 @@ def _derived(rows: DataFrame, like: DataFrame, now: int) -> DataFrame:
     return rows.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
 
 
-def _mentions(base: DataFrame, each: DataFrame, most: int = 10) -> DataFrame:
+def _mentions(base: DataFrame, each: DataFrame, rare: int = 64, most: int = 10) -> DataFrame:
     """(id, raw): summed weights of all rows that share a term, each row once.
 
-    Rows aren't paired over popular terms. Terms of a single row play no part; rows with the same terms otherwise are one
-    set with a summed weight. The sum over a union is the alternating sum over the subsets of a set's terms, and the weight
-    of all sets that hold a subset is one pre-aggregated sum. Sets of more than `most` shared terms, whose subsets would
-    be too many, are few; they are paired.
+    Terms of a single row play no part; rows with the same terms otherwise are one set with a summed weight. Sets that
+    meet in a popular term (of more than `rare` rows) aren't paired: the sum over the union of these terms is the
+    alternating sum over the subsets of them that a set has, and the weight of all sets that hold a subset is one
+    pre-aggregated sum. Sets that meet in rare terms alone are paired, at most `rare` for each term. Sets of more than
+    `most` popular terms, whose subsets would be too many, are few; they are paired over these.
     """
-    shared = each.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term")
-    kept = each.join(shared, "term").groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # a row's own terms
-    rows = base.select("id", "w").join(kept, "id", "left").withColumn("set", F.coalesce(F.xxhash64("terms"), F.lit(0))).withColumn("set", F.when(F.col("terms").isNull(), None).otherwise(F.col("set")))
-    sets = cut_lineage(rows.where("set is not null").groupBy("set").agg(F.first("terms").alias("terms"), F.sum("w").alias("w")))
-    few, many = sets.where(F.size("terms") <= most), sets.where(F.size("terms") > most)
-    subsets = F.expr("transform(sequence(1, cast(pow(2, size(terms)) as int) - 1), m -> named_struct('sub', xxhash64(filter(terms, (t, i) -> (shiftright(m, i) & 1) = 1)), 'sign', if(bit_count(m) % 2 = 1, 1, -1)))")
+    shared = each.groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+    kept = each.select("id", "term").join(shared, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("n") > rare).alias("often")))).alias("t"))  # a row's own terms
+    part = lambda often: F.transform(F.filter("t", lambda s: s["often"] == F.lit(often)), lambda s: s["term"])
+    kept = kept.select("id", F.xxhash64(F.transform("t", lambda s: s["term"])).alias("set"), part(True).alias("often"), part(False).alias("seldom"))
+    rows = cut_lineage(base.select("id", "w").join(kept, "id", "left"))
+    sets = cut_lineage(rows.where("set is not null").groupBy("set").agg(F.first("often").alias("often"), F.first("seldom").alias("seldom"), F.sum("w").alias("w")))
+    few, many = sets.where(F.size("often").between(1, most)), sets.where(F.size("often") > most)
+    subsets = F.expr("transform(sequence(1, cast(pow(2, size(often)) as int) - 1), m -> named_struct('sub', xxhash64(filter(often, (t, i) -> (shiftright(m, i) & 1) = 1)), 'sign', if(bit_count(m) % 2 = 1, 1, -1)))")
     subs = few.select("set", "w", F.explode(subsets).alias("s")).select("set", "w", "s.sub", "s.sign")
-    weight = subs.groupBy("sub").agg(F.sum("w").alias("total"))
-    raw = subs.join(weight, "sub").groupBy("set").agg(F.sum(F.col("sign") * F.col("total")).alias("raw"))
-    term = lambda df, n: df.select(F.col("set").alias(n), F.col("w").alias(f"w{n}"), F.explode("terms").alias("term"))
-    pairs = term(sets, "p").join(term(many, "q"), "term").select("p", "q", "wp", "wq").distinct()
-    extra = pairs.select(F.col("p").alias("set"), F.col("wq").alias("raw")).union(pairs.join(few.select(F.col("set").alias("p")), "p", "left_semi").select(F.col("q").alias("set"), F.col("wp").alias("raw")))
-    raw = raw.union(extra).groupBy("set").agg(F.sum("raw").alias("raw"))
+    sums = subs.join(subs.groupBy("sub").agg(F.sum("w").alias("total")), "sub").select("set", (F.col("sign") * F.col("total")).alias("raw"))
+    side = lambda df, terms, n: df.select(F.col("set").alias(n), F.col("w").alias(f"w{n}"), F.col("often").alias(f"o{n}"), F.explode(terms).alias("term"))
+    wide = side(sets, "often", "p").join(side(many, "often", "q"), "term").select("p", "q", "wp", "wq").distinct()
+    wide = wide.select(F.col("p").alias("set"), F.col("wq").alias("raw")).union(wide.join(few.select(F.col("set").alias("p")), "p", "left_semi").select(F.col("q").alias("set"), F.col("wp").alias("raw")))
+    met = side(sets, "seldom", "p").join(side(sets, "seldom", "q"), "term").where(~F.arrays_overlap("op", "oq")).select("p", "q", "wq").distinct()
+    raw = sums.union(wide).union(met.select(F.col("p").alias("set"), F.col("wq").alias("raw"))).groupBy("set").agg(F.sum("raw").alias("raw"))
     return rows.join(raw, "set", "left").select("id", F.coalesce("raw", "w").alias("raw"))
 
 
@@ -188,10 +191,11 @@ def recurrence(memories: DataFrame, evidence: DataFrame, sessions_by: str = "ses
     # the first facts of each term and kind: tasks keep no more than these before the shuffle
     facts = facts.withColumn("n", F.row_number().over(W.partitionBy("term", "k").orderBy("v"))).where(F.col("n") <= max(ENOUGH["s"], ENOUGH["c"] + widest))
     facts = facts.where(F.col("n") <= m.pick(F.col("k"), ENOUGH | {"c": ENOUGH["c"] + widest}, 0)).drop("n")
-    got = mine.join(facts, "term").select("id", "k", "v").distinct()
-    own = mine.select("id", F.lit("c").alias("k"), F.col("term").alias("v"))
-    enough = lambda k: F.least(F.count_if(F.col("k") == k), F.lit(ENOUGH[k]))
-    got = got.join(own, ["id", "k", "v"], "left_anti").groupBy("id").agg(enough("s").alias("sessions"), enough("d").alias("days"), enough("c").alias("contexts"))
+    lists = facts.groupBy("term").agg(*[F.collect_list(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ENOUGH])  # bounded by ENOUGH
+    union = lambda k: F.array_distinct(F.flatten(F.collect_list(k)))  # noqa: E731  of a row's own terms
+    got = mine.join(lists, "term").groupBy("id").agg(union("s").alias("s"), union("d").alias("d"), union("c").alias("c"), F.collect_list("term").alias("own"))
+    enough = lambda v, k: F.least(F.size(v), F.lit(ENOUGH[k])).cast("long")
+    got = got.select("id", enough(F.col("s"), "s").alias("sessions"), enough(F.col("d"), "d").alias("days"), enough(F.array_except("c", "own"), "c").alias("contexts"))
     reuse = evidence.where("evidence_type in ('retrieval_success', 'user_confirmation')").groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("reuse"))
     out = _mentions(base, each).join(got, "id").join(reuse, "id", "left").na.fill(0, ["reuse"])
     return out.select("id", "raw", "sessions", "days", "contexts", m.recurrence_blend(F.col("raw"), F.col("sessions"), F.col("days"), F.col("contexts"), F.col("reuse")).alias("blend"))

@@ -594,7 +594,8 @@ pool AS (SELECT * FROM rel ORDER BY round(relevance, 9) DESC, created_at, id LIM
 def _r1(s: SparkSession, d: str) -> DataFrame:
     mem = fx.memories(s, d, vectors=True)
     none = s.createDataFrame([], "ordinal long, started_at long, ended_at long")
-    got = retrieve.retrieve(mem, _coe(s, d), none, hashed_bow(F.lit(_QUERY)), x.tokenize(F.lit(_QUERY)), NOW)
+    vector, tokens = retrieve.query_columns(s, _QUERY)
+    got = retrieve.retrieve(mem, _coe(s, d), none, vector, tokens, NOW)
     return got.select("id", F.round("relevance", 6).alias("relevance"), F.round("total", 6).alias("total"))
 
 
