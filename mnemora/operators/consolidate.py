@@ -6,6 +6,7 @@ component of qualifying pairs, as rows of different components never meet in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -27,6 +28,8 @@ from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
 
 State = dict[str, DataFrame]
+Summarizer = Callable[[list[str]], str]  # E2
+Verdict = Callable[[str, str, str], tuple[float, str] | None]  # E5: (older, newer, cardinality) to (confidence, reason)
 
 
 def summarize(texts: list[str], most: int = 3) -> str:
@@ -93,7 +96,7 @@ def merge_duplicates(s: State, c: Config, now: int) -> State:
         out = [merge_fold(pdf.loc[[k, *sorted(f)], names], now) | {"gone": [pdf["id"][d] for d in f]} for k, f in folded.items() if k not in dead]
         return pd.DataFrame(out, columns=[*names, "gone"])
 
-    folded = _grouped(live, pairs, run, schema).persist()
+    folded = cut_lineage(_grouped(live, pairs, run, schema))
     gone = folded.select(F.explode("gone").alias("id"), F.col("id").alias("keeper"))
     rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], gone)
     kept = rest.join(folded.select("id"), "id", "left_anti").select(*names).unionByName(folded.select(*names))
@@ -101,7 +104,7 @@ def merge_duplicates(s: State, c: Config, now: int) -> State:
     return s | {"memory_items": kept, "memory_links": links.unionByName(record), "memory_edges": edges}
 
 
-def collapse_bursts(s: State, c: Config, now: int) -> State:
+def collapse_bursts(s: State, c: Config, now: int, summarizer: Summarizer = summarize) -> State:
     """A seed's near rows of one era, close in time, become one gist; the least typical of them stays."""
     if not c.consolidation.burst:
         return s
@@ -126,11 +129,11 @@ def collapse_bursts(s: State, c: Config, now: int) -> State:
             odd = near[int(np.argmin(mean))]
             rest = [a for a in near if a != odd]
             used[near] = True
-            body = summarize([pdf["content"][a] for a in rest])
+            body = summarizer([pdf["content"][a] for a in rest])
             found.append((pdf["id"][odd], pdf["topic"][odd], [pdf["id"][a] for a in rest], int(at[rest].max()), f"Gist of {len(rest)} similar events: {body}"))
         return pd.DataFrame(found, columns=out.names)
 
-    bursts = _grouped(live, pairs, run, out).persist()
+    bursts = cut_lineage(_grouped(live, pairs, run, out))
     rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], bursts.select(F.explode("gone").alias("id")))
     odd = bursts.select(F.col("keep").alias("id"), F.lit(True).alias("odd"))
     rest = rest.join(odd, "id", "left").withColumn("importance_score", F.when(F.col("odd"), F.least(F.lit(1.0), F.col("importance_score") + 0.1)).otherwise(F.col("importance_score"))).withColumn("salience", F.when(F.col("odd"), F.greatest("salience", F.lit(0.6))).otherwise(F.col("salience"))).withColumn("updated_at", F.when(F.col("odd"), F.lit(now)).otherwise(F.col("updated_at"))).select(*mem.columns)
@@ -296,7 +299,7 @@ def modal_dimension(memories: DataFrame) -> DataFrame:
     return memories.join(F.broadcast(best), size == F.col("d"), "left_semi")
 
 
-def summarize_clusters(s: State, c: Config, now: int) -> State:
+def summarize_clusters(s: State, c: Config, now: int, summarizer: Summarizer = summarize) -> State:
     """Events of the episodic stream with three or more rows get a semantic summary, linked to its sources."""
     mem = s["memory_items"]
     live = modal_dimension(mem.where("memory_type = 'episodic' and not stale and embedding is not null"))
@@ -307,10 +310,10 @@ def summarize_clusters(s: State, c: Config, now: int) -> State:
         for a, b in segment(np.stack(list(pdf["embedding"])), c.segment)[0]:
             e = pdf.iloc[a:b]
             if b - a >= c.consolidation.cluster_min:
-                rows.append((summarize(list(e["content"])), modal(list(e["topic"])), now, max(0.6, float(e["importance_score"].max())), min(1.0, (b - a) / 10), list(e["id"])))
+                rows.append((summarizer(list(e["content"])), modal(list(e["topic"])), now, max(0.6, float(e["importance_score"].max())), min(1.0, (b - a) / 10), list(e["id"])))
         return pd.DataFrame(rows, columns=out.names)
 
-    found = _stream(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), run, out).persist()
+    found = cut_lineage(_stream(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), run, out))
     new = _derived(found.withColumn("memory_type", F.lit("semantic")), mem, now)
     fresh = new.join(mem.select("content_hash"), "content_hash", "left_anti")
     links = found.select(x.new_id("mem", x.content_hash(F.col("content"))).alias("source_id"), F.explode("ids").alias("target_id"), F.lit("derived_from").alias("relation")).join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi")
@@ -362,7 +365,7 @@ def cardinality(spans: list[tuple[int, int]], overlap: float = 0.2) -> str:
     return "multi" if worst > overlap else "single"
 
 
-def contradictions(memories: DataFrame, c: Config) -> DataFrame:
+def contradictions(memories: DataFrame, c: Config, verdict: Verdict = judge) -> DataFrame:
     """Links (source_id newer, target_id older, updates) inside clusters of one subject whose cosine lies in [min_similarity, duplicate)."""
     live = memories.where("memory_type <> 'archive' and not stale and embedding is not null")
     pairs = similar_pairs(live, c.contradiction.min_similarity, c.consolidation.duplicate)
@@ -376,14 +379,14 @@ def contradictions(memories: DataFrame, c: Config) -> DataFrame:
             spans.setdefault(value_signature(t), []).append(at)
         kind = cardinality([(min(v), max(v)) for v in spans.values()])
         newest = len(pdf) - 1
-        got = [(pdf["id"][newest], pdf["id"][i], "updates") for i in range(newest) if (v := judge(pdf["content"][i], pdf["content"][newest], kind)) and v[0] >= c.contradiction.confidence]
+        got = [(pdf["id"][newest], pdf["id"][i], "updates") for i in range(newest) if (v := verdict(pdf["content"][i], pdf["content"][newest], kind)) and v[0] >= c.contradiction.confidence]
         return pd.DataFrame(got, columns=out.names)
 
     return _grouped(live.select("id", "content", "created_at"), pairs, run, out)
 
 
-def infer_contradictions(s: State, c: Config) -> State:
-    return s | {"memory_links": insert_ignore(s["memory_links"], contradictions(s["memory_items"], c), ["source_id", "target_id", "relation"])} if c.contradiction.enabled else s
+def infer_contradictions(s: State, c: Config, verdict: Verdict = judge) -> State:
+    return s | {"memory_links": insert_ignore(s["memory_links"], contradictions(s["memory_items"], c, verdict), ["source_id", "target_id", "relation"])} if c.contradiction.enabled else s
 
 
 def mark_stale(s: State, now: int) -> State:
@@ -418,7 +421,8 @@ def revive(s: State, c: Config, now: int) -> State:
             out.append(bool(want) and want <= have)
         return pd.Series(out)
 
-    back = newest.where(again(F.col("x.said"), F.col("x.now_said"))).select(F.col("a").alias("id")).withColumn("back", F.lit(True)).persist()
+    back = newest.where(again(F.col("x.said"), F.col("x.now_said"))).select(F.col("a").alias("id")).withColumn("back", F.lit(True))
+    back = cut_lineage(back)
     got = mem.join(back, "id", "left")
     links = s["memory_links"].join(back.select(F.col("id").alias("target_id"), "back"), "target_id", "left").where("not (back is not null and relation in ('updates', 'contradicts'))").select(*s["memory_links"].columns)
     return s | {"memory_items": got.withColumn("updated_at", F.when(F.col("back"), F.lit(now)).otherwise(F.col("updated_at"))).withColumn("stale", F.col("stale") & F.col("back").isNull()).select(*mem.columns), "memory_links": links}
@@ -449,7 +453,7 @@ def rebuild_edges(s: State, c: Config, now: int) -> State:
     return s | {"memory_edges": replace_edges(e, graph.sequence_edges(turns, mem, c.edge_decay, c.edge_min_weight, now), "sequence")}
 
 
-def eras(memories: DataFrame, c: Config) -> DataFrame:
+def eras(memories: DataFrame, c: Config, summarizer: Summarizer = summarize) -> DataFrame:
     """C15, T10s: eras of the active embedded rows of the most common vector size."""
     live = modal_dimension(memories.where("memory_type <> 'archive' and embedding is not null"))
     out = T.StructType.fromDDL("id string, ordinal long, started_at long, ended_at long, centroid array<float>, label string, summary string, member_count long, drift_in double")
@@ -462,7 +466,7 @@ def eras(memories: DataFrame, c: Config) -> DataFrame:
             center = u[a:b].mean(0)
             center = center / (np.linalg.norm(center) or 1.0)
             best = pdf.iloc[a:b].sort_values(["salience", "created_at", "id"], ascending=[False, True, True]).head(5).sort_values(["created_at", "id"])
-            rows.append((f"epoch_{at[a]}_{k}", k, at[a], at[spans[k + 1][0]] if k + 1 < len(spans) else None, center.astype(np.float32), modal(list(pdf["topic"][a:b])), summarize(list(best["content"])), b - a, 0.0 if before is None else float(1 - before @ center)))
+            rows.append((f"epoch_{at[a]}_{k}", k, at[a], at[spans[k + 1][0]] if k + 1 < len(spans) else None, center.astype(np.float32), modal(list(pdf["topic"][a:b])), summarizer(list(best["content"])), b - a, 0.0 if before is None else float(1 - before @ center)))
             before = center
         return pd.DataFrame(rows, columns=out.names).astype({"ended_at": "Int64"})
 
@@ -474,17 +478,20 @@ def settle(s: State) -> State:
     return s | {n: cut_lineage(s[n]) for n in ("memory_items", "memory_links", "memory_edges")}
 
 
-def consolidate(s: State, c: Config, now: int) -> State:
-    """All passes in order; each reads what the one before made. A run's counters are appended to consolidation_runs."""
+def consolidate(s: State, c: Config, now: int, summarizer: Summarizer = summarize, verdict: Verdict = judge) -> State:
+    """All passes in order; each reads what the one before made. A run's counters are appended to consolidation_runs.
+
+    `summarizer` and `verdict` stand in for the built-in rules (functions that workers can load).
+    """
     s = settle(s)
     before = s["memory_items"]
     passes = (
-        lambda t: merge_duplicates(t, c, now), lambda t: collapse_bursts(t, c, now), lambda t: refresh_recurrence(t, now), lambda t: refresh_importance(t, c, now), lambda t: revise_salience(t, c, now), lambda t: refine_topics(t, c, now), lambda t: summarize_clusters(t, c, now), lambda t: promote_recurring(t, c, now),
-        lambda t: promote_to_foundation(t, c, now), lambda t: infer_contradictions(t, c), lambda t: mark_stale(t, now), lambda t: revive(t, c, now), lambda t: archive_and_prune(t, c, now), lambda t: rebuild_edges(t, c, now),
+        lambda t: merge_duplicates(t, c, now), lambda t: collapse_bursts(t, c, now, summarizer), lambda t: refresh_recurrence(t, now), lambda t: refresh_importance(t, c, now), lambda t: revise_salience(t, c, now), lambda t: refine_topics(t, c, now), lambda t: summarize_clusters(t, c, now, summarizer), lambda t: promote_recurring(t, c, now),
+        lambda t: promote_to_foundation(t, c, now), lambda t: infer_contradictions(t, c, verdict), lambda t: mark_stale(t, now), lambda t: revive(t, c, now), lambda t: archive_and_prune(t, c, now), lambda t: rebuild_edges(t, c, now),
     )
     for step in passes:
         s = settle(step(s))
-    s = s | {"epochs": eras(s["memory_items"], c)}
+    s = s | {"epochs": eras(s["memory_items"], c, summarizer)}
     return s | {"consolidation_runs": s["consolidation_runs"].unionByName(run_row(before, s["memory_items"], now), allowMissingColumns=True)}
 
 

@@ -39,7 +39,7 @@ def split_arrivals(prepared: DataFrame, memories: DataFrame, warm: tuple[DataFra
     """(first arrivals of new hashes, (content_hash, times, last) of all repeats). Hashes are pre-aggregated, so a text that arrives very often is no hot window."""
     order = F.struct("arrival_ts", F.coalesce("session_id", F.lit("")).alias("s"), F.col("text").alias("t"))
     seen = prepared.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("arrival_ts").alias("last"), F.min(order).alias("o"))
-    known = memories.select("content_hash", F.lit(1).alias("known"))
+    known = memories.select("content_hash").distinct().withColumn("known", F.lit(1))
     if warm is None:
         seen = seen.join(known, "content_hash", "left")
     else:  # what the filter doesn't hold is new for certain

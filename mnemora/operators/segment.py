@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemora.functions.vector import Provider
 from mnemora.plans.config import Segment
 
 # Least surprise of a boundary, floor of the deviation, cosine of sides that are one topic.
@@ -29,10 +30,12 @@ def surprise(units: np.ndarray, c: Segment) -> np.ndarray:
     out = np.zeros(n)
     if n <= w:
         return out
-    decay = {"centroid": 1.0, "weighted": c.decay, "extrapolate": 0.5}[c.predictor]
-    weight = decay ** np.arange(w - 1, -1, -1.0)
     seen = np.lib.stride_tricks.sliding_window_view(units[:-1], w, axis=0)  # [n - w, dim, w]
-    predicted = _units(seen @ weight)
+    if callable(c.predictor):  # E3: a window [w, dim] to the vector that should follow
+        predicted = _units(np.stack([np.asarray(c.predictor(v.T), np.float64) for v in seen]))
+    else:
+        decay = {"centroid": 1.0, "weighted": c.decay, "extrapolate": 0.5}[c.predictor]
+        predicted = _units(seen @ decay ** np.arange(w - 1, -1, -1.0))
     cos = np.clip((predicted * units[w:]).sum(1), -1, 1)
     empty = (np.abs(units[w:]).sum(1) == 0) | (np.abs(predicted).sum(1) == 0)
     out[w:] = np.where(empty, 1.0, np.clip(1 - cos, 0, 2))
@@ -129,6 +132,12 @@ def segment_streams(df: DataFrame, c: Segment = Segment(), stream: str = "stream
     return rows.groupBy("stream").applyInPandas(run, df.select(F.col(stream).alias("stream")).schema.add("ord", "long").add("event", "long").add("surprise", "double"))
 
 
+def segment_texts(df: DataFrame, p: Provider, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", text: str = "text") -> DataFrame:
+    """T2s: texts are embedded by a provider, whose model_id is stamped on each row: (stream, ord, event, surprise, model_id)."""
+    rows = df.select(F.col(stream).alias("stream_id"), F.col(order).alias("ord"), p.embed(F.col(text)).alias("embedding"))
+    return segment_streams(rows, c).withColumn("model_id", F.lit(p.model_id))
+
+
 def surprise_by_window(df: DataFrame, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", vector: str = "embedding") -> DataFrame:
     """The same signal as expressions over a window of each stream: (stream, ord, surprise). For vectors of small size."""
     over = W.partitionBy(stream).orderBy(order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any
@@ -41,7 +42,7 @@ class Spreading:
 @dataclass(frozen=True)
 class Segment:
     window: int = 8
-    predictor: str = "weighted"
+    predictor: str | Callable[[Any], Any] = "weighted"
     decay: float = 0.5
     tau: int = 16
     gamma: float = 1.0
@@ -121,7 +122,7 @@ class Config:
                 raise ValueError(f"{name} must lie between 0 and 1, not {v}")
         if self.segment.window < 1 or self.segment.tau < 2 or self.segment.min_len < 1:
             raise ValueError("segment: window and min_len must be 1 at least, tau 2")
-        if self.segment.predictor not in ("centroid", "weighted", "extrapolate"):
+        if not callable(self.segment.predictor) and self.segment.predictor not in ("centroid", "weighted", "extrapolate"):
             raise ValueError(f"unknown predictor {self.segment.predictor}")
         if self.dim < 16 or self.semantic_top < 1 or self.spreading.max_hops < 0:
             raise ValueError("dim must be 16 at least, semantic_top 1, max_hops 0")

@@ -7,6 +7,7 @@ readers never see half a write. Touches, events, turns and runs are appended.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,33 +28,72 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
+        """Finished writes: the last whole version (v...) and what was appended to it since (a...), in order."""
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(self._fs(f"{self.root}/{name}/{s.getPath().getName()}/_SUCCESS")[1]))
-        return done[-1] if done else None
+            return []
+        done = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(self._fs(f"{self.root}/{name}/{s.getPath().getName()}/_SUCCESS")[1])), key=lambda n: (n[1:9], n[0] == "a", n))
+        whole = max((i for i, n in enumerate(done) if n[0] == "v"), default=0)
+        return done[whole:]
+
+    def _next(self, name: str, kind: str) -> str:
+        """A path of its own for each writer: two that take one number don't overwrite each other."""
+        n = max((int(v[1:9]) for v in self._versions(name)), default=0) + 1
+        return f"{self.root}/{name}/{kind}{n:08d}-{uuid.uuid4().hex[:8]}"
 
     def read(self, name: str) -> DataFrame:
-        """The current version in today's schema; an empty table if there is none."""
-        v = self._current(name)
-        return empty(self.spark, name) if v is None else conform(self.spark.read.parquet(f"{self.root}/{name}/{v}"), name)
+        """The current rows in today's schema; an empty table if there are none."""
+        parts = [conform(self.spark.read.parquet(f"{self.root}/{name}/{v}"), name) for v in self._versions(name)]
+        return reduce(DataFrame.unionByName, parts) if parts else empty(self.spark, name)
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Publish a new version; the marker file of the finished write makes it current. memory_items and memory_edges are partitioned by type."""
-        n = int((self._current(name) or "v00000000").split("-")[0][1:]) + 1
+        """Publish a whole new version; the marker file of the finished write makes it current. memory_items and memory_edges are partitioned by type."""
         w = conform(df, name).write
         part = {"memory_items": "memory_type", "memory_edges": "edge_type"}.get(name)
-        (w.partitionBy(part) if part else w).parquet(f"{self.root}/{name}/v{n:08d}-{uuid.uuid4().hex[:8]}")
+        (w.partitionBy(part) if part else w).parquet(self._next(name, "v"))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        old = self.read(name)
+        """S14 and the like: new rows are written beside the old ones, which aren't read again but for their keys where the table has some."""
         fresh = conform(rows, name)
-        self.save(name, insert_ignore(old, fresh, KEYS[name]) if name in KEYS else old.unionByName(fresh))
+        if name in KEYS:
+            fresh = fresh.dropDuplicates(KEYS[name]).join(self.read(name).select(*KEYS[name]), KEYS[name], "left_anti").select(*fresh.columns)
+        fresh.write.parquet(self._next(name, "a"))
+
+    def compact(self, name: str) -> None:
+        """One whole version of what was appended; older ones are deleted (readers that began before may still hold them)."""
+        old = self._versions(name)
+        if len(old) > 1:
+            self.save(name, self.read(name))
+            for v in old:
+                fs, p = self._fs(f"{self.root}/{name}/{v}")
+                fs.delete(p, True)
+
+    def replace_epochs(self, epochs: DataFrame) -> None:
+        """The eras of a run replace all earlier ones at once."""
+        self.save("epochs", epochs)
+
+    def list_epochs(self) -> DataFrame:
+        return self.read("epochs").orderBy("ordinal")
+
+    def insert_chat_turn(self, turn: DataFrame) -> None:
+        self.append("chat_turns", turn)
+
+    def migrate(self) -> list[str]:
+        """Tables of an older layout are written anew in today's schema; gives their names. A second call finds none."""
+        moved = []
+        for name, schema in SCHEMAS.items():
+            versions = self._versions(name)
+            if any(set(self.spark.read.parquet(f"{self.root}/{name}/{v}").columns) != set(schema.fieldNames()) for v in versions):
+                self.save(name, self.read(name))
+                moved.append(name)
+        if self.spark.createDataFrame([("schema_version", str(VERSION))], SCHEMAS["store_meta"]).exceptAll(self.read("store_meta")).count():
+            self.save("store_meta", self.read("store_meta").where("key <> 'schema_version'").unionByName(self.spark.createDataFrame([("schema_version", str(VERSION))], SCHEMAS["store_meta"])))
+        return moved
 
     def data_version(self, name: str) -> str | None:
         """Changes whenever a table does."""
-        return self._current(name)
+        return (self._versions(name) or [None])[-1]
 
     def schema_version(self) -> int:
         return VERSION

@@ -21,17 +21,14 @@ from mnemora.sources.store import Store, id_pairs
 
 
 def write_stream(requests: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is ingested and published; the batch id makes a repeat of one harmless, as hashes and ids are keys."""
+    """Each micro-batch is ingested and published; a repeat of one is harmless, as hashes and ids are keys. Logs are appended to, the memories (whose scores move) are a new version; Store.compact() joins what has piled up."""
 
     def batch(df: DataFrame, _: int) -> None:
-        df = df.persist()
         for name, rows in ingest(df, store.read("memory_items")).items():
             if name == "memory_items":
-                store.save(name, rows)
+                store.save(name, rows)  # repeats change stored rows
             else:
-                old = store.read(name)
-                store.save(name, old.unionByName(rows.join(old.select("id"), "id", "left_anti"), allowMissingColumns=True))
-        df.unpersist()
+                store.append(name, rows.join(store.read(name).select("id"), "id", "left_anti"))
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
