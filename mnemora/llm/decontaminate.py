@@ -33,6 +33,8 @@ from mnemora.llm.common import WordHashes, materialize, mix64, records, table, t
 RATE, BITS, TABLES, RECALL, BLOCK_WORDS = 0.15, 4, 4, 0.999, 500_000
 #: Numbers of walks to choose from, and planted copies to choose by.
 WALKS, TRIALS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64), 600
+#: Bytes of text that are searched at once.
+RUN_BYTES = 3_000_000
 _EDGE = b".,;:!?\"'()[]{}"
 
 
@@ -55,20 +57,17 @@ def walk_keys(line: np.ndarray, starts: np.ndarray, walks: int, steps: int) -> n
     """Sampled keys [starts, walks * TABLES] of the walks that begin at `starts` of a line of symbols. 0 ends a text: walks stay there."""
     salt = mix64(np.arange(1, walks * steps + 1, dtype=np.uint64)).reshape(walks, steps)
     pick = (mix64(np.arange(1, walks * TABLES * BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(steps)).astype(np.int64).reshape(walks, TABLES, BITS)
-    out = np.empty((len(starts), walks, TABLES), np.uint64)
-    code = np.empty((steps, len(starts)), np.uint64)
+    place = np.repeat(starts[None], walks, 0)
+    code = np.empty((steps, walks, len(starts)), np.uint64)
+    for j in range(steps):
+        c = code[j] = line[place]
+        place += (mix64(c ^ salt[:, j, None]) & np.minimum(c, np.uint64(1))).astype(np.int64)
+    walk = np.arange(walks)[:, None]
+    key = np.repeat(np.arange(1, walks * TABLES + 1, dtype=np.uint64).reshape(walks, TABLES, 1), len(starts), 2)
     with np.errstate(over="ignore"):
-        for w in range(walks):
-            place = starts.copy()
-            for j in range(steps):
-                c = code[j] = line[place]
-                place += (mix64(c ^ salt[w, j]) & np.uint64(1)).astype(np.int64) * (c != 0)
-            for t in range(TABLES):
-                key = np.full(len(starts), w * TABLES + t + 1, np.uint64)
-                for b in range(BITS):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + code[pick[w, t, b]])
-                out[:, w, t] = key
-    return out.reshape(len(starts), -1)
+        for b in range(BITS):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + code[pick[:, :, b], walk])
+    return key.reshape(-1, len(starts)).T
 
 
 def laid_out(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +138,8 @@ class LengthClass:
     def meet(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of every window that shares a sampled key with an item, once each."""
         found = []
-        for a in range(0, len(starts), 4096):
-            some = starts[a : a + 4096]
+        for a in range(0, len(starts), 1024):
+            some = starts[a : a + 1024]
             keys = walk_keys(line, some, self.walks, self.steps)
             low, high = np.searchsorted(self.keys, keys.ravel(), "left"), np.searchsorted(self.keys, keys.ravel(), "right")
             n = high - low
@@ -262,7 +261,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, memo = _items(name, shared.value, rate, recall, walks), Symbols()
             for batch in batches:
-                for part, texts in text_runs(batch, "__text"):
+                for part, texts in text_runs(batch, "__text", RUN_BYTES):
                     hits = items.hits([memo.read(t) for t in texts])
                     memo.trim()
                     found = [[{"item_id": items.ids[i], "edits": e, "start": x, "end": y} for i, e, x, y in one] for one in hits]
