@@ -275,7 +275,8 @@ def score_texts(df: DataFrame, train: object, text: str = "text", word_share: fl
     """The input's columns but `text`, with n_tokens, n_known, train_tokens, base_score and score.
 
     train: a boolean column that says which rows are learnt from (null: not). Null and empty texts are the end token
-    alone. With an empty training side N = V = 0: each token has base log10(0 + 1) - log10(0 + 1) = 0. Shares above 0
+    alone; texts of any length are one sequence (a long one is a chunk of its own). Repeated rows are learnt from and
+    scored as often as they occur. Own columns take the place of input columns of their names; an empty table gives no rows. With an empty training side N = V = 0: each token has base log10(0 + 1) - log10(0 + 1) = 0. Shares above 0
     make a smaller model: words and n-grams below that share of the training tokens aren't kept, such words are one class.
     """
     lean = [c for c in df.columns if c != text]

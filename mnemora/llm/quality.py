@@ -148,8 +148,10 @@ def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     """The input's columns with doc_logit, site_logit, quality (posterior) and keep.
 
     labels: doc_id and 0/1 columns (`toxic` may be absent); several labels of one id count as the worst, labels of unknown ids don't count.
-    Null hosts and paths are sites of their own; null and empty texts are scored by the figures of an empty text.
-    Without labels of both kinds the classifier says 0 for all, and every row is kept.
+    Null hosts and paths are sites of their own; null and empty texts are scored by the figures of an empty text, texts of
+    any length by those of the whole text. Repeated rows are scored alike, and each counts for its site; a label counts
+    for all rows of its id. A posterior of exactly `keep` keeps. Own columns take the place of input columns of their
+    names. An empty table gives no rows. Without labels of both kinds the classifier says 0 for all, and every row is kept.
     """
     known = good(labels, label, toxic)
     model, lexicon = fit(df, known, doc_id, text, fit_rows)
