@@ -7,8 +7,11 @@ lines is fixed, any other is a field, so lines that differ in names or codes sha
 so leaves of any size are counted by pre-aggregated sums and no leaf is gathered in one task.
 A template without a fixed word (a line of numbers) is no template. Else it recurs if it stands in documents of at least
 `min_docs` copy classes: copies of one document, however many, count once, and are the business of document dedup. Copy
-classes are components of near-dedup over the documents that hold a template of `min_docs` documents; the others have
-no say. Lines of recurring templates are dropped, in passages of any number of lines and lines of any number of words.
+classes come from sketches, so that no texts are moved for them: the least hash of a document's `WINDOW`-byte windows in
+each of `BINS` classes of hashes (one-permutation minwise hashing). Documents that share a band of bins are held against
+the smallest one that has it, and are its copies if `ALIKE` of the bins agree; a passage that fills half of two documents
+makes a third of their bins agree. Only documents that hold a template of `min_docs` documents have a say.
+Lines of recurring templates are dropped, in passages of any number of lines and lines of any number of words.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, materialize, records_beside, table, text_runs, unpack
-from mnemora.llm.near_dedup import near_duplicates
+from mnemora.llm.common import WordHashes, components, materialize, mix64, records_beside, table, text_runs, unpack
 
 LEAD, SUPPORT, MIN_DOCS, FIELDS = 3, 3, 3, 0.4
-#: Bands and rows of signatures for copy classes: a pair at 0.8 meets with probability 0.985, a group of copies is one by its many pairs.
-BANDS, ROWS = 8, 4
+WINDOW, BINS, BAND, ALIKE = 16, 64, 4, 0.6
+#: Row hashes that are broadcast at most, to leave texts where they are that a join doesn't need.
+BUCKETS = 1 << 20
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _STAR = b"<*>"
 
@@ -55,6 +58,53 @@ def line_keys(text: bytes, lead: int) -> tuple[list[int], list[int], list[int]]:
     return at, leaf, line
 
 
+def sketches(texts: list[bytes]) -> np.ndarray:
+    """[texts, BINS] least window hashes, as uint64; the largest value where a bin is empty. A-Z are lower-cased."""
+    top = np.iinfo(np.uint64).max
+    out = np.full((len(texts), BINS), top, np.uint64)
+    size = np.array([max(len(t), WINDOW) for t in texts], np.int64)
+    data = np.frombuffer(b"".join([t.lower().ljust(WINDOW, b"\0") for t in texts]) + bytes(WINDOW), np.uint8)
+    words = np.zeros(len(data) - 8, np.uint64)  # the 8 bytes from each place on
+    for j in range(8):
+        words |= data[j : j + len(words)].astype(np.uint64) << np.uint64(8 * j)
+    n = len(data) - WINDOW
+    with np.errstate(over="ignore"):
+        h = mix64(words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : 8 + n])
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(texts)), size)
+    inside = np.arange(n) <= (ends - WINDOW)[owner]
+    h, owner = h[inside], owner[inside]
+    np.minimum.at(out.reshape(-1), owner * BINS + (h >> np.uint64(58)).astype(np.int64), h)
+    return out
+
+
+def copy_classes(docs: DataFrame) -> DataFrame:
+    """(row, comp) of rows with a sketch: the smallest row that their copies lead to. docs: row, bins (binary), bands."""
+    bands = docs.select("row", F.explode("bands").alias("key"))
+    first = bands.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = bands.join(first, "key").where("row <> a").select("a", F.col("row").alias("b")).distinct()
+    side = lambda n: docs.select(F.col("row").alias(n), F.col("bins").alias(f"s{n}"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("sa", "sb"))
+            full = (x != np.iinfo(np.uint32).max) | (y != np.iinfo(np.uint32).max)
+            same = ((x == y) & full).sum(1) >= ALIKE * full.sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(same))
+
+    links = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    label = components(links, "lines-classes")
+    return docs.select("row").join(label.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("comp"))
+
+
+def near_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: those that may be in `rows` (row), and those that certainly aren't. At most BUCKETS hashes are broadcast."""
+    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
+    held = F.broadcast(rows.select(bucket.alias("bucket")).distinct())
+    marked = docs.withColumn("bucket", bucket)
+    return marked.join(held, "bucket", "left_semi").drop("bucket"), marked.join(held, "bucket", "left_anti").drop("bucket")
+
+
 def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS) -> DataFrame:
     """Columns rec (the input row but its text), row, parts (the text's lines), n_lines (with words), drop (positions of lines to drop, from 0).
 
@@ -64,7 +114,7 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     """
     base = records_beside(df, text, F.monotonically_increasing_id().alias("row"))
     long_list = T.ArrayType(T.LongType())
-    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line")]])
+    schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line", "bands")], T.StructField("bins", T.BinaryType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +122,21 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
                 got = [line_keys(t, lead) for t in texts]
                 ends = pa.array(np.cumsum([0, *[len(g[0]) for g in got]]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.array([x for g in got for x in g[c]], np.uint64).view(np.int64))) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), *lists], names=["rec", "row", "text", "at", "leaf", "line"])
-
-    docs = base.mapInArrow(keys, schema).select("rec", "row", F.split("text", "\n", -1).alias("parts"), "at", "leaf", "line")
+                bins = sketches(texts)
+                band = np.tile(np.arange(BINS // BAND, dtype=np.uint64), (len(texts), 1))
+                with np.errstate(over="ignore"):
+                    for j in range(BAND):
+                        band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + bins[:, j::BAND])
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * (BINS // BAND), pa.int32()), pa.array(band.ravel().view(np.int64)))
+                short = pa.array([x.tobytes() for x in (bins & np.uint64(0xFFFFFFFF)).astype(np.uint32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("rec"), part.column("row"), part.column("__text"), *lists, bands, short], names=["rec", "row", "text", "at", "leaf", "line", "bands", "bins"])
+
+    # joins are merge joins at any size (hints), as what they meet grows with the corpus
+    docs = base.mapInArrow(keys, schema).select("rec", "row", F.split("text", "\n", -1).alias("parts"), "at", "leaf", "line", "bands", "bins")
     docs = materialize(docs, "lines")
     every = docs.select("row", F.explode(F.arrays_zip("at", "leaf", "line")).alias("x")).select("row", "x.*").where("line <> 0")
     leaves = every.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    lines = materialize(every.join(leaves, "leaf"), "lines-often")
+    lines = materialize(every.join(leaves.hint("merge"), "leaf"), "lines-often")
     # leaves with unlike lines: the words of one of each kind of line, weighted by how often it stands
     kinds = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("rep"))
     mixed = kinds.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("c")).where("k > 1").select("leaf")
@@ -94,24 +152,25 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
                 memo.trim()
                 yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["leaf", "line", "n", "words"])
 
-    wanted = docs.select("row", "parts").join(wanted, "row").select(F.array_join(F.transform("want", lambda w: F.col("parts")[w["at"].cast("int")]), "\n").alias("some"), "want")
+    wanted = materialize(wanted, "lines-wanted")
+    wanted = near_rows(docs.select("row", "parts"), wanted)[0].join(wanted, "row").select(F.array_join(F.transform("want", lambda w: F.col("parts")[w["at"].cast("int")]), "\n").alias("some"), "want")
     word = wanted.mapInArrow(words, "leaf long, line long, n long, words array<long>")
     word = materialize(word, "lines-words").select("leaf", "line", "n", F.posexplode("words").alias("place", "word"))
     fixed = word.groupBy("leaf", "place", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= support).select("leaf", "place", "word", F.lit(True).alias("fixed"))
     shape = word.join(fixed, ["leaf", "place", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("word") != F.lit(np.uint64(_hash(_STAR)).astype(np.int64).item())))
     shape = shape.groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(leaf, place, if(fixed, word, 0L)))").alias("shape"), F.avg((~F.col("fixed")).cast("int")).alias("open"))
     shape = shape.select("leaf", "line", F.when(F.col("open") <= fields, F.col("shape")).otherwise(F.col("line")).alias("template"))
-    lines = lines.join(shape, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
+    lines = lines.join(shape.hint("merge"), ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     lines = materialize(lines.select("row", "at", "template"), "lines-templates")
     holds = lines.select("template", "row").distinct()
     often = holds.groupBy("template").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("template")
-    holds = materialize(holds.join(often, "template"), "lines-holds")
-    some = docs.select("row", F.array_join("parts", "\n").alias("text")).join(holds.select("row").distinct(), "row")
-    classes = near_duplicates(some.select(F.col("row").alias("of"), "text"), "text", bands=BANDS, rows=ROWS).select(F.col("rec.of").alias("row"), "comp")
-    often = holds.join(classes, "row").select("template", "comp").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    drop = lines.join(often, "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop"))
-    got = docs.select("rec", "row", "parts", F.size("at").cast("long").alias("n_lines")).join(drop, "row", "left")
-    return got.withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
+    holds = materialize(holds.join(often.hint("merge"), "template"), "lines-holds")
+    classes = copy_classes(materialize(docs.select("row", "bands", "bins").join(holds.select("row").distinct().hint("merge"), "row"), "lines-sketches"))
+    often = holds.join(classes.hint("merge"), "row").select("template", "comp").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
+    drop = materialize(lines.join(often.hint("merge"), "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop")), "lines-drop")
+    cut, whole = near_rows(docs.select("rec", "row", "parts", F.size("at").cast("long").alias("n_lines")), drop)
+    none = F.array().cast("array<bigint>")
+    return cut.join(drop.hint("merge"), "row", "left").withColumn("drop", F.coalesce("drop", none)).unionByName(whole.withColumn("drop", none))
 
 
 def _clean(parts: object, drop: object) -> object:
