@@ -135,9 +135,9 @@ def _s21(s: SparkSession, d: str) -> DataFrame:
     return st.bump_cooccurrence(none, fx.turns(s, d)).select("src_id", "dst_id", "weight", "co_count", "last_activated")
 
 
-@query("s22_neighbors", "SELECT CASE WHEN src_id = 'mem_1' THEN dst_id ELSE src_id END AS id, weight FROM coe WHERE src_id = 'mem_1' OR dst_id = 'mem_1'", MEM, TRN, _CO)
+@query("s22_neighbors", "SELECT CASE WHEN src_id = 'mem_1' THEN dst_id ELSE src_id END AS id, round(weight, 6) AS weight FROM coe WHERE src_id = 'mem_1' OR dst_id = 'mem_1'", MEM, TRN, _CO)
 def _s22(s: SparkSession, d: str) -> DataFrame:
-    return st.neighbors(_coe(s, d), "mem_1", "co_occurred")
+    return st.neighbors(_coe(s, d), "mem_1", "co_occurred").withColumn("weight", F.round("weight", 6))
 
 
 @query("s24_evidence_for", "SELECT id, evidence_type, strength, created_at FROM evd WHERE memory_id = 'mem_7'", EVD)
@@ -571,14 +571,20 @@ def _k3(s: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", "estimate")
 
 
-@query("k4_hll")
+@query("k4_hll", "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
 def _k4(s: SparkSession, d: str) -> DataFrame:
-    return fx.read(s, d, "events").groupBy("event_type").agg(F.hll_sketch_estimate(sketch.hll(F.col("user_id"))).alias("users"))
+    """The estimate is within a tenth of the exact count."""
+    got = fx.read(s, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.hll_sketch_estimate(sketch.hll(F.col("user_id"))).alias("about"))
+    return got.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("near"))
 
 
-@query("k5_reservoir")
+@query("k5_reservoir", "SELECT 5::BIGINT AS drawn, 5::BIGINT AS of_table, true AS same FROM (SELECT 1)", RAW)
 def _k5(s: SparkSession, d: str) -> DataFrame:
-    return sketch.reservoir(fx.raw_events(s, d), "id", 5).select("id", "content")
+    """Five different rows of the table, the same ones in any order of its rows."""
+    raw = fx.raw_events(s, d).select("id")
+    one, two = sketch.reservoir(raw, "id", 5), sketch.reservoir(raw.orderBy(F.desc("id")), "id", 5)
+    both = one.join(two.withColumn("again", F.lit(True)), "id", "left").join(raw.distinct().withColumn("there", F.lit(True)), "id", "left")
+    return both.agg(F.count("*").alias("drawn"), F.count_if("there").alias("of_table"), F.coalesce(F.bool_and("again"), F.lit(False)).alias("same"))
 
 
 # retrieval

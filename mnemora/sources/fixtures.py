@@ -42,24 +42,24 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     d = read(spark, sf_dir, "documents")
     total = d.select("doc_id").where("doc_id >= 11")
-    return total.where("doc_id % 5 = 0").select(F.concat(F.lit("mem_"), n).alias("source_id"), F.concat(F.lit("mem_"), n - n % 11).alias("target_id"), F.element_at(F.array(*[F.lit(r) for r in _RELATIONS]), (n % 6).cast("int") + 1).alias("relation"))
+    return total.select(F.concat(F.lit("mem_"), n).alias("source_id"), F.concat(F.lit("mem_"), n - n % 11).alias("target_id"), F.element_at(F.array(*[F.lit(r) for r in _RELATIONS]), (n % 6).cast("int") + 1).alias("relation"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chat_turns from `conversations`: a row for each user message, with up to three memories."""
-    c, t = F.col("conv_id"), F.col("turn")
-    ids = F.array(F.concat(F.lit("mem_"), (c * 7 + t) % 60), F.concat(F.lit("mem_"), (c * 3 + 1) % 60), F.concat(F.lit("mem_"), (c + t * t) % 1200))
+    c, t, n = F.col("conv_id"), F.col("turn"), read(spark, sf_dir, "documents").count()
+    ids = F.array(F.concat(F.lit("mem_"), (c * 7 + t) % n), F.concat(F.lit("mem_"), (c * 3 + 1) % n), F.concat(F.lit("mem_"), (c + t * t) % n))
     rows = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat(F.lit("turn_"), c, F.lit("_"), t).alias("id"), F.concat(F.lit("conv_"), c % 40).alias("session_id"), (F.lit(NOW - 100 * 86400) + (c % 90) * 86400 + c * 60 + t).alias("created_at"), F.col("text").alias("user_text"), F.lit("").alias("assistant_text"), F.lit("m").alias("model"), F.lit("b").alias("backend"), F.when(c % 5 != 0, F.char_length("text") + 10).alias("prompt_tokens"), F.when(c % 7 != 0, t * 3 + 5).alias("completion_tokens"), F.when(c % 3 != 0, c * 2 + 100).alias("total_duration_ms"), F.when(c % 4 != 0, c + 50).alias("llm_duration_ms"), (t + 3).alias("retrieve_duration_ms"), F.lit(3).alias("context_memory_count"), (c % 200).alias("context_chars"), ids.alias("memory_ids"))
     return conform(rows, "chat_turns")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """memory_evidence from `events`."""
-    e = read(spark, sf_dir, "events")
+    e, n = read(spark, sf_dir, "events"), read(spark, sf_dir, "documents").count()
     kind = F.lit("topic_repeated")
     for k, v in _EVENT.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-    return e.select(F.concat(F.lit("ev_"), F.col("event_id")).alias("id"), F.concat(F.lit("mem_"), F.col("event_id") % 200).alias("memory_id"), kind.alias("evidence_type"), ((F.col("event_id") % 10) / 10.0).alias("strength"), F.lit("chat").alias("source"), F.concat(F.lit("s_"), F.col("user_id")).alias("session_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"))
+    return e.select(F.concat(F.lit("ev_"), F.col("event_id")).alias("id"), F.concat(F.lit("mem_"), F.col("event_id") % n).alias("memory_id"), kind.alias("evidence_type"), ((F.col("event_id") % 10) / 10.0).alias("strength"), F.lit("chat").alias("source"), F.concat(F.lit("s_"), F.col("user_id")).alias("session_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +84,12 @@ mem AS (SELECT 'mem_' || doc_id AS id, doc_id, text AS content, toks,
   {NOW} - (doc_id % 120) * 86400 - doc_id AS created_at, doc_id % 5 AS access_count, 0.3::DOUBLE + (doc_id % 7) * 0.1::DOUBLE AS importance_score,
   (doc_id % 4) * 0.1::DOUBLE AS recurrence_score, (doc_id % 10) / 10.0::DOUBLE AS salience, doc_id % 11 = 0 AS stale, doc_id % 13 = 0 AS pinned,
   sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM d0)"""
-LINK_SQL = "lnk AS (SELECT 'mem_' || doc_id AS source_id, 'mem_' || (doc_id - doc_id % 11) AS target_id, (['supports','contradicts','updates','duplicates','derived_from','belongs_to_project'])[doc_id % 6 + 1] AS relation FROM documents WHERE doc_id >= 11 AND doc_id % 5 = 0)"
+LINK_SQL = "lnk AS (SELECT 'mem_' || doc_id AS source_id, 'mem_' || (doc_id - doc_id % 11) AS target_id, (['supports','contradicts','updates','duplicates','derived_from','belongs_to_project'])[doc_id % 6 + 1] AS relation FROM documents WHERE doc_id >= 11)"
 TURN_SQL = f"""trn AS (SELECT 'turn_' || conv_id || '_' || turn AS id, 'conv_' || (conv_id % 40) AS session_id, {NOW} - 100 * 86400 + (conv_id % 90) * 86400 + conv_id * 60 + turn AS created_at, text AS user_text,
   CASE WHEN conv_id % 5 <> 0 THEN length(text) + 10 END AS prompt_tokens, CASE WHEN conv_id % 7 <> 0 THEN turn * 3 + 5 END AS completion_tokens, CASE WHEN conv_id % 3 <> 0 THEN conv_id * 2 + 100 END AS total_duration_ms,
   CASE WHEN conv_id % 4 <> 0 THEN conv_id + 50 END AS llm_duration_ms, turn + 3 AS retrieve_duration_ms, 3 AS context_memory_count, conv_id % 200 AS context_chars,
-  ['mem_' || ((conv_id * 7 + turn) % 60), 'mem_' || ((conv_id * 3 + 1) % 60), 'mem_' || ((conv_id + turn * turn) % 1200)] AS memory_ids FROM conversations WHERE role = 'user')"""
-EVIDENCE_SQL = "evd AS (SELECT 'ev_' || event_id AS id, 'mem_' || (event_id % 200) AS memory_id, CASE event_type WHEN 'click' THEN 'retrieval_success' WHEN 'purchase' THEN 'user_confirmation' WHEN 'refund' THEN 'user_correction' WHEN 'login' THEN 'cross_day_recurrence' ELSE 'topic_repeated' END AS evidence_type, (event_id % 10) / 10.0::DOUBLE AS strength, floor(epoch(ts))::BIGINT AS created_at FROM events)"
+  ['mem_' || ((conv_id * 7 + turn) % (SELECT count(*) FROM documents)), 'mem_' || ((conv_id * 3 + 1) % (SELECT count(*) FROM documents)), 'mem_' || ((conv_id + turn * turn) % (SELECT count(*) FROM documents))] AS memory_ids FROM conversations WHERE role = 'user')"""
+EVIDENCE_SQL = "evd AS (SELECT 'ev_' || event_id AS id, 'mem_' || (event_id % (SELECT count(*) FROM documents)) AS memory_id, CASE event_type WHEN 'click' THEN 'retrieval_success' WHEN 'purchase' THEN 'user_confirmation' WHEN 'refund' THEN 'user_correction' WHEN 'login' THEN 'cross_day_recurrence' ELSE 'topic_repeated' END AS evidence_type, (event_id % 10) / 10.0::DOUBLE AS strength, floor(epoch(ts))::BIGINT AS created_at FROM events)"
 RAW_SQL = "raw AS (SELECT 'raw_' || event_id AS id, 's_' || (user_id % 30) AS session_id, event_type AS content, floor(epoch(ts))::BIGINT AS created_at FROM events)"
 #: Hashed bag-of-words of any text as rows (id, bucket, x), of unit length.
 BAG_SQL = """hsh AS (SELECT id, ('0x' || substr(md5(unnest(toks)), 1, 15))::BIGINT AS h FROM mem),
