@@ -53,13 +53,27 @@ def bag(tokens: list[str], dim: int) -> np.ndarray:
     return v / n if n > 0 else v
 
 
+def bags(texts: list[list[str] | None], dim: int) -> np.ndarray:
+    """bag() of many token lists at once: distinct tokens are placed once, and places are summed in one count."""
+    lists = [t if t is not None else () for t in texts]
+    row = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    if not len(row):
+        return np.zeros((len(lists), dim))
+    code, distinct = pd.factorize(np.concatenate([np.asarray(t, object) for t in lists if len(t)]))
+    place = [_place(t, dim) for t in distinct]
+    at, sign = np.array([p for p, _ in place]), np.array([s for _, s in place])
+    v = np.bincount(row * dim + at[code], sign[code], len(lists) * dim).reshape(len(lists), dim)
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, n, out=v, where=n > 0)
+
+
 def hashed_bow(text: Column, dim: int = 256) -> Column:
     """Hashed bag-of-words of tokenize(text), of unit length (zero without tokens). Tokens come from the JVM; one Arrow call a batch sums them."""
 
     @F.pandas_udf("array<double>")
     def embed(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in tokens:
-            yield pd.Series([bag(t, dim) for t in batch])
+            yield pd.Series(list(bags(list(batch), dim)))
 
     return embed(tokenize(text))
 

@@ -137,9 +137,10 @@ def search(queries: DataFrame, df: DataFrame, k: int, key: str = "id", vector: s
     for row in queries.select("query_id", "vector").toLocalIterator():
         held.append((row[0], row[1]))
         if len(held) == 1024:
-            best, held = (run(held) if best is None else best.union(run(held))), []
+            part, held = cut_lineage(run(held)), []  # written, so that no plan holds more than one block
+            best = part if best is None else best.union(part)
     if held:
-        best = run(held) if best is None else best.union(run(held))
+        best = run(held) if best is None else best.union(cut_lineage(run(held)))
     if best is None:
         return df.sparkSession.createDataFrame([], T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", kind), T.StructField("cosine", T.DoubleType())]))
     from pyspark.sql import Window as W
