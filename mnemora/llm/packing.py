@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemora.llm.common import column_runs, materialize, mix64, partition_offsets, records, table
-from mnemora.llm.tokens import RUN_BYTES, chunk_ids, default_path, vocabulary
+from mnemora.llm.tokens import RUN_BYTES, ChunkIds, default_path, vocabulary
 
 LENGTH, END, DIMS, BITS = 4096, 2, 4, 8
 
@@ -70,7 +70,7 @@ def tokenize(df: DataFrame, text: str, path: str, end: int) -> DataFrame:
     vocab = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, matrix, pack = chunk_ids(path, end), signs(vocab, DIMS), zstandard.ZstdCompressor(level=3)
+        memo, matrix, pack = ChunkIds(path, end), signs(vocab, DIMS), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in column_runs(batch, "__text", RUN_BYTES):
                 flat, n = memo.encode_column(part.column("__text"))
@@ -86,7 +86,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary, uint32).
 
     Null and empty texts are the end id alone. Equal keys are ordered by doc_id (null first), then by row; repeated
-    rows are packed as often as they occur. An empty table gives no rows.
+    rows are packed as often as they occur. A text longer than a sequence goes on in the next ones. An empty table gives
+    no rows. Other columns of the input aren't used, whatever their names.
     """
     path = path or default_path()
     keep = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

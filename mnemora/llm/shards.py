@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import column_runs, materialize, mix64, new_path, table
-from mnemora.llm.tokens import RUN_BYTES, chunk_ids, default_path, vocabulary
+from mnemora.llm.tokens import RUN_BYTES, ChunkIds, default_path, vocabulary
 from mnemora.llm.warc import open_store
 
 LENGTH, RECORDS, KEY, END, ROUNDS = 256, 4096, 20_240_101, 2, 6
@@ -71,7 +71,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, memo, pack = TaskContext.get().partitionId(), 0, chunk_ids(path, end), zstandard.ZstdCompressor(level=6)
+        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=5)
         for b in batches:
             for run in column_runs(b, "text", RUN_BYTES):
                 ids, size = memo.encode_column(run.column("text"))
@@ -93,7 +93,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     root = new_path(spark, "shards")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
         held: list[np.ndarray] = []
         slots: list[np.ndarray] = []
 

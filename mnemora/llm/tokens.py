@@ -42,21 +42,15 @@ def vocabulary(path: str) -> int:
     return tokenizer(path).get_vocab_size()
 
 
-@cache
-def chunk_ids(path: str, end: int) -> ChunkIds:
-    """The memo of this worker process, kept from task to task."""
-    return ChunkIds(path, end)
-
-
 class ChunkIds:
     """Memo: chunk of UTF-8 without ASCII white space, lower-cased, to its ids as little-endian bytes.
 
     Pieces of chunks are chunks themselves and share the memo. It has two generations: a full one becomes the old one,
     and what is met again moves to the new one, so that frequent chunks are never learnt twice and memory is bounded by
-    twice `most` chunks and those of one run of texts.
+    twice `most` chunks and those of one run of texts. Each task has its own, as workers live on for other work.
     """
 
-    def __init__(self, path: str, end: int, most: int = 250_000) -> None:
+    def __init__(self, path: str, end: int, most: int = 200_000) -> None:
         self.tok = tokenizer(path)
         vocab = self.tok.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
