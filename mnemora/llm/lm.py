@@ -32,9 +32,11 @@ from mnemora.llm.common import WordHashes, materialize, mix64, records_beside, t
 
 MIN_GRAM, DISCOUNT = 2, 0.5
 #: Bytes of text in a chunk, and tokens for each part of the tables.
-CHUNK_BYTES, PART_TOKENS = 4_000_000, 2_000_000
+CHUNK_BYTES, PART_TOKENS = 4_000_000, 1_000_000
 #: Hash that stands for the end of a text (a token of its own; words are hashed from other bytes).
 END = xxhash.xxh3_64_intdigest(b"\n<end>\n")
+
+
 def _hashes(memo: WordHashes, texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for t in texts:
@@ -71,8 +73,9 @@ def _tight(x: np.ndarray) -> np.ndarray:
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, of 52 bits (the highest ones), as keys are most of what is moved."""
     with np.errstate(over="ignore"):
-        return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+        return mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b) & np.uint64(0xFFFFFFFFFFFFF000)
 
 
 class Chunk:
@@ -176,7 +179,8 @@ def _round(chunks: DataFrame, parts: int, ask: Callable[[Chunk, list], list], pa
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one chunk at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 kinds = ask(Chunk(*_load(row["body"])), [row[f"got{i}"] for i in range(width)])
                 cuts = [_slices(k, parts) for k, _ in kinds]
                 to = [p for p in range(parts) if any(c[p] < c[p + 1] for c in cuts)]
@@ -191,7 +195,8 @@ def _round(chunks: DataFrame, parts: int, ask: Callable[[Chunk, list], list], pa
             ends = np.cumsum([len(k) for k in keys])
             keys, values = np.concatenate(keys), np.concatenate([b[2 * kind + 1].astype(np.int64 if kind < owners else np.float64) for b in blobs])
             order = np.argsort(keys, kind="stable")
-            new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]) if len(keys) else np.zeros(0, bool)
+            keys = keys[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             sums = np.add.reduceat(values[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(keys) else values
             out = np.empty_like(values)
             out[order] = sums * 2 + new if kind < owners else sums
