@@ -1,14 +1,16 @@
 """Secret scans: base patterns, and a linear-chain conditional random field over tokens, decoded by Viterbi.
 
 Tokens are the runs between the six ASCII white-space bytes. Tags: O (outside), B (begins a secret), I (inside one).
-Tokens are open to B and I if they could be a code by shape (8 or more bytes with both letters and digits, or 20 or more
-bytes) or stand within `NEAR` tokens after one that speaks of credentials, whatever their shape (so 'pwd is 48291733' and
-'passphrase: correct horse battery' are in reach). Tokens that are neither are O by construction, in training and in
-decoding, so the chain falls apart into short runs. Features: the token's shape, the words beside it, the file's.
+Features: the token's shape, the words beside it, how near it stands after one that speaks of credentials, the file's.
+Every token of a text is scored for all three tags, and the tags are those of the best path over the whole text. What
+can't be B or I on a best path, by upper bounds on the paths to and from it, is O; the chain falls apart there, and
+Viterbi runs over what is left give the best path of the whole.
 
 The weights are fitted by maximum likelihood on at most `sample` texts of the table (of at most `SAMPLE_BYTES` bytes,
-those with the smallest hash; tags from the base patterns) and on made-up lines with secrets in other wordings, in runs
-cut at `FIT_RUN` tokens. These bounds hold for the fit alone; all texts are scanned whole.
+those with the smallest hash; tags from the base patterns) and on made-up lines with secrets in other wordings. Of the
+table's texts the fit takes tokens that could be a code by shape or stand within `NEAR` tokens after a word of
+credentials, with `FIT_MARGIN` tokens around them, and the first `FIT_PLAIN` tokens, in runs cut at `FIT_RUN` tokens.
+These bounds hold for the fit alone; all tokens of all texts are scanned.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import types as T
 
 from mnemora.llm.common import mix64, records, table, text_runs, unpack
 
-SAMPLE, SAMPLE_BYTES, FIT_RUN, NEAR = 2000, 20_000, 64, 6
+SAMPLE, SAMPLE_BYTES, FIT_RUN, FIT_MARGIN, FIT_PLAIN, NEAR = 2000, 20_000, 64, 2, 12, 6
+#: Steps that bounds on paths are carried.
+BOUND_STEPS = 4
 KINDS = ("assign", "access", "hex", "crf")
 #: On lower-cased bytes: its value class has both cases, so spans are those of the pattern without regard to case.
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -36,12 +40,17 @@ WORDS = (b"password", b"passwd", b"passphrase", b"passcode", b"secret", b"token"
 #: Words that stand between a name and its value, or go on with prose.
 LINKS, PROSE = frozenset((b"is", b"was", b":", b"=", b"->", b"=>", b"are")), frozenset((b"the", b"a", b"an", b"to", b"of", b"for", b"and", b"or", b"in", b"on", b"be", b"must", b"not", b"with", b"that", b"this", b"it", b"has", b"have", b"your", b"my", b"by", b"at", b"from"))
 TRIM = b"\"'`,;()[]{}<>|!?"
+_ABOUT = re.compile(b"|".join(WORDS))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _DIGIT = np.zeros(256, np.int32)
 _DIGIT[48:58] = 1
 _LETTER = np.zeros(256, np.int32)
 _LETTER[65:91] = _LETTER[97:123] = 1
+#: For shapes: upper case, lower case or bytes of other scripts, digits are one sign each, others stand for themselves.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = 65, 97, 97, 48
+_HEX = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF"))
 
 
 def base_spans(text: bytes, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -92,7 +101,7 @@ def file_features(text: bytes) -> list[str]:
 
 
 class Tokens:
-    """Tokens of a run of texts, told apart by NumPy: starts, ends, and which may hold a secret."""
+    """Tokens of a run of texts, told apart by NumPy: starts, ends, texts, and which look like a secret to begin with (for the fit)."""
 
     def __init__(self, texts: list[bytes]) -> None:
         data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
@@ -112,7 +121,8 @@ class Tokens:
         for j in range(NEAR, 0, -1):
             near = cues[cues + j < end] + j
             self.since[near] = j
-        self.open = np.flatnonzero(may | (self.since > 0))
+        self.hard = may | (self.since > 0)
+        self.doc = np.searchsorted(self.first, self.start, "right") - 1
         self.points = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
 
     def _cues(self) -> np.ndarray:
@@ -130,6 +140,13 @@ class Tokens:
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]]
 
+    def coded(self) -> tuple[list[bytes], np.ndarray]:
+        """Distinct words, and the number of each token's word. White space is cut away as pieces of its own."""
+        cut = np.append(np.column_stack([self.start, self.end]).ravel(), len(self.raw)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(self.raw)])
+        words = pieces.take(pa.array(np.arange(0, len(cut) - 1, 2))).dictionary_encode()
+        return words.dictionary.to_pylist(), words.indices.to_numpy()
+
 
 class Crf:
     """Weights of a linear chain with tags O, B, I."""
@@ -137,12 +154,92 @@ class Crf:
     def __init__(self, names: list[str], weight: np.ndarray, move: np.ndarray) -> None:
         self.at = {n: i for i, n in enumerate(names)}
         self.weight, self.move = weight, move
-        self.memo: dict[bytes, np.ndarray] = {}
 
     def emit(self, features: list[str]) -> np.ndarray:
         e = self.weight[[self.at[f] for f in features if f in self.at]].sum(0)
         return e
 
+    def _table(self, names: list[str]) -> np.ndarray:
+        return np.array([self.emit([n]) for n in names])
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Scores [words, 9] of each word as the token, before it and after it: sums over own_features and beside_features."""
+        cores = [w.strip(TRIM) for w in words]
+        odd = [i for i, c in enumerate(cores) if b"=" in c or b":" in c]  # a name and a value: few
+        n = np.fromiter(map(len, cores), np.int64, len(cores))
+        ends, owner = np.cumsum(n), np.repeat(np.arange(len(cores)), n)
+        data = np.frombuffer(b"".join(cores), np.uint8)
+
+        def count(on: np.ndarray) -> np.ndarray:
+            c = np.concatenate([[0], np.cumsum(on)])
+            return c[ends] - c[ends - n]
+
+        shape = _SHAPE[data]
+        turn = np.ones(len(data), bool)
+        turn[1:] = (shape[1:] != shape[:-1]) | (owner[1:] != owner[:-1])
+        digits, upper, lower = count(shape == 48), count(shape == 65), count((data >= 97) & (data <= 122))
+        cell, c = np.unique(owner * 256 + data, return_counts=True)
+        share = c / n[cell >> 8]
+        entropy = np.bincount(cell >> 8, -share * np.log2(share), len(cores)) if len(cell) else np.zeros(len(cores))
+        out = np.zeros((len(words), 9))
+        own = out[:, :3]
+        own += self.emit(["bias"])
+        own += self._table([f"len{i}" for i in range(13)])[np.minimum(n // 4, 12)]
+        own += self._table([f"entropy{i}" for i in range(12)])[np.minimum((entropy * 2).astype(np.int64), 11)]
+        own += self._table([f"digits{i}" for i in range(5)])[digits * 4 // np.maximum(n, 1)]
+        own += self._table([f"turns{i}" for i in range(9)])[np.minimum(count(turn) // 3, 8)]
+        quote = (b'"', b"'", b"`")
+        opens = np.fromiter((w[:1] in quote for w in words), bool, len(words))
+        ended = np.fromiter((w.rstrip(b".,:;")[-1:] in quote for w in words), bool, len(words))
+        every = lambda on: np.fromiter(on, bool, len(words))
+        for name, on in (("hex", (n >= 16) & (count(_HEX[data]) == n)), ("mixed", (upper > 0) & (lower > 0) & (digits > 0)), ("letters", digits == 0), ("other", digits + upper + lower < n * 0.8), ("mail", count(data == 64) > 0), ("url", every(b"//" in w or b"www." in w for w in words)), ("akia", every(w.startswith(b"AKIA") for w in cores)), ("quoted", opens), ("closes", ended & ~opens), ("wide", count(data > 127) > 0), ("dots", count(data == 46) > 0), ("dashes", count(data == 45) >= 2)):
+            own[on] += self.emit([name])
+        for i in odd:
+            own[i] = self.emit(["bias", *own_features(words[i])])
+        low = [w.lower() for w in words]
+        plain = [w.lower() for w in cores]
+        begin = np.cumsum([0, *[len(w) + 1 for w in low]])
+        about = np.zeros(len(words), bool)
+        about[begin.searchsorted([m.start() for m in _ABOUT.finditer(b"\n".join(low))], "right") - 1] = True
+        for name, on in (("word", about), ("sign", every(w.endswith((b"=", b":")) for w in words)), ("link", every(w in LINKS for w in plain)), ("prose", every(w in PROSE for w in plain)), ("none", every(not w for w in words)), ("digits", digits > 0), ("long", np.diff(begin) > 16)):
+            out[on, 3:6] += self.emit([f"before:{name}"])
+            out[on, 6:] += self.emit([f"after:{name}"])
+        return out
+
+    def emissions(self, tok: Tokens, texts: list[bytes]) -> np.ndarray:
+        """Scores [tokens, 3] of every token: the sums of run_features' weights, word by word."""
+        words, at = tok.coded()
+        by = self.words([*words, b""])
+        edge, out = by[-1], by[at, :3]
+        first = np.diff(tok.doc, prepend=-1) > 0
+        last = np.append(first[1:], True)[: len(first)]
+        out += np.where(first[:, None], edge[3:6], by[np.roll(at, 1), 3:6])
+        out += np.where(last[:, None], edge[6:], by[np.roll(at, -1), 6:])
+        out += np.array([self.emit(file_features(t)) for t in texts])[tok.doc]
+        out[tok.since == 0] += self.emit(["far"])
+        for i in np.flatnonzero(tok.since).tolist():
+            before = b"" if first[i] else tok.word(i - 1)
+            before2 = b"" if first[i] or first[i - 1] else tok.word(i - 2)
+            out[i] += self.emit(place_features(tok.word(i), int(tok.since[i]), before, before2))
+        return out
+
+    def outside(self, e: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Tokens that are O on every best path: by how much a path through B or I may at most exceed that through O is
+        bounded for the way to a token and the way from it, over `BOUND_STEPS` tokens each."""
+        n, m = len(e), self.move
+        gain = e[:, 1:] - e[:, :1]
+        first = np.diff(doc, prepend=-1) > 0
+        last = np.append(first[1:], True)[:n]
+        most_to = gain + (m[:, 1:] - m[:, :1]).max(0)
+        most_from = np.tile((m[1:] - m[:1]).max(1), (n, 1))
+        to, from_ = most_to, most_from
+        for _ in range(BOUND_STEPS):
+            before = np.where(first[:, None], -np.inf, np.roll(to, 1, 0))
+            to = np.minimum(most_to, gain - m[0, 0] + np.maximum(m[0, 1:], np.maximum(before[:, :1] + m[1, 1:], before[:, 1:] + m[2, 1:])))
+            after = np.where(last[:, None], -np.inf, np.roll(gain + from_, -1, 0))
+            from_ = np.minimum(most_from, np.maximum(m[1:, 0], np.maximum(after[:, :1] + m[1:, 1], after[:, 1:] + m[1:, 2])) - m[0, 0])
+        return (to + from_ < -1e-6).all(1)
+
     def viterbi(self, e: np.ndarray) -> list[int]:
         """Best tags of one run [tokens, 3] between two tokens that are O."""
         best, back = e[0] + self.move[0], []
@@ -158,12 +255,22 @@ class Crf:
         return out[::-1]
 
 
-def runs_of(tok: Tokens) -> list[np.ndarray]:
-    """Runs of neighbouring open tokens, cut where a text ends."""
-    if not len(tok.open):
+def runs_of(tok: Tokens, some: np.ndarray) -> list[np.ndarray]:
+    """Runs of neighbouring tokens of those marked in `some`, cut where a text ends."""
+    at = np.flatnonzero(some)
+    if not len(at):
         return []
-    doc = np.searchsorted(tok.first, tok.start[tok.open], "right")
-    return np.split(tok.open, np.flatnonzero((np.diff(tok.open) > 1) | (np.diff(doc) > 0)) + 1)
+    return np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(tok.doc[at]) > 0)) + 1)
+
+
+def _fitted(tok: Tokens) -> np.ndarray:
+    """Tokens of the table's texts that the fit takes."""
+    some = tok.hard.copy()
+    for j in range(1, FIT_MARGIN + 1):
+        some[:-j] |= tok.hard[j:]
+        some[j:] |= tok.hard[:-j]
+    place = np.arange(len(some)) - np.searchsorted(tok.doc, tok.doc)
+    return some | (place < FIT_PLAIN)
 
 
 def _neighbours(tok: Tokens, i: int, doc: int) -> tuple[bytes, bytes]:
@@ -173,7 +280,7 @@ def _neighbours(tok: Tokens, i: int, doc: int) -> tuple[bytes, bytes]:
 
 
 def run_features(tok: Tokens, run: np.ndarray, files: dict[int, list[str]], texts: list[bytes]) -> list[list[str]]:
-    doc = int(np.searchsorted(tok.first, tok.start[run[0]], "right")) - 1
+    doc = int(tok.doc[run[0]])
     if doc not in files:
         files[doc] = file_features(texts[doc])
     out = []
@@ -227,12 +334,13 @@ def made_up(count: int = 600, seed: int = 7) -> list[tuple[bytes, list[tuple[int
 
 
 def _cases(group: list[bytes], secrets: list[list[tuple[int, int]]] | None) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Features and tags of runs of open tokens; a token is B or I where a secret (by default: a base span) covers its middle."""
+    """Features and tags of runs of tokens; a token is B or I where a secret (by default: a base span) covers its middle.
+    Of texts whose secrets are given all tokens are taken."""
     tok = Tokens(group)
     files: dict[int, list[str]] = {}
     known: dict[int, list[tuple[int, int]]] = {}
-    for run in runs_of(tok):
-        doc = int(np.searchsorted(tok.first, tok.start[run[0]], "right")) - 1
+    for run in runs_of(tok, _fitted(tok) if secrets is None else np.ones(len(tok.start), bool)):
+        doc = int(tok.doc[run[0]])
         if doc not in known:
             mine = tok.long[(tok.start[tok.long] >= tok.first[doc]) & (tok.start[tok.long] < tok.first[doc + 1])]
             known[doc] = secrets[doc] if secrets is not None else [(a, b) for a, _, b in base_spans(group[doc], [(int(tok.start[i] - tok.first[doc]), int(tok.end[i] - tok.first[doc])) for i in mine])]
@@ -302,17 +410,16 @@ def scan(texts: list[bytes], crf: Crf) -> list[tuple[list[tuple[int, int, int]],
     """For each text: base spans and all spans as (start, kind, end) in code points, in order."""
     tok = Tokens(texts)
     base: list[list[tuple[int, int, int]]] = []
-    holder = np.searchsorted(tok.first, tok.start[tok.long], "right") - 1
+    holder = tok.doc[tok.long]
     cut = np.searchsorted(holder, np.arange(len(texts) + 1))
     for d, t in enumerate(texts):
         f = int(tok.first[d])
         base.append(base_spans(t, [(int(tok.start[i]) - f, int(tok.end[i]) - f) for i in tok.long[cut[d] : cut[d + 1]]]))
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    files: dict[int, list[str]] = {}
-    for run in runs_of(tok):
-        e = np.array([crf.emit(f) for f in run_features(tok, run, files, texts)])
-        tags = crf.viterbi(e)
-        doc = int(np.searchsorted(tok.first, tok.start[run[0]], "right")) - 1
+    scores = crf.emissions(tok, texts) if len(tok.start) else np.zeros((0, 3))
+    for run in runs_of(tok, ~crf.outside(scores, tok.doc)):
+        tags = crf.viterbi(scores[run])
+        doc = int(tok.doc[run[0]])
         at = int(tok.first[doc])
         spans: list[list[int]] = []
         for i, tag in zip(run.tolist(), tags, strict=True):

@@ -16,7 +16,7 @@ from mnemora.llm.line_dedup import sketches
 from mnemora.llm.lm import Automaton
 from mnemora.llm.near_dedup import superminhash
 from mnemora.llm.packing import hilbert_key
-from mnemora.llm.secrets import Crf, fit, made_up, scan
+from mnemora.llm.secrets import Crf, Tokens, fit, made_up, run_features, scan
 from mnemora.llm.shards import feistel
 from mnemora.llm.tokens import ChunkIds, default_path, tokenizer
 from mnemora.llm.warc import parse, record, reversed_host
@@ -208,6 +208,29 @@ def test_field_finds_what_the_patterns_miss():
     assert [[t[a:b] for a, k, b in every if k == 3] for t, (_, every) in zip(texts, scan(texts, crf), strict=True)] == [[b"48291733"], [b"correct horse battery staple"], [b"eYJhb9GciOiJIUz2I1NiIs"], [], []]
 
 
+def test_field_scores_every_token():
+    """Any token can be a secret, whatever its shape and its place: the path is the best one over whole texts."""
+    rng = np.random.default_rng(4)
+    texts = [t for t, _ in made_up(40, seed=3)] + [b"plain words and xk7 stand far from all names", b"", b" a", "é=ü x:y: \"q\" 'z'. www.a.b http://c @d \x00 A1b2 `e` -f-g- AKIAX ünï9Ö".encode(), b"to be or not " * 50]
+    crf = fit([])
+    tok = Tokens(texts)
+    runs = [np.flatnonzero(tok.doc == d) for d in range(len(texts)) if (tok.doc == d).any()]
+    slow = np.concatenate([[crf.emit(f) for f in run_features(tok, r, {}, texts)] for r in runs])
+    assert np.abs(crf.emissions(tok, texts) - slow).max() < 1e-9
+    # the bounds part a chain only where its best path is outside
+    for _ in range(20):
+        free = Crf(list(crf.at), crf.weight, rng.normal(0, 2, (3, 3)))
+        e = slow + rng.normal(0, 3, slow.shape)
+        tags = np.concatenate([free.viterbi(e[r]) for r in runs])
+        sure = free.outside(e, tok.doc)
+        assert not tags[sure].any() and sure.any()
+    # a short word far from any name, whose weights make it a secret
+    w = crf.weight.copy()
+    w[crf.at["digits1"]] = [-50, 50, -50]
+    text = b"plain words and xk7 stand far from all names"
+    assert [text[a:b] for a, k, b in scan([text], Crf(list(crf.at), w, crf.move))[0][1]] == [b"xk7"]
+
+
 def test_fit_of_hex_dumps_is_bounded():
     crf = fit([b"deadbeef01 " * 1800, b"", b"a " * 30])
     assert [k for _, k, _ in scan([b"id deadbeef01 deadbeef02"], crf)[0][1] if k == 3] == []
