@@ -38,6 +38,26 @@ def tokenizer(path: str):  # noqa: ANN201
     return t
 
 
+@cache
+def piece_tokenizer(path: str):  # noqa: ANN201
+    """The same model for pieces, which are normalised and cut already: parted by spaces, they are only spelt as bytes and merged."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer(tokenizer(path).model)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+    return t
+
+
+def lowers_plainly(text: str) -> bool:
+    """NFC doesn't change the text, and Python lower-cases its characters as the tokenizer does."""
+    from tokenizers.normalizers import Lowercase
+
+    if not is_normalized("NFC", text) or "İ" in text or "Σ" in text:
+        return False
+    signs = "".join(set(text))
+    return Lowercase().normalize_str(signs) == signs.lower()
+
+
 def vocabulary(path: str) -> int:
     return tokenizer(path).get_vocab_size()
 
@@ -51,7 +71,7 @@ class ChunkIds:
     """
 
     def __init__(self, path: str, end: int, most: int = 200_000) -> None:
-        self.tok = tokenizer(path)
+        self.tok, self.lean = tokenizer(path), piece_tokenizer(path)
         vocab = self.tok.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self.end, self.most = np.array([end], self.dtype).tobytes(), most
@@ -62,9 +82,9 @@ class ChunkIds:
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn_pieces(self, new: list[bytes]) -> None:
-        for a in range(0, len(new), 5000):
-            some = new[a : a + 5000]
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+        for a in range(0, len(new), 1000):
+            some = new[a : a + 1000]
+            ids = np.array(self.lean.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
             cut = ((np.flatnonzero(self.closes[ids]) + 1) * self.dtype.itemsize).tolist()
             raw = ids.astype(self.dtype).tobytes()
             if len(cut) == len(some) and (not cut or cut[-1] == len(raw)):
@@ -83,30 +103,30 @@ class ChunkIds:
         return left
 
     def learn(self, chunks: set[bytes]) -> None:
-        whole: list[bytes] = []  # one piece
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        for c in chunks:
-            if c.isalpha():
-                whole.append(c)
-            elif c[-1] in b".,!" and c[:-1].isalpha():
-                parts[c] = (c[:-1], c[-1:])
+        rest = [c for c in chunks if not c.isalpha()]
+        pieces = chunks.difference(rest)  # ASCII letters alone: one piece
+        parts: dict[bytes, list[bytes]] = {}
+        text = b" ".join(rest).decode()
+        if lowers_plainly(text):
+            low = text.lower().split(" ")
+        else:
+            every = [c.decode() for c in rest]
+            odd = [not lowers_plainly(t) for t in every]
+            for c, t, o in zip(rest, every, odd, strict=True):
+                if o:
+                    self.new[c] = np.array(self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+            low = [t.lower() for t, o in zip(every, odd, strict=True) if not o]
+            rest = [c for c, o in zip(rest, odd, strict=True) if not o]
+        for c, t in zip(rest, low, strict=False):  # nothing to part is one empty text
+            if t.isalpha():
+                ps = [t.encode()]
+            elif t[-1:] in ".,!" and t[:-1].isalpha():
+                ps = [t[:-1].encode(), t[-1:].encode()]
             else:
-                text = c.decode()
-                if not text.isascii():
-                    if not is_normalized("NFC", text) or "İ" in text or "Σ" in text:
-                        self.new[c] = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
-                        continue
-                    text = text.lower()
-                    if text.isalpha():
-                        parts[c] = (text.encode(),)
-                        continue
-                    if text[-1] in ".,!" and text[:-1].isalpha():
-                        parts[c] = (text[:-1].encode(), text[-1].encode())
-                        continue
-                parts[c] = tuple([p.encode() for p in PIECES.findall(text)])
-        pieces = set(whole)
-        for ps in parts.values():
+                ps = [p.encode() for p in PIECES.findall(t)]
             pieces.update(ps)
+            if ps != [c]:
+                parts[c] = ps
         self._learn_pieces(list(self._unknown(pieces)))
         ids = self.new
         for c, ps in parts.items():

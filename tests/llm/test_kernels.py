@@ -18,7 +18,7 @@ from mnemora.llm.near_dedup import superminhash
 from mnemora.llm.packing import hilbert_key
 from mnemora.llm.secrets import Crf, Tokens, fit, made_up, run_features, scan
 from mnemora.llm.shards import feistel
-from mnemora.llm.tokens import ChunkIds, default_path, tokenizer
+from mnemora.llm.tokens import ChunkIds, default_path, lowers_plainly, piece_tokenizer, tokenizer
 from mnemora.llm.warc import parse, record, reversed_host
 
 
@@ -167,6 +167,18 @@ def test_hilbert_neighbours():
 TEXTS = ["", "Hello, World! it's 42 don't", "thndorre. <|endoftext|> x", "Éá ÇA Σας İx ß ﬁ", "a b c\x85d", "UPPER!! lower,.;: 'quoted' ''s", "日本語 text １２", "é́ ́x"]
 
 
+def test_pieces_take_the_short_way():
+    """Pieces skip the normaliser and the pattern; chunks that Python and the tokenizer lower-case differently don't."""
+    tok, odd = tokenizer(default_path()), ["ΟΔΟΣ", "İstanbul", "e\u0301tude", "\ua7cb\ua7dc", "ǅ", "ÄÖ,x", "a\u00a0b", "\u2028", "'LL", "don't", "n°5²", "\u0301a", "ẞß", "中文5", "🙂é", "\x00\x1c"]
+    assert lowers_plainly("Étude ÄÖ, ünd 中文") and not any(map(lowers_plainly, odd[:3]))
+    for some in (odd, odd[3:], ["Étude", "ÄÖ,", "plain"], *[[t] for t in odd]):
+        memo = ChunkIds(default_path(), 2)
+        memo.tok = tok if any(not lowers_plainly(t) for t in some) else None  # the whole tokenizer isn't asked
+        text = " ".join(some)
+        assert np.frombuffer(memo.encode([text.encode()])[0], memo.dtype).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+    assert piece_tokenizer(default_path()).normalizer is None
+
+
 def test_tokens_match_the_library():
     memo, tok = ChunkIds(default_path(), 2, most=10), tokenizer(default_path())
     for t, raw in zip(TEXTS * 2, memo.encode([t.encode() for t in TEXTS]) + memo.encode([t.encode() for t in TEXTS]), strict=True):
