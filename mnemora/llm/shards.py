@@ -71,7 +71,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=5)
+        part, at, memo, pack = TaskContext.get().partitionId(), 0, ChunkIds(path, end), zstandard.ZstdCompressor(level=4)
         for b in batches:
             for run in column_runs(b, "text", RUN_BYTES):
                 ids, size = memo.encode_column(run.column("text"))
@@ -93,7 +93,7 @@ def write_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     root = new_path(spark, "shards")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=5)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=4)
         held: list[np.ndarray] = []
         slots: list[np.ndarray] = []
 
