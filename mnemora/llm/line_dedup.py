@@ -17,21 +17,21 @@ Lines of recurring templates are dropped, in passages of any number of lines and
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, components, materialize, mix64, records_beside, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, components, materialize, mix64, new_path, records_beside, table, text_runs, unpack
+from mnemora.llm.warc import open_store
 
 LEAD, SUPPORT, MIN_DOCS, FIELDS = 3, 3, 3, 0.4
 WINDOW, BINS, BAND, ALIKE = 16, 64, 4, 0.6
-#: Row hashes that are broadcast at most, to leave texts where they are that a join doesn't need.
-BUCKETS = 1 << 20
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _STAR = b"<*>"
 
@@ -82,7 +82,7 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     """(row, comp) of rows with a sketch: the smallest row that their copies lead to. docs: row, bins (binary), bands."""
     bands = docs.select("row", F.explode("bands").alias("key"))
     first = bands.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    pairs = bands.join(first, "key").where("row <> a").select("a", F.col("row").alias("b")).distinct()
+    pairs = bands.join(first.hint("merge"), "key").where("row <> a").select("a", F.col("row").alias("b")).distinct()
     side = lambda n: docs.select(F.col("row").alias(n), F.col("bins").alias(f"s{n}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +92,71 @@ def copy_classes(docs: DataFrame) -> DataFrame:
             same = ((x == y) & full).sum(1) >= ALIKE * full.sum(1)
             yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    links = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    links = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
     label = components(links, "lines-classes")
-    return docs.select("row").join(label.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("label", "row").alias("comp"))
+    return docs.select("row").join(label.withColumnRenamed("node", "row").hint("merge"), "row", "left").select("row", F.coalesce("label", "row").alias("comp"))
 
 
-def near_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs in two: those that may be in `rows` (row), and those that certainly aren't. At most BUCKETS hashes are broadcast."""
-    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS))
-    held = F.broadcast(rows.select(bucket.alias("bucket")).distinct())
-    marked = docs.withColumn("bucket", bucket)
-    return marked.join(held, "bucket", "left_semi").drop("bucket"), marked.join(held, "bucket", "left_anti").drop("bucket")
+def beside_rows(side: DataFrame, name: str) -> Column:
+    """An expression over `row` of the documents: the list that `side` (row, list of long) has for it, null where it has none.
+
+    Documents stay where they are. A row's high bits are the partition that it was read in; the lists of each such partition
+    are written in order of rows, as one file of the shared folder, and the tasks that meet its rows read that file. The
+    driver knows a file name for each partition. A file's name is its own, so a task that is run again leaves an orphan at worst.
+    """
+    spark = side.sparkSession
+    root, schema = new_path(spark, name), pa.schema([("row", pa.int64()), ("list", pa.list_(pa.int64()))])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        store.create_dir(base, recursive=True)
+        part, out, writer, file = -1, [], None, None
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(parts, prepend=parts[:1] - 1)) if len(parts) else parts
+            for a, b in zip(cut, [*cut[1:], len(parts)], strict=True):
+                if parts[a] != part:
+                    if writer:
+                        writer.close()
+                        file.close()
+                    part = int(parts[a])
+                    out.append((part, f"{part}-{uuid.uuid4().hex}"))
+                    file = store.open_output_stream(f"{base}/{out[-1][1]}", compression=None)
+                    writer = pa.ipc.new_stream(file, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                piece = batch.slice(a, b - a)
+                writer.write_batch(pa.RecordBatch.from_arrays([piece.column(1), piece.column(2).cast(schema.field(1).type)], schema=schema))
+        if writer:
+            writer.close()
+            file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([n for _, n in out], pa.string())], names=["part", "file"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = side.toDF("row", "list").select(F.expr("shiftright(row, 33)").alias("part"), "row", "list").repartition(tasks, "part").sortWithinPartitions("part", "row")
+    files = {r["part"]: r["file"] for r in placed.mapInArrow(write, "part long, file string").collect()}
+
+    def look(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store, base = open_store(root)
+        none = (np.zeros(0, np.int64), pa.array([], schema.field(1).type))
+        part, held = -1, none
+        for batch in rows:
+            row, found = batch.to_numpy(zero_copy_only=False), []
+            parts = row >> 33
+            cut = np.flatnonzero(np.diff(parts, prepend=parts[:1] - 1)) if len(row) else row
+            for a, b in zip(cut, [*cut[1:], len(row)], strict=True):
+                if parts[a] != part:
+                    part, held = int(parts[a]), none
+                    if part in files:
+                        with store.open_input_file(f"{base}/{files[part]}") as f:
+                            got = pa.ipc.open_stream(f.read()).read_all().combine_chunks()
+                        held = (got["row"].to_numpy(), got["list"].combine_chunks())
+                known, lists = held
+                at = known.searchsorted(row[a:b])
+                there = np.append(known, -1)[at] == row[a:b]
+                found.append(lists.take(pa.array(np.where(there, at, 0), pa.int64(), mask=~there)))
+            yield pa.concat_arrays(found) if found else none[1]
+
+    look.__annotations__ = {"rows": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(look, T.ArrayType(T.LongType()))("row")
 
 
 def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int = SUPPORT, min_docs: int = MIN_DOCS, fields: float = FIELDS) -> DataFrame:
@@ -140,24 +194,25 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     # leaves with unlike lines: the words of one of each kind of line, weighted by how often it stands
     kinds = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("rep"))
     mixed = kinds.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("c")).where("k > 1").select("leaf")
-    reps = kinds.join(mixed, "leaf").select("leaf", "line", "n", F.col("rep.row").alias("row"), F.col("rep.at").alias("at"))
-    wanted = reps.groupBy("row").agg(F.collect_list(F.struct("at", "leaf", "line", "n")).alias("want"))  # at most a document's lines
+    reps = kinds.join(mixed.hint("merge"), "leaf").select("leaf", "line", "n", F.col("rep.row").alias("row"), F.col("rep.at").alias("at"))
+    wanted = reps.groupBy("row").agg(F.flatten(F.collect_list(F.array("at", "leaf", "line", "n"))).alias("want"))  # at most a document's lines
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part, texts in text_runs(batch, "some"):
                 found = part.column("want").to_pylist()
-                rows = [(w["leaf"], w["line"], w["n"], memo.of(masked(x)).view(np.int64)) for lines, want in zip((t.split(b"\n") for t in texts), found, strict=True) for x, w in zip(lines, want, strict=True)]
+                rows = [(*want[4 * i + 1 : 4 * i + 4], memo.of(masked(x)).view(np.int64)) for t, want in zip(texts, found, strict=True) for i, x in enumerate(t.split(b"\n"))]
                 memo.trim()
                 yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["leaf", "line", "n", "words"])
 
-    wanted = materialize(wanted, "lines-wanted")
-    wanted = near_rows(docs.select("row", "parts"), wanted)[0].join(wanted, "row").select(F.array_join(F.transform("want", lambda w: F.col("parts")[w["at"].cast("int")]), "\n").alias("some"), "want")
+    wanted = docs.select("parts", beside_rows(wanted, "lines-wanted").alias("want")).where("want is not null")
+    places = F.expr("transform(sequence(0, size(want) - 1, 4), i -> parts[int(want[i])])")
+    wanted = wanted.select(F.array_join(places, "\n").alias("some"), "want")
     word = wanted.mapInArrow(words, "leaf long, line long, n long, words array<long>")
     word = materialize(word, "lines-words").select("leaf", "line", "n", F.posexplode("words").alias("place", "word"))
     fixed = word.groupBy("leaf", "place", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= support).select("leaf", "place", "word", F.lit(True).alias("fixed"))
-    shape = word.join(fixed, ["leaf", "place", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("word") != F.lit(np.uint64(_hash(_STAR)).astype(np.int64).item())))
+    shape = word.join(fixed.hint("merge"), ["leaf", "place", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)) & (F.col("word") != F.lit(np.uint64(_hash(_STAR)).astype(np.int64).item())))
     shape = shape.groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(leaf, place, if(fixed, word, 0L)))").alias("shape"), F.avg((~F.col("fixed")).cast("int")).alias("open"))
     shape = shape.select("leaf", "line", F.when(F.col("open") <= fields, F.col("shape")).otherwise(F.col("line")).alias("template"))
     lines = lines.join(shape.hint("merge"), ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
@@ -165,12 +220,11 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     holds = lines.select("template", "row").distinct()
     often = holds.groupBy("template").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("template")
     holds = materialize(holds.join(often.hint("merge"), "template"), "lines-holds")
-    classes = copy_classes(materialize(docs.select("row", "bands", "bins").join(holds.select("row").distinct().hint("merge"), "row"), "lines-sketches"))
+    holders = beside_rows(holds.select("row").distinct().withColumn("list", F.array().cast("array<bigint>")), "lines-holders")
+    classes = copy_classes(materialize(docs.select("row", "bands", "bins", holders.alias("holds")).where("holds is not null").drop("holds"), "lines-sketches"))
     often = holds.join(classes.hint("merge"), "row").select("template", "comp").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    drop = materialize(lines.join(often.hint("merge"), "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop")), "lines-drop")
-    cut, whole = near_rows(docs.select("rec", "row", "parts", F.size("at").cast("long").alias("n_lines")), drop)
-    none = F.array().cast("array<bigint>")
-    return cut.join(drop.hint("merge"), "row", "left").withColumn("drop", F.coalesce("drop", none)).unionByName(whole.withColumn("drop", none))
+    drop = beside_rows(lines.join(often.hint("merge"), "template").groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("drop")), "lines-drop")
+    return docs.select("rec", "row", "parts", F.size("at").cast("long").alias("n_lines"), F.coalesce(drop, F.array().cast("array<bigint>")).alias("drop"))
 
 
 def _clean(parts: object, drop: object) -> object:

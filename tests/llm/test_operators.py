@@ -67,6 +67,22 @@ def test_line_dedup_of_passages_and_copies(spark):
     assert len(by) == 170 and all(by[i] == own(i if i < 20 else 0) for i in by)
 
 
+def test_line_dedup_leaves_texts_where_they_are(spark):
+    """What the tables of lines have for a document is looked up beside it: no shuffle or join of texts."""
+    r = random.Random(2)
+    own = lambda: " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(9))
+    rows = [(i, f"{own()}\nRead more here\n{own()}") for i in range(40)]
+    got = line_dedup.recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert [r["drop"] for r in got.collect()] == [[1]] * 40
+    docs = spark.range(0, 100, 1, 5).select(F.monotonically_increasing_id().alias("row"))
+    side = docs.where("row % 3 = 0 and row >> 33 <> 2").select("row", F.array("row", F.lit(7).cast("long")).alias("x"))
+    for order in (docs, docs.orderBy("row"), docs.orderBy(F.desc("row")).coalesce(1), docs.where("false")):
+        for r in order.select("row", line_dedup.beside_rows(side, "some").alias("x")).collect():
+            assert r["x"] == ([r["row"], 7] if r["row"] % 3 == 0 and r["row"] >> 33 != 2 else None)
+
+
 def test_line_dedup_of_short_lines_and_edges(spark):
     own = lambda i: " ".join("".join(random.Random(i * 100 + j).choices("abcdefghij", k=9)) for j in range(30))
     rows = [(i, f"{own(i)}\nRead more\n{i}\nBack\nBack", 1) for i in range(60)]
