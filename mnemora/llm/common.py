@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,21 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its task's memory back to the system at its end. Workers live on and wait for other
+    work, several an executor; what they leave in their allocators would count beside that of the tasks that run."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return run
+
+
 def records(df: DataFrame, *extra: str) -> DataFrame:
     """One struct column `rec` with all of a row, so that own columns never clash with the input's."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("rec"), *extra)
@@ -173,6 +190,7 @@ def partition_offsets(counts: DataFrame, order: list[str], n: str, name: str) ->
     spark = counts.sparkSession
     names = counts.columns
 
+    @tidy
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, components, materialize, mix64, new_path, records_beside, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, components, materialize, mix64, new_path, records_beside, table, text_runs, tidy, unpack
 from mnemora.llm.warc import open_store
 
 LEAD, SUPPORT, MIN_DOCS, FIELDS = 3, 3, 3, 0.4
@@ -85,6 +85,7 @@ def copy_classes(docs: DataFrame) -> DataFrame:
     pairs = bands.join(first.hint("merge"), "key").where("row <> a").select("a", F.col("row").alias("b")).distinct()
     side = lambda n: docs.select(F.col("row").alias(n), F.col("bins").alias(f"s{n}"))
 
+    @tidy
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BINS) for c in ("sa", "sb"))
@@ -107,6 +108,7 @@ def beside_rows(side: DataFrame, name: str) -> Column:
     spark = side.sparkSession
     root, schema = new_path(spark, name), pa.schema([("row", pa.int64()), ("list", pa.list_(pa.int64()))])
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(root)
         store.create_dir(base, recursive=True)
@@ -170,6 +172,7 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     long_list = T.ArrayType(T.LongType())
     schema = T.StructType([base.schema["rec"], T.StructField("row", T.LongType()), T.StructField("text", base.schema["__text"].dataType), *[T.StructField(c, long_list) for c in ("at", "leaf", "line", "bands")], T.StructField("bins", T.BinaryType())])
 
+    @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_runs(batch, "__text"):
@@ -197,6 +200,7 @@ def recurring(df: DataFrame, text: str = "text", lead: int = LEAD, support: int
     reps = kinds.join(mixed.hint("merge"), "leaf").select("leaf", "line", "n", F.col("rep.row").alias("row"), F.col("rep.at").alias("at"))
     wanted = reps.groupBy("row").agg(F.flatten(F.collect_list(F.array("at", "leaf", "line", "n"))).alias("want"))  # at most a document's lines
 
+    @tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, components, materialize, mix64, records_beside, shingle_hashes, table, text_runs, unpack, words_of
+from mnemora.llm.common import WordHashes, components, materialize, mix64, records_beside, shingle_hashes, table, text_runs, tidy, unpack, words_of
 
 BANDS, ROWS = 26, 5
 #: Members of a pivot in one group; rows and shingles of one block of comparisons.
@@ -93,6 +93,7 @@ def _cuts(owner: np.ndarray, work: int) -> Iterator[slice]:
 
 
 def _signer(text: str, k: int, bands: int, rows: int):  # noqa: ANN202
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, m = WordHashes(), bands * rows
         for batch in batches:
@@ -122,6 +123,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def _verifier(k: int, percent: int):  # noqa: ANN202
     """Rows of a group: first its pivot (b is null), then members. Gives a, b, linked, dist for each member."""
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, pivot = WordHashes(), np.zeros(0, np.uint64)
         for whole in batches:
@@ -188,6 +190,7 @@ def _comparer(k: int, percent: int, hint: int):  # noqa: ANN202
         memo.trim()
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         texts: list[bytes] = []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import column_runs, materialize, mix64, partition_offsets, records, table
+from mnemora.llm.common import column_runs, materialize, mix64, partition_offsets, records, table, tidy
 from mnemora.llm.tokens import RUN_BYTES, ChunkIds, default_path, vocabulary
 
 LENGTH, END, DIMS, BITS = 4096, 2, 4, 8
@@ -69,6 +69,7 @@ def tokenize(df: DataFrame, text: str, path: str, end: int) -> DataFrame:
     base = base.select(F.struct(*[F.col("rec").getField(c).alias(c) for c in df.columns if c != text]).alias("rec"), "row", "__text")
     vocab = vocabulary(path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, matrix, pack = ChunkIds(path, end), signs(vocab, DIMS), zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -96,6 +97,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
     joined = tokens.select("row", "doc_id", "ids").join(starts.select("row", F.col("start").alias("at")), "row")
     wide = np.dtype("<u2" if vocabulary(path) <= 1 << 16 else "<u4")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import materialize, records, table, text_runs, unpack
+from mnemora.llm.common import materialize, records, table, text_runs, tidy, unpack
 
 FIT_ROWS, KEEP, WORDS = 20_000, 0.5, 128
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -71,6 +71,7 @@ def lexicon_of(base: DataFrame, most: int = WORDS, support: int = 5) -> dict[byt
     if not 0 < bad < n:
         return {}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in text_runs(b, "text"):
@@ -119,6 +120,7 @@ def fit(df: DataFrame, known: DataFrame, doc_id: str, text: str, fit_rows: int)
     base = materialize(base, "quality-fit")
     lexicon = lexicon_of(base)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in text_runs(b, "text"):
@@ -158,6 +160,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
     base = records(df, F.col(f"`{doc_id}`").alias("id"), name(host).alias("host"), (name(path) if path else F.lit("")).alias("path"), F.col(f"`{text}`").alias("__text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in text_runs(b, "__text"):

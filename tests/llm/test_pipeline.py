@@ -1,6 +1,7 @@
 """The corpus pipeline and the classifier against brute force on small tables."""
 
 import random
+import resource
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from mnemora.llm import quality
+from mnemora.llm.common import tidy
 from mnemora.llm.decontaminate import Symbols, allowed, best_part
 from mnemora.llm.tokens import default_path, tokenizer
 from test_near_dedup import brute
@@ -127,3 +129,34 @@ def test_posteriors_against_arithmetic(spark):
         logit = np.log(path / (1 - path))
         assert got[i]["site_logit"] == pytest.approx(logit, abs=1e-6)
         assert got[i]["quality"] == pytest.approx(1 / (1 + np.exp(-(got[i]["doc_logit"] + logit - np.log(mu / (1 - mu))))), abs=1e-6)
+
+
+def test_workers_keep_no_memory_between_tasks(spark, folder, monkeypatch):
+    """What a task frees goes back to the system, though later work lies behind it; all Arrow kernels of the stages do so."""
+    import corpus_pipeline
+    from pyspark.sql import DataFrame
+
+    frame, seen = type(spark.range(0)), []
+    assert issubclass(frame, DataFrame)
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: seen.append(f) or plain(self, f, *a, **b))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).count()
+    assert len(seen) >= 10 and all(f.__wrapped__ for f in seen)
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+    later = []
+
+    def work(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        later.append(bytes(1000))
+        yield from batches
+        del held
+
+    before = resident()
+    assert list(tidy(work)([1, 2])) == [1, 2]
+    assert resident() - before < 60
