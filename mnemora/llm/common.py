@@ -77,6 +77,20 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """materialize() into buckets of `key`, as many as shuffles have partitions: joins by it, of tables dealt alike, read the
+    buckets and shuffle no side. The catalog, which is where Spark keeps buckets, forgets the table at once; its files are
+    scratch like others. Shuffle files of the write go as soon as the driver collects what referred to them, so it does."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    entry, parts = f"mnemora_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(entry)
+    got = spark.table(entry)
+    got.isEmpty()  # the files are listed while the entry is there
+    spark.sql(f"DROP TABLE {entry}")
+    spark.sparkContext._jvm.System.gc()
+    return got
+
+
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that gives its task's memory back to the system at its end. Workers live on and wait for other
     work, several an executor; what they leave in their allocators would count beside that of the tasks that run."""

@@ -10,7 +10,8 @@ a chunk asks the parts of the table for the n-grams that it holds, in three roun
    of the first word, and every chunk reads the sums for its words.
 3. the same for trigrams and the states of two words.
 
-Chunks send each n-gram once, so that a common one is a number a chunk in its part. With the answers a chunk has all
+Chunks send each n-gram once, so that a common one is a number a chunk in its part. Chunks and answers are dealt into the
+same buckets when they are written, so that they meet without being shuffled. With the answers a chunk has all
 states and arcs that its texts pass, and follows them for all tokens at once: an arc's probability is its discounted
 share plus the failure arc's mass times the probability in the suffix. `Automaton` is the same model, state by state.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import WordHashes, materialize, mix64, records_beside, table, text_runs, unpack
+from mnemora.llm.common import WordHashes, dealt, mix64, records_beside, table, text_runs, unpack
 
 MIN_GRAM, DISCOUNT = 2, 0.5
 #: Bytes of text in a chunk, and tokens for each part of the tables.
@@ -163,7 +164,7 @@ def _chunks(base: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), recs, pa.array([len(at)]), pa.array([int(lens[train].sum())]), pa.array([_dump(words, _tight(at), lens, train)])], names=["chunk", "recs", "tokens", "learnt", "body"])
                 number += 1
 
-    return materialize(base.mapInArrow(run, schema), "lm-chunks")
+    return dealt(base.mapInArrow(run, schema), "lm-chunks", "chunk")
 
 
 def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -207,7 +208,7 @@ def _round(chunks: DataFrame, parts: int, ask: Callable[[Chunk, list], list], pa
     sent = _with(chunks.select("chunk", "body"), past).mapInArrow(send, "part int, chunk long, blob binary")
     got = sent.groupBy("part").applyInArrow(answer, "chunk long, x struct<part:int,blob:binary>")
     got = got.groupBy("chunk").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return materialize(got.select("chunk", F.col("x.blob").alias("got")), name)
+    return dealt(got.select("chunk", F.col("x.blob").alias("got")), name, "chunk")
 
 
 def _with(chunks: DataFrame, past: list[DataFrame]) -> DataFrame:

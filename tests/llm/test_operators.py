@@ -220,6 +220,19 @@ def test_lm_keeps_rare_ngrams_of_large_corpora(spark):
     assert got[200]["n_known"] == 6 and got[200]["train_tokens"] == sum(grams[0].values()) > 1_500_000
 
 
+def test_lm_leaves_chunks_where_they_are(spark):
+    """Chunks are written once in buckets; neither they nor their answers are shuffled where they meet, and no table stays in the catalog."""
+    df = spark.createDataFrame([(i, f"a b c w{i % 7} d e") for i in range(50)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lm.score_texts(df, F.col("doc_id") % 2 == 0)
+        assert len(got.collect()) == 50 and not spark.catalog.listTables()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_secrets_operator(docs, none):
     got = secrets.find_secrets(docs)
     assert set(got.columns) == {*docs.columns, "secrets"}
