@@ -17,12 +17,14 @@ from itertools import groupby, permutations
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import RDD
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import table
+from mnemora.llm.common import BATCH_BYTES, materialize, table, text_runs, tidy
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
@@ -30,16 +32,16 @@ COPY = 1 << FILTERS.index("E")
 CHAIN_BYTES = 64_000_000
 UPPER, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
-#: A row that needs no text: (id, part, mask). Rows of one text and least id: [(part, mask), ...].
+#: A row whose mask is complete: (id, part, mask). Rows on their way: those of one text and its least id, or without a text a settled one.
 Settled = tuple[Any, str, int]
-Routed = tuple[int, tuple[Any, ...]]
+ROUTED = "key long, least long, raw binary, rows array<struct<part: string, mask: int>>"
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
-def mask_of(text: str, raw: bytes) -> int:
-    """Bits of the filters A to D that a text fails."""
+def mask_of(raw: bytes, points: int) -> int:
+    """Bits of the filters A to D that a text of so many code points fails."""
     words = raw.split()
-    fails = (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * (len(raw) - len(raw.translate(None, UPPER))) > 3 * len(text), len(raw.translate(None, MARKS)) < len(raw))
+    fails = (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * (len(raw) - len(raw.translate(None, UPPER))) > 3 * points, len(raw.translate(None, MARKS)) < len(raw))
     return sum(1 << i for i, f in enumerate(fails) if f)
 
 
@@ -67,47 +69,63 @@ class Chains:
         self.size += len(raw)
 
 
-def _local(rows: Iterable[tuple[Any, str, str]]) -> Iterator[Routed]:
-    """The chains of a partition: open ones go to their fingerprint, settled rows to their id."""
-    chains = Chains()
+@tidy
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of a partition as rows of ROUTED: open ones go to their fingerprint with their text, settled rows to their id without."""
+    chains, held = Chains(), []
 
-    def drain() -> Iterator[Routed]:
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            key, least, raw, rows = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(least, pa.int64()), pa.array(raw, pa.binary()), pa.array(rows, pa.list_(pa.struct([("part", pa.string()), ("mask", pa.int32())])))], names=["key", "least", "raw", "rows"])
+            held.clear()
+
+    def drain() -> Iterator[pa.RecordBatch]:
+        size = 0
         for key, chain in chains.of.items():
             for raw, least, own in chain:
-                yield key, (raw, least, own)
+                held.append((key, least, raw, [{"part": p, "mask": m} for p, m in own]))
+                size += len(raw)
+                if size > BATCH_BYTES:
+                    yield from out()
+                    size = 0
+        yield from out()
         chains.__init__()
 
-    for i, part, text in rows:
-        raw = text.encode()
-        mask = mask_of(text, raw)
-        if i is None:  # no id is smaller or larger than none
-            yield xxhash.xxh3_64_intdigest(raw), ((i, part, mask),)
-            continue
-        for row in chains.add(xxhash.xxh3_64_intdigest(raw), raw, i, [(part, mask)]):
-            yield xxhash.xxh3_64_intdigest(str(row[0]).encode()), (row,)
-        if chains.size > CHAIN_BYTES:
-            yield from drain()
+    for batch in batches:
+        for part, texts in text_runs(batch, "text"):
+            for i, lang, raw, points in zip(part.column("id").to_pylist(), part.column("part").to_pylist(), texts, pc.utf8_length(part.column("text")).to_pylist(), strict=True):
+                mask, key = mask_of(raw, points), xxhash.xxh3_64_intdigest(raw)
+                if i is None:  # no id is smaller or larger than none
+                    held.append((key, i, None, [{"part": lang, "mask": mask}]))
+                    continue
+                held.extend((xxhash.xxh3_64_intdigest(str(row[0]).encode()), row[0], None, [{"part": row[1], "mask": row[2]}]) for row in chains.add(key, raw, i, [(lang, mask)]))
+            yield from out()
+            if chains.size > CHAIN_BYTES:
+                yield from drain()
     yield from drain()
 
 
-def _settle(routed: Iterable[Routed]) -> Iterator[Settled]:
+def _settle(routed: Iterable[tuple[int, Row]]) -> Iterator[Settled]:
     """All rows of a routed, sorted partition with their masks complete."""
     for key, group in groupby(routed, key=lambda kv: kv[0]):
         chains = Chains()
-        for _, value in group:
-            if len(value) == 1:
-                yield value[0]
+        for _, (_, least, raw, rows) in group:
+            rows = [(r[0], r[1]) for r in rows]
+            if raw is None:
+                yield from ((least, p, m) for p, m in rows)
             else:
-                yield from chains.add(key, *value)
+                yield from chains.add(key, raw, least, rows)
         for _, least, own in chains.of.get(key, []):
             yield from ((least, p, m) for p, m in own)
 
 
 def fail_masks(docs: DataFrame, text: str = "text", id: str = "doc_id", part: str = "lang") -> RDD:
-    """(id, part, mask) for each row."""
-    rows = docs.select(F.col(f"`{id}`").cast("long"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).rdd
-    parts = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.mapPartitions(_local).repartitionAndSortWithinPartitions(parts, lambda key: key % parts).mapPartitions(_settle)
+    """(id, part, mask) for each row. Chains of map tasks are stored once, in the shared folder."""
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    stored = materialize(rows.mapInArrow(_local, ROUTED), "chains").rdd
+    parts = max(stored.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored.map(lambda r: (r[0], r)).repartitionAndSortWithinPartitions(parts, lambda key: key % parts).mapPartitions(_settle)
 
 
 def _vector() -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm.audit import OP13_SQL, op13_filter_audit
+from mnemora.llm.collocations import OP12_SQL, op12_collocations
 from mnemora.llm.decontaminate import op2_decontamination
 from mnemora.llm.line_dedup import op3_line_dedup
 from mnemora.llm.lm import op7_lm_scoring
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
     "op11_repetition": op11_repetition,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -79,4 +81,4 @@ _ANY = lambda word: "".join(f"[{ch.upper()}{ch}]" if ch.isalpha() else ch for ch
 _NAMES = "|".join([*(_ANY(w) for w in ("password", "passwd", "secret", "token")), _ANY("api") + "_?" + _ANY("key")])
 SECRET_SQL = f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:{_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6))::BIGINT AS n_assign,
 len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex FROM documents"""
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op10_warc": OP10_SQL, "op11_repetition": OP11_SQL, "op13_filter_audit": OP13_SQL, "media_payloads": MEDIA_SQL, "lm_base_scores": LM_SQL, "secret_counts": SECRET_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op10_warc": OP10_SQL, "op11_repetition": OP11_SQL, "op12_collocations": OP12_SQL, "op13_filter_audit": OP13_SQL, "media_payloads": MEDIA_SQL, "lm_base_scores": LM_SQL, "secret_counts": SECRET_SQL}
