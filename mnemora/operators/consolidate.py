@@ -6,11 +6,12 @@ component of qualifying pairs, as rows of different components never meet in the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from mnemora.functions.extract import correction, judge, tokens_of, words_of
 from mnemora.functions.sketch import reservoir
 from mnemora.functions.text import STOPWORDS
 from mnemora.operators import graph
-from mnemora.operators.segment import era_of, merge_micro, segment
+from mnemora.operators.ranges import SMALL
+from mnemora.operators.segment import era_of, merge_micro, segmented
 from mnemora.operators.similarity import connected, cut_lineage, neighbor_sums, similar_pairs, unit_rows
 from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
@@ -287,9 +289,34 @@ def modal(values: list[str | None]) -> str | None:
     return min(set(some), key=lambda v: (-some.count(v), v)) if some else None
 
 
-def _stream(df: DataFrame, fn: Any, schema: T.StructType) -> DataFrame:
-    """fn over rows of one time-ordered stream. The surprise signal is sequential, so the embedded rows of the store form one group; segment_streams() takes many streams."""
-    return df.groupBy(F.lit("all")).applyInPandas(lambda pdf: fn(pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)), schema)
+def modal_by(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """A13 for groups: (group, value), counted before it is gathered. Groups without a value are absent."""
+    n = rows.where(F.col(value) != "").groupBy(group, value).agg(F.count("*").alias("n"))
+    return n.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("n"), value)).getField(value).alias(value))
+
+
+def summaries(rows: DataFrame, group: str, summarizer: Summarizer = summarize, most: int = 3) -> DataFrame:
+    """(group, summary) of rows (group, pos, content). The built-in rule is joins and sums over words, so that groups may be
+    of any size; a function of the caller gets the texts of a group at once, in order."""
+    if summarizer is not summarize:
+        kind = rows.schema[group].dataType
+        told = lambda pdf: pd.DataFrame({group: pdf[group][:1].to_numpy(), "summary": [summarizer(list(pdf.sort_values("pos")["content"]))]})
+        return rows.select(group, "pos", "content").groupBy(group).applyInPandas(told, T.StructType([T.StructField(group, kind), T.StructField("summary", T.StringType())]))
+    words = rows.select(group, "pos", F.explode(x.tokenize(F.col("content"))).alias("word"))
+    often = words.groupBy(group, "word").agg(F.count("*").alias("n"))
+    mean = words.join(often, [group, "word"]).groupBy(group, "pos").agg(F.avg("n").alias("mean"))
+    scored = rows.select(group, "pos", "content").join(mean, [group, "pos"], "left").na.fill(0.0, ["mean"])
+    best = scored.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(F.desc("mean"), "pos"))).where(F.col("_n") <= most)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda t: t["content"]), " / ")
+    size = rows.groupBy(group).agg(F.count("*").alias("size"))
+    return best.groupBy(group).agg(text.alias("t")).join(size, group).select(group, F.format_string("Summary of %d related memories: %s", "size", "t").alias("summary"))
+
+
+def stream_events(live: DataFrame, c: Config) -> DataFrame:
+    """live with `event` and `pos`: the rows of a store as one stream in the order of (created_at, id), of any length."""
+    rows = live.select(F.lit(0).alias("stream"), F.struct("created_at", "id").alias("ord"), "embedding")
+    got = segmented(rows, c.segment, "stream").select(F.col("ord.id").alias("id"), "event", "pos")
+    return cut_lineage(live.drop("embedding").join(got, "id"))
 
 
 def modal_dimension(memories: DataFrame) -> DataFrame:
@@ -303,20 +330,15 @@ def summarize_clusters(s: State, c: Config, now: int, summarizer: Summarizer = s
     """Events of the episodic stream with three or more rows get a semantic summary, linked to its sources."""
     mem = s["memory_items"]
     live = modal_dimension(mem.where("memory_type = 'episodic' and not stale and embedding is not null"))
-    out = T.StructType.fromDDL("content string, topic string, at long, importance_score double, recurrence_score double, ids array<string>")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for a, b in segment(np.stack(list(pdf["embedding"])), c.segment)[0]:
-            e = pdf.iloc[a:b]
-            if b - a >= c.consolidation.cluster_min:
-                rows.append((summarizer(list(e["content"])), modal(list(e["topic"])), now, max(0.6, float(e["importance_score"].max())), min(1.0, (b - a) / 10), list(e["id"])))
-        return pd.DataFrame(rows, columns=out.names)
-
-    found = cut_lineage(_stream(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), run, out))
+    rows = stream_events(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), c)
+    large = rows.groupBy("event").agg(F.count("*").alias("size"), F.max("importance_score").alias("most")).where(F.col("size") >= c.consolidation.cluster_min)
+    rows = rows.join(large, "event")
+    told = cut_lineage(large.join(summaries(rows, "event", summarizer), "event").join(modal_by(rows, "event", "topic"), "event", "left"))
+    found = told.select("event", F.col("summary").alias("content"), "topic", F.lit(now).alias("at"), F.greatest(F.lit(0.6), "most").alias("importance_score"), F.least(F.lit(1.0), F.col("size") / 10).alias("recurrence_score"))
     new = _derived(found.withColumn("memory_type", F.lit("semantic")), mem, now)
     fresh = new.join(mem.select("content_hash"), "content_hash", "left_anti")
-    links = found.select(x.new_id("mem", x.content_hash(F.col("content"))).alias("source_id"), F.explode("ids").alias("target_id"), F.lit("derived_from").alias("relation")).join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    found = found.join(rows.select("event", F.col("id").alias("target_id")), "event")
+    links = found.select(x.new_id("mem", x.content_hash(F.col("content"))).alias("source_id"), "target_id", F.lit("derived_from").alias("relation")).join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return s | {"memory_items": insert_ignore(mem, new, ["content_hash"]), "memory_links": insert_ignore(s["memory_links"], links, ["source_id", "target_id", "relation"])}
 
 
@@ -453,24 +475,63 @@ def rebuild_edges(s: State, c: Config, now: int) -> State:
     return s | {"memory_edges": replace_edges(e, graph.sequence_edges(turns, mem, c.edge_decay, c.edge_min_weight, now), "sequence")}
 
 
+def era_spans(events: DataFrame, least: int, least_days: float) -> list[tuple[int, int]]:
+    """T9s for events (a, b, first, last) of any number: [begin, end) of each era. Few events are merged on the driver; of
+    more, each era asks for its end, so there are as many jobs as eras, which their least days bound."""
+    if events.count() <= SMALL:
+        rows = sorted(events.select("a", "b", "first", "last").collect())
+        at = {k: t for a, b, first, last in rows for k, t in ((a, first), (b - 1, last))}
+        return merge_micro([(r[0], r[1]) for r in rows], at, least, least_days)
+    out, n = [], events.agg(F.max("b")).first()[0]
+    begin = 0
+    while begin < n:
+        first = events.where(F.col("a") == begin).first()["first"]
+        ends = events.where((F.col("b") - begin >= least) & ((F.col("last") - first) / DAY >= least_days) & (F.col("a") >= begin))
+        end = ends.agg(F.min("b")).first()[0] or n
+        out.append((begin, end))
+        begin = end
+    return out
+
+
 def eras(memories: DataFrame, c: Config, summarizer: Summarizer = summarize) -> DataFrame:
     """C15, T10s: eras of the active embedded rows of the most common vector size."""
     live = modal_dimension(memories.where("memory_type <> 'archive' and embedding is not null"))
-    out = T.StructType.fromDDL("id string, ordinal long, started_at long, ended_at long, centroid array<float>, label string, summary string, member_count long, drift_in double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, at = np.stack(list(pdf["embedding"])).astype(np.float64), pdf["created_at"].to_list()
-        spans = merge_micro(segment(v, c.segment)[0], at, c.consolidation.epoch_min, c.consolidation.epoch_min_days)
-        u, rows, before = unit_rows(list(v)), [], None
-        for k, (a, b) in enumerate(spans):
-            center = u[a:b].mean(0)
-            center = center / (np.linalg.norm(center) or 1.0)
-            best = pdf.iloc[a:b].sort_values(["salience", "created_at", "id"], ascending=[False, True, True]).head(5).sort_values(["created_at", "id"])
-            rows.append((f"epoch_{at[a]}_{k}", k, at[a], at[spans[k + 1][0]] if k + 1 < len(spans) else None, center.astype(np.float32), modal(list(pdf["topic"][a:b])), summarizer(list(best["content"])), b - a, 0.0 if before is None else float(1 - before @ center)))
-            before = center
-        return pd.DataFrame(rows, columns=out.names).astype({"ended_at": "Int64"})
-
-    return _stream(live.select("id", "content", "topic", "created_at", "salience", "embedding"), run, out)
+    rows = stream_events(live.select("id", "content", "topic", "created_at", "salience", "embedding"), c)
+    events = cut_lineage(rows.groupBy("event").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"), F.min("created_at").alias("first"), F.max("created_at").alias("last")))
+    spans = era_spans(events, c.consolidation.epoch_min, c.consolidation.epoch_min_days)
+    ends = [b for _, b in spans]
+
+    def era_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("event"), pa.array(np.searchsorted(ends, batch.column("a").to_numpy(), "right").astype(np.int64))], names=["event", "ordinal"])
+
+    of_event = events.select("event", "a").mapInArrow(era_number, "event long, ordinal long")
+    rows = cut_lineage(rows.join(of_event, "event"))
+    facts = rows.groupBy("ordinal").agg(F.min("created_at").alias("started_at"), F.count("*").alias("member_count"))
+    label = modal_by(rows, "ordinal", "topic").withColumnRenamed("topic", "label")
+    best = rows.withColumn("_n", F.row_number().over(W.partitionBy("ordinal").orderBy(F.desc("salience"), "created_at", "id"))).where("_n <= 5")
+    center = mean_direction(rows.select("id", "ordinal").join(live.select("id", "embedding"), "id"), "ordinal")
+    got = facts.join(label, "ordinal", "left").join(summaries(best, "ordinal", summarizer), "ordinal").join(center, "ordinal")
+    following = W.partitionBy(F.lit(0)).orderBy("ordinal")  # a row an era
+    before = F.lag("centroid").over(following)
+    drift = F.coalesce(1 - F.aggregate(F.zip_with("centroid", before, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+    got = got.select("*", F.lead("started_at").over(following).alias("ended_at"), drift.alias("drift_in"))
+    return got.select(F.concat(F.lit("epoch_"), "started_at", F.lit("_"), "ordinal").alias("id"), "ordinal", "started_at", "ended_at", F.col("centroid").cast("array<float>").alias("centroid"), "label", "summary", "member_count", "drift_in")
+
+
+def mean_direction(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, centroid): the direction of the mean of unit vectors. Tasks add up the vectors of a batch before they hand on; no group is gathered."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, own in pdf.groupby(group, dropna=False):
+                yield pd.DataFrame({group: [g], "sum": [unit_rows(list(own[vector])).sum(0)]})
+
+    sums = rows.select(group, vector).mapInPandas(add, T.StructType([rows.schema[group], T.StructField("sum", T.ArrayType(T.DoubleType()))]))
+    places = sums.select(group, F.posexplode("sum").alias("place", "x")).groupBy(group, "place").agg(F.sum("x").alias("x"))
+    whole = places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
+    return whole.withColumn("size", size).select(group, F.transform("v", lambda y: F.when(F.col("size") > 0, y / F.col("size")).otherwise(0.0)).alias("centroid"))
 
 
 def settle(s: State) -> State:

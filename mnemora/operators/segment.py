@@ -1,18 +1,27 @@
 """Surprise segmentation of ordered embedding streams (T1s-T11s, W2-W7, J13, A21, A22).
 
-Each stream is one group: the signal is sequential, and a stream's vectors are what one task holds. Streams are
-independent, so many of them spread over the cluster.
+`segment` works on the vectors of a stream; `segmented` gives the same for streams of any length. A stream of up to a block's
+rows is one group. Longer ones are cut into blocks with halos (ranges.py): surprise and threshold need the vectors just
+before. Which places become cuts depends on the cut before by its distance only, up to `min_len`; where refinement puts them
+depends on the place of the one before, as far as that is near. Both are automata of a few states, so each block works out
+its result for every state in which the stream may reach it, and the states follow from the blocks' tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mnemora.functions.vector import Provider
+from mnemora.operators.ranges import BLOCK_ROWS, SMALL, blocks, positions, prefix_states
+from mnemora.operators.similarity import cut_lineage
 from mnemora.plans.config import Segment
 
 # Least surprise of a boundary, floor of the deviation, cosine of sides that are one topic.
@@ -42,14 +51,24 @@ def surprise(units: np.ndarray, c: Segment) -> np.ndarray:
     return out
 
 
-def boundaries(signal: np.ndarray, warmup: int, c: Segment) -> list[int]:
-    """Places whose surprise stands out of the trailing window, `min_len` apart."""
-    out, last = [], 0
-    for i in range(min(warmup, len(signal)), len(signal)):
-        trail = signal[max(i - c.tau, warmup, 0) : i]
-        if len(trail) >= 2 and signal[i] > trail.mean() + c.gamma * max(trail.std(), SIGMA_FLOOR) and signal[i] > MIN_SURPRISE and i - last >= c.min_len:
-            out.append(i)
-            last = i
+def outstanding(signal: np.ndarray, warmup: int, c: Segment) -> np.ndarray:
+    """Places whose surprise stands out of the up to `tau` signals before, of which those before `warmup` don't count."""
+    at = np.arange(max(warmup + 2, 2), len(signal))
+    if not len(at) or c.tau < 2:
+        return at[:0]
+    padded = np.concatenate([np.full(c.tau, np.nan), np.where(np.arange(len(signal)) < warmup, np.nan, signal)])
+    trail = np.lib.stride_tricks.sliding_window_view(padded, c.tau)[at]  # the tau signals before each place
+    mean, spread = np.nanmean(trail, 1), np.nanstd(trail, 1)
+    return at[(signal[at] > mean + c.gamma * np.maximum(spread, SIGMA_FLOOR)) & (signal[at] > MIN_SURPRISE)]
+
+
+def spaced(places: np.ndarray, last: int, least: int) -> list[int]:
+    """Of ascending places those at least `least` after the one taken before, the first of all after `last`."""
+    out: list[int] = []
+    for p in places.tolist():
+        if p - last >= least:
+            out.append(p)
+            last = p
     return out
 
 
@@ -63,37 +82,30 @@ def _within(units: np.ndarray, a: int, b: int) -> float:
 
 def cut_score(units: np.ndarray, p: int, left: int, right: int, half: int) -> float:
     """How well a cut at p parts its surroundings: alike within the sides, unlike across."""
-    a, b = max(p - half, left), min(p + half, right)
+    a, b = max(p - half, left, 0), min(p + half, right)
     cross = float(np.clip(units[a:p] @ units[p:b].T, -1, 1).mean()) if a < p < b else 0.0
     return _within(units, a, p) + _within(units, p, b) - cross
 
 
-def refine(cuts: list[int], units: np.ndarray, c: Segment) -> list[int]:
-    """Each cut moves to the best place near it, if that is strictly better; cuts that find no legal place go."""
-    n, out = len(units), []
-    for k, b in enumerate(cuts if n >= 2 * c.min_len else []):
-        before, after = (out[-1] if out else 0), (cuts[k + 1] if k + 1 < len(cuts) else n)
-        low, high = max(b - c.radius, before + c.min_len), min(b + c.radius, max(after - c.min_len, 0), n - c.min_len)
-        if low > high:
-            if before + c.min_len <= n - c.min_len:
-                out.append(min(max(b, before + c.min_len), n - c.min_len))
-            continue
-        stay = min(max(b, low), high)
-        scores = {p: cut_score(units, p, before, after, c.radius) for p in range(low, high + 1)}
-        top = max(scores.values())
-        out.append(stay if scores[stay] >= top else next(p for p in scores if scores[p] == top))
-    return out
+def settle(b: int, before: int, after: int, n: int, units: np.ndarray, c: Segment, first: int = 0) -> int | None:
+    """Where the cut b goes between its neighbours: the best place near it, if strictly better than where it stands; none if
+    the end is too near. units[0] is the vector at place `first`."""
+    free = before + c.min_len  # the first place that keeps the event before long enough
+    end = n - c.min_len
+    low, high = max(b - c.radius, free), min(b + c.radius, max(after - c.min_len, 0), end)
+    if low > high:
+        return min(max(b, free), end) if free <= end else None
+    stay = min(max(b, low), high)
+    score = np.array([cut_score(units, p - first, before - first, after - first, c.radius) for p in range(low, high + 1)])
+    return stay if score[stay - low] >= score.max() else low + int(score.argmax())
 
 
-def veto(cuts: list[int], units: np.ndarray, c: Segment) -> list[int]:
-    """Drop cuts whose sides have almost one direction."""
-    edges, out, radius = [0, *cuts, len(units)], [], max(c.window, 2)
-    for before, b, after in zip(edges, edges[1:], edges[2:], strict=False):
-        l, r = units[max(b - radius, before) : b].sum(0), units[b : min(b + radius, after)].sum(0)
-        n = np.linalg.norm(l) * np.linalg.norm(r)
-        if (float(l @ r) / n if n > 0 else 0.0) <= SAME_SIDE:
-            out.append(b)
-    return out
+def one_topic(before: int, b: int, after: int, units: np.ndarray, c: Segment, first: int = 0) -> bool:
+    """Whether both sides of a cut have almost one direction."""
+    reach = max(c.window, 2)
+    l, r = units[max(b - reach, before, first) - first : b - first].sum(0), units[b - first : min(b + reach, after) - first].sum(0)
+    n = np.linalg.norm(l) * np.linalg.norm(r)
+    return bool(n > 0 and float(l @ r) / n > SAME_SIDE)
 
 
 def events(cuts: list[int], n: int, min_len: int) -> list[tuple[int, int]]:
@@ -114,22 +126,171 @@ def segment(vectors: np.ndarray, c: Segment = Segment(), given: np.ndarray | Non
         return ([(0, n)] if n else []), (np.asarray(given) if given is not None else np.zeros(n))
     units = _units(np.asarray(vectors, np.float64))
     signal = np.asarray(given, np.float64) if given is not None else surprise(units, c)
-    cuts = boundaries(signal, 0 if given is not None else min(c.window, n), c)
+    cuts = spaced(outstanding(signal, 0 if given is not None else c.window, c), 0, c.min_len)
     if given is None:
-        cuts = veto(refine(cuts, units, c), units, c)
+        cuts = [] if n < 2 * c.min_len else cuts
+        moved = [0]
+        for b, after in zip(cuts, [*cuts[1:], n], strict=False):
+            place = settle(b, moved[-1], after, n, units, c)
+            moved += [] if place is None else [place]
+        cuts = [b for a, b, d in zip(moved, moved[1:], [*moved[2:], n], strict=False) if not one_topic(a, b, d, units, c)]
     return events(cuts, n, c.min_len), signal
 
 
-def segment_streams(df: DataFrame, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", vector: str = "embedding", signal: str | None = None) -> DataFrame:
-    """(stream, ord, event, surprise): the event of each row, numbered from 0."""
-    rows = df.select(F.col(stream).alias("stream"), F.col(order).cast("long").alias("ord"), F.col(vector).alias("v"), (F.col(signal) if signal else F.lit(None).cast("double")).alias("s"))
+def segmented(df: DataFrame, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", vector: str = "embedding", signal: str | None = None, size: int = BLOCK_ROWS, ranges: int | None = None) -> DataFrame:
+    """(stream, ord, event, surprise, pos): the event of each row, numbered from 0 in each stream, in the order of `order` (any
+    type that sorts; distinct in a stream), and the row's own number. Streams of up to `size` rows are one group each."""
+    rows = df.select(F.col(stream).alias("stream"), F.col(order).alias("ord"), F.col(vector).alias("v"), (F.col(signal).cast("double") if signal else F.lit(None).cast("double")).alias("s"))
+    sizes = rows.groupBy("stream").agg(F.count("*").alias("rows"))
+    many = sizes.where(F.col("rows") > size).select(F.col("stream").alias("_s"))
+    schema = T.StructType([rows.schema["stream"], rows.schema["ord"], T.StructField("event", T.LongType()), T.StructField("surprise", T.DoubleType()), T.StructField("pos", T.LongType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(_in_order(group["ord"]))
+        got, s = segment(_matrix(group["v"]), c, group["s"].to_numpy() if signal else None)
+        return pa.table({"stream": group["stream"], "ord": group["ord"], "event": pa.array(np.repeat(np.arange(len(got)), [b - a for a, b in got]), pa.int64()), "surprise": pa.array(np.asarray(s, np.float64)), "pos": pa.array(np.arange(len(s)))})
+
+    long = many.count()
+    if not long:
+        return rows.groupBy("stream").applyInArrow(run, schema)
+    many = F.broadcast(many) if long <= SMALL else many
+    same = rows["stream"].eqNullSafe(F.col("_s"))
+    few = rows.join(many, same, "left_anti").groupBy("stream").applyInArrow(run, schema)
+    return few.union(_by_blocks(rows.join(many, same, "left_semi"), c, signal is not None, size, ranges).select(*schema.names))
+
+
+def _in_order(column: pa.ChunkedArray) -> pa.Array:
+    """Places of the values of a column in ascending order; structs by their fields."""
+    if not pa.types.is_struct(column.type):
+        return pc.array_sort_indices(column.combine_chunks())
+    fields = column.combine_chunks().flatten()
+    names = [str(i) for i in range(len(fields))]
+    return pc.sort_indices(pa.table(fields, names=names), [(n, "ascending") for n in names])
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as rows."""
+    v = vectors.combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+
+
+def _by_blocks(rows: DataFrame, c: Segment, given: bool, size: int, ranges: int | None) -> DataFrame:
+    """segmented() for long streams: stream, ord, v, s."""
+    reach, r = max(c.window, 2), c.radius
+    far = max(2 * r, r + c.min_len, r + reach, 2 * c.min_len)  # a cut so far before a block doesn't touch its cuts
+    seen = reach + 2 * r  # cuts so far behind a block can meet its last ones
+    left, right = max(c.tau + c.window, far + r), seen + 2 * r + c.min_len + 1
+    if max(left, right) > size:
+        raise ValueError(f"blocks of {size} rows are shorter than their halos")
+    placed = positions(rows, "stream", ["ord"], ranges)
+    dealt = blocks(placed, left, right, size)
+    stream, order = rows.schema["stream"], rows.schema["ord"]
+    ints = T.ArrayType(T.LongType())
+    key = [stream, T.StructField("block", T.LongType())]
+    table = T.StructField("table", T.ArrayType(T.IntegerType()))
+
+    def begin(group: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+        """A block's rows in order, their places, its first place."""
+        pos = group["pos"].to_numpy()
+        by = np.argsort(pos)
+        return group.take(pa.array(by)), pos[by], int(group["block"][0].as_py()) * size
+
+    def first(group: pa.Table) -> pa.Table:
+        group, pos, start = begin(group)
+        own = (pos >= start) & (pos < start + size)
+        if not own.any():
+            return pa.table({n: [] for n in own_names}, schema=own_schema)
+        warm = 0 if given else c.window
+        if given:
+            signal = group["s"].to_numpy().astype(np.float64)
+        else:
+            signal = surprise(_units(_matrix(group["v"])), c)
+        # places before pos[0] are beyond the halo, so the warm-up is the stream's or is not in reach
+        places = outstanding(signal, max(warm - int(pos[0]), 0) if pos[0] < warm else (0 if given else c.window), c) + int(pos[0])
+        places = places[(places >= start) & (places < start + size)]
+        out = [min(start + size - (spaced(places, start - s, c.min_len) or [start - s])[-1], c.min_len) for s in range(c.min_len + 1)]
+        return pa.table([group["stream"][:1], [start // size], pa.array([int(pos[own][0])]), [group["ord"].filter(pa.array(own)).to_pylist()], [signal[own]], [places], [out], group["n"][:1]], schema=own_schema)
+
+    own_fields = T.StructType([*key, T.StructField("at", T.LongType()), T.StructField("ords", T.ArrayType(order.dataType)), T.StructField("signal", T.ArrayType(T.DoubleType())), T.StructField("places", ints), table, T.StructField("n", T.LongType())])
+    own_schema = to_arrow_schema(own_fields)
+    own_names = own_fields.names
+    heads = cut_lineage(dealt.groupBy("stream", "block").applyInArrow(first, own_fields))
+    gaps = prefix_states(heads.select("stream", "block", "table"), 0)
+    taken = F.udf(lambda places, last: spaced(np.array(places, np.int64), last, c.min_len), ints)
+    both = heads.select("stream", "block", "places", "n").join(_named(gaps), _here("stream", "block"))
+    cuts = both.select("stream", "block", "n", taken("places", F.col("block") * size - F.col("state")).alias("cuts"))
+    if not given:
+        cuts = cut_lineage(cuts)
+        after = cuts.select(F.col("stream").alias("_s"), (F.col("block") - 1).alias("_b"), F.col("cuts").alias("then"))
+        asks = cuts.join(after, _here("stream", "block"), "left").select("stream", "block", "n", "cuts", F.coalesce("then", F.array().cast(ints)).alias("then"))
+
+        def second(group: pa.Table, asked: pa.Table) -> pa.Table:
+            if not len(asked) or not len(group):
+                return pa.table({n: [] for n in choice_fields.names}, schema=choice_schema)
+            group, pos, start = begin(group)
+            units, zero, n = _units(_matrix(group["v"])), int(pos[0]), asked["n"][0].as_py()
+            mine, then = asked["cuts"][0].as_py(), [b for b in asked["then"][0].as_py() if b < start + size + right]
+            every = [*mine, *then]
+            known: dict[tuple[int, int], int | None] = {}
+            dropped: dict[tuple[int, int, int], bool] = {}
+
+            count = len(mine) + sum(b < start + size + seen for b in then)
+
+            def place(k: int, before: int) -> int | None:
+                b = every[k]
+                before = max(before, b - far)
+                if (k, before) not in known:
+                    known[k, before] = settle(b, before, every[k + 1] if k + 1 < len(every) else n, n, units, c, zero)
+                return known[k, before]
+
+            found: dict[tuple[int, ...], int] = {}
+            choice, out = [], []
+            for state in range(far + r + 1):
+                before = max(start - far + state, 0)
+                moved, own = [before], 0
+                for k in range(count):
+                    p = place(k, moved[-1])
+                    if p is not None:
+                        moved.append(p)
+                        own += k < len(mine)
+                keep = []
+                for a, b, d in zip(moved, moved[1 : own + 1], [*moved[2:], n], strict=False):
+                    a = max(a, b - far)
+                    if (a, b, d) not in dropped:
+                        dropped[a, b, d] = one_topic(a, b, d, units, c, zero)
+                    if not dropped[a, b, d]:
+                        keep.append(b)
+                choice.append(found.setdefault(tuple(keep), len(found)))
+                out.append(max(moved[own] - (start + size), -far) + far)
+            return pa.table([group["stream"][:1], [start // size], [out], [choice], [[list(f) for f in found]]], schema=choice_schema)
+
+        choice_fields = T.StructType([*key, table, T.StructField("choice", T.ArrayType(T.IntegerType())), T.StructField("lists", T.ArrayType(ints))])
+        choice_schema = to_arrow_schema(choice_fields)
+        choices = cut_lineage(dealt.groupBy("stream", "block").cogroup(asks.groupBy("stream", "block")).applyInArrow(second, choice_fields))
+        states = prefix_states(choices.select("stream", "block", "table"), far)
+        cuts = choices.join(_named(states), _here("stream", "block")).select("stream", "block", F.col("lists")[F.col("choice")[F.col("state")]].alias("cuts"))
+    total = heads.select("stream", "block", "n")
+    each = cuts.select("stream", "block", F.explode("cuts").alias("cut")).join(total.select(F.col("stream").alias("_s"), F.col("block").alias("_b"), "n"), _here("stream", "block")).where((F.col("n") - F.col("cut") >= c.min_len) & (F.col("cut") > 0))
+    each = each.select("stream", F.expr(f"cut div {size}").alias("block"), "cut").distinct().groupBy("stream", "block").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))  # a block's cuts
+    each = each.select(F.col("stream").alias("_s"), F.col("block").alias("_b"), "cuts")
+    so_far = W.partitionBy("stream").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    done = heads.join(each, _here("stream", "block"), "left").withColumn("cuts", F.coalesce("cuts", F.array().cast(ints))).withColumn("base", F.coalesce(F.sum(F.size("cuts")).over(so_far), F.lit(0)))
+    rank = F.pandas_udf(lambda at, m, cuts, base: pd.Series([b + np.searchsorted(x, np.arange(a, a + k), "right") for a, k, x, b in zip(at, m, cuts, base, strict=True)]), ints)
+    done = done.select("stream", "at", "ords", "signal", rank("at", F.size("ords"), "cuts", "base").alias("events"))
+    return done.select("stream", "at", F.posexplode(F.arrays_zip("ords", "events", "signal")).alias("i", "x")).select("stream", F.col("x.ords").alias("ord"), F.col("x.events").alias("event"), F.col("x.signal").alias("surprise"), (F.col("at") + F.col("i")).alias("pos"))
+
+
+def _named(states: DataFrame) -> DataFrame:
+    return states.select(F.col("stream").alias("_s"), F.col("block").alias("_b"), "state")
+
+
+def _here(stream: str, block: str) -> Column:
+    return F.col(stream).eqNullSafe(F.col("_s")) & (F.col(block) == F.col("_b"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        got, s = segment(np.stack([np.asarray(v, np.float64) for v in pdf["v"]]), c, pdf["s"].to_numpy(np.float64) if signal else None)
-        return pd.DataFrame({"stream": pdf["stream"], "ord": pdf["ord"], "event": np.repeat(np.arange(len(got)), [b - a for a, b in got]), "surprise": s})
 
-    return rows.groupBy("stream").applyInPandas(run, df.select(F.col(stream).alias("stream")).schema.add("ord", "long").add("event", "long").add("surprise", "double"))
+def segment_streams(df: DataFrame, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", vector: str = "embedding", signal: str | None = None) -> DataFrame:
+    """(stream, ord, event, surprise): the event of each row, numbered from 0."""
+    return segmented(df.withColumn(order, F.col(order).cast("long")), c, stream, order, vector, signal).drop("pos")
 
 
 def segment_texts(df: DataFrame, p: Provider, c: Segment = Segment(), stream: str = "stream_id", order: str = "ord", text: str = "text") -> DataFrame:
