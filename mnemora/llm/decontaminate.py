@@ -9,7 +9,10 @@ Windows and items go through the random walk of Chakraborty, Goldenberg and Kouc
 moves on if a random bit of (j, symbol) says so, which maps edit distance to Hamming distance. A walk goes 1.5 * `lo`
 steps, which keeps it within the item. Each walk is cut to `BITS` sampled places `TABLES` times, and an equal sample in
 the block's hash table makes an item a candidate for the window. How many walks a class needs is found by planting
-edited copies of its items until `recall` of them meet; more edits or longer items take more walks.
+edited copies of its items until `recall` of them meet; more edits or longer items take more walks. Items of more than `LONG`
+words are searched by `k` consecutive parts of about `PART` words: of e edits at most e / k fall into one of them, so a
+part within its share of the edits leads to the item wherever the item is. A class that no number of walks brings to
+`recall` is searched without: every window that the lossless count leaves is a candidate for each of its items.
 Candidates are verified by the exact edit distance of the item to the best-matching part of the document around them.
 """
 
@@ -33,6 +36,8 @@ from mnemora.llm.common import WordHashes, materialize, mix64, records, table, t
 RATE, BITS, TABLES, RECALL, BLOCK_WORDS = 0.15, 4, 4, 0.999, 500_000
 #: Numbers of walks to choose from, and planted copies to choose by.
 WALKS, TRIALS = (1, 2, 4, 6, 8, 12, 16, 24, 32, 48, 64), 600
+#: Words beyond which an item is searched by parts, and words of a part.
+LONG, PART = 220, 110
 #: Bytes of text that are searched at once.
 RUN_BYTES = 3_000_000
 _EDGE = b".,;:!?\"'()[]{}"
@@ -107,16 +112,16 @@ def best_part(item: list[int], text: list[int]) -> tuple[int, int, int]:
 
 
 class LengthClass:
-    """Items of `lo` to `hi` words: steps and number of walks, and the hash table from sampled keys to items."""
+    """Parts of `lo` to `hi` words (short items whole): steps and number of walks, and the hash table from sampled keys to parts."""
 
-    def __init__(self, lo: int, hi: int, items: np.ndarray, rate: float) -> None:
+    def __init__(self, lo: int, hi: int, items: np.ndarray, rate: float, edits: int = 0) -> None:
         self.lo, self.items = lo, items
-        self.need = max(1, lo - 1 - 2 * allowed(hi, rate))
+        self.need = max(1, lo - 1 - 2 * max(allowed(hi, rate), edits))
         self.steps = max(1, lo * 3 // 2 if lo >= 8 else lo)
         self.walks = 1
 
     def plant(self, seqs: list[np.ndarray], rate: float, recall: float) -> int:
-        """The least of WALKS by which `recall` of planted copies with all edits meet their item."""
+        """The least of WALKS by which `recall` of planted copies with all edits meet their item; 0 if none does."""
         r = random.Random(self.lo)
         pairs = []
         for trial in range(TRIALS):
@@ -128,15 +133,19 @@ class LengthClass:
             pairs.append((s, np.array([*x, *(r.getrandbits(63) | 1 for _ in range(self.steps))], np.uint64)))
         keys = [walk_keys(*laid_out(list(side)), WALKS[-1], self.steps) for side in zip(*pairs, strict=True)]
         met = (keys[0] == keys[1]).reshape(TRIALS, WALKS[-1], TABLES).any(2)
-        return next((w for w in WALKS if met[:, :w].any(1).mean() >= recall), WALKS[-1])
+        return next((w for w in WALKS if met[:, :w].any(1).mean() >= recall), 0)
 
     def index(self, line: np.ndarray, begin: np.ndarray) -> None:
+        if not self.walks:
+            return
         keys = walk_keys(line, begin[self.items], self.walks, self.steps)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.owner = keys.ravel()[order], np.repeat(self.items, keys.shape[1])[order]
 
     def meet(self, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of every window that shares a sampled key with an item, once each."""
+        if not self.walks:
+            return np.repeat(starts, len(self.items)), np.tile(self.items, len(starts))
         found = []
         for a in range(0, len(starts), 1024):
             some = starts[a : a + 1024]
@@ -158,16 +167,22 @@ class Items:
         self.seq = [memo.read(t) for _, t in rows]
         n = np.array([len(s) for s in self.seq])
         self.edits = np.array([allowed(int(x), rate) for x in n])
+        # what is searched: an item, or its parts with their share of its edits
+        cut = [(i, len(s) * p // k, len(s) * (p + 1) // k, k) for i, s in enumerate(self.seq) for k in (1 if len(s) <= LONG else -(-len(s) // PART),) for p in range(k)]
+        self.item, self.offset = np.array([c[0] for c in cut], np.int64), np.array([c[1] for c in cut], np.int64)
+        seqs, share = [self.seq[i][a:b] for i, a, b, _ in cut], np.array([self.edits[i] // k for i, _, _, k in cut], np.int64)
+        m = np.array([len(s) for s in seqs])
         self.classes: list[LengthClass] = []
-        left = np.unique(n)
+        left = np.unique(m)
         while len(left):
             lo = int(left[0])
             hi = max(lo, lo * 4 // 3)
-            self.classes.append(LengthClass(lo, hi, np.flatnonzero((n >= lo) & (n <= hi)), rate))
+            own = np.flatnonzero((m >= lo) & (m <= hi))
+            self.classes.append(LengthClass(lo, hi, own, rate, int(share[own].max())))
             left = left[left > hi]
-        line, begin = laid_out(self.seq)
+        line, begin = laid_out(seqs)
         for i, c in enumerate(self.classes):
-            c.walks = walks[i] if walks else c.plant(self.seq, rate, recall)
+            c.walks = walks[i] if walks else c.plant(seqs, rate, recall)
             c.index(line, begin)
         self.parts = {}
         for k in (1, 2):  # single words seed items of one word, pairs all others
@@ -199,13 +214,14 @@ class Items:
                 continue
             # a window may begin after the last pairs that it has room for; the line's end is cut off
             count = m[np.minimum(np.arange(len(line)) + span, len(line))] - m[:-1]
-            starts, items = c.meet(line, np.flatnonzero(count >= c.need))
-            for d, b, i in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), items.tolist(), strict=True):
-                near.setdefault((d, i), []).append(b - int(begin[d]))
+            starts, parts = c.meet(line, np.flatnonzero(count >= c.need))
+            text = np.searchsorted(begin, starts, "right") - 1
+            for d, b, i in zip(text.tolist(), (starts - begin[text] - self.offset[parts]).tolist(), self.item[parts].tolist(), strict=True):
+                near.setdefault((d, i), []).append(b)
         for (d, i), places in near.items():
             e, n = int(self.edits[i]), len(self.seq[i])
             regions: list[list[int]] = []
-            for b in places:  # ascending
+            for b in sorted(places):
                 if regions and b - e <= regions[-1][1]:
                     regions[-1][1] = b + n + e
                 else:

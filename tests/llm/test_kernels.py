@@ -107,7 +107,7 @@ def _planted(r, words, seqs, rate, pad=80):
         yield i, r.choices(words, k=pad) + y + r.choices(words, k=pad)
 
 
-@pytest.mark.parametrize(("low", "high", "rate"), [(2, 7, 0.15), (7, 15, 0.15), (15, 58, 0.15), (15, 58, 0.05), (90, 220, 0.15)])
+@pytest.mark.parametrize(("low", "high", "rate"), [(2, 7, 0.15), (7, 15, 0.15), (15, 58, 0.15), (15, 58, 0.05), (90, 220, 0.15), (200, 250, 0.15), (400, 450, 0.15), (800, 900, 0.15), (1500, 2000, 0.15)])
 def test_recall_by_length_and_edits(low, high, rate):
     """At least 0.98 of planted copies with all the edits that `RATE` allows are found, short and long items alike."""
     r = random.Random(low)
@@ -119,6 +119,17 @@ def test_recall_by_length_and_edits(low, high, rate):
     assert items.hits([memo.read(b""), memo.read(b"nothing here")]) == [[], []]
 
 
+def test_classes_that_walks_do_not_reach_are_scanned(monkeypatch):
+    """Where no number of walks meets the target, every window that the count leaves is verified."""
+    monkeypatch.setattr("mnemora.llm.decontaminate.WALKS", (1,))
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    seqs = [r.choices(words, k=r.randrange(30, 40)) for _ in range(20)]
+    items, memo = Items([(i, " ".join(x).encode()) for i, x in enumerate(seqs)], 0.15, 0.999), Symbols()
+    assert {c.walks for c in items.classes} == {0}
+    assert all(any(h[0] == i for h in items.hits([memo.read(" ".join(doc).encode())])[0]) for i, doc in _planted(r, words, seqs, 0.15))
+
+
 def test_sampled_keys_find_the_items(monkeypatch):
     """Without equal sampled keys nothing is a candidate, and what is found is exact."""
     r = random.Random(8)
