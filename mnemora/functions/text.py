@@ -48,7 +48,7 @@ def is_stopword(word: Column) -> Column:
     return word.isin(*STOPWORDS)
 
 
-def tokenize(text: Column) -> Column:
+def tokenize(text: Column | str) -> Column:
     """Lower-case runs of letters and digits of two or more bytes that aren't stop words; null text: null."""
     return F.filter(F.split(F.lower(text), _NO_WORD), lambda t: (F.octet_length(t) > 1) & ~is_stopword(t))
 
@@ -149,7 +149,7 @@ def initial_importance(text: Column, memory_type: Column, tags: Column) -> Colum
     return F.greatest(F.lit(0.05), F.least(F.lit(1.0), base))
 
 
-def _flat_tokens(items: Column) -> Column:
+def flat_tokens(items: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), tokenize))
 
 
@@ -161,12 +161,12 @@ def _share(query: Column, words: Column) -> Column:
 def keyword_overlap(query: Column, content: Column, tags: Column, topic: Column, entities: Column) -> Column:
     """Share of the query's distinct tokens among those of content, tags (but session tags), topic and entities."""
     named = F.filter(tags, lambda t: ~t.startswith("session:"))
-    words = F.concat(tokenize(content), _flat_tokens(named), F.coalesce(tokenize(topic), F.array().cast("array<string>")), _flat_tokens(entities))
+    words = F.concat(tokenize(content), flat_tokens(named), F.coalesce(tokenize(topic), F.array().cast("array<string>")), flat_tokens(entities))
     return _share(query, words)
 
 
 def entity_overlap(query: Column, topic: Column, entities: Column) -> Column:
-    return _share(query, F.concat(F.coalesce(tokenize(topic), F.array().cast("array<string>")), _flat_tokens(entities)))
+    return _share(query, F.concat(F.coalesce(tokenize(topic), F.array().cast("array<string>")), flat_tokens(entities)))
 
 
 def raw_words(text: Column) -> Column:

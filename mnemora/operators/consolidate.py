@@ -1,7 +1,8 @@
 """Batch consolidation (C1-C17): passes from tables to tables, in their order.
 
 Similarities are exact and come from blocked products (similarity.py). Order-dependent greedy passes run for each connected
-component of qualifying pairs, as rows of different components never meet in them; a component is one group of one task.
+component of qualifying pairs, as rows of different components never meet in them: small components are groups of one task,
+large ones go by rounds of joins (greedy.py).
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from mnemora.functions import text as x
 from mnemora.functions.extract import correction, judge, tokens_of, words_of
 from mnemora.functions.sketch import reservoir
 from mnemora.functions.text import STOPWORDS
+from mnemora.functions.vector import dot, unit
 from mnemora.operators import graph
+from mnemora.operators.greedy import bursts, first_independent, fold_pairs, numbered
 from mnemora.operators.ranges import SMALL
 from mnemora.operators.segment import era_of, merge_micro, segmented
 from mnemora.operators.similarity import connected, cut_lineage, neighbor_sums, similar_pairs, unit_rows
@@ -30,6 +33,8 @@ from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
 
 State = dict[str, DataFrame]
+#: Rows of a component that one task takes in a greedy pass; larger ones go by rounds of joins.
+GROUP = 2_000
 Summarizer = Callable[[list[str]], str]  # E2
 Verdict = Callable[[str, str, str], tuple[float, str] | None]  # E5: (older, newer, cardinality) to (confidence, reason)
 
@@ -51,59 +56,112 @@ def _starts(s: State) -> list[int]:
     return [r[0] for r in s["epochs"].select("started_at").orderBy("started_at").collect()]
 
 
-def _grouped(rows: DataFrame, pairs: DataFrame, fn: Any, schema: T.StructType) -> DataFrame:
-    """fn for each component of pairs, given its rows."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return rows.join(connected(nodes, pairs), "id").groupBy("component").applyInPandas(lambda pdf: fn(pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)), schema)
+def _components(pairs: DataFrame) -> DataFrame:
+    """(id, component, size) of the rows of pairs."""
+    label = connected(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs)
+    return cut_lineage(label.join(label.groupBy("component").agg(F.count("*").alias("size")), "component"))
 
 
-def merge_fold(rows: pd.DataFrame, now: int) -> dict[str, Any]:
-    """The first row takes in the others: sums, maxima, the earliest creation, unions in order."""
-    keep = rows.iloc[0].to_dict()
-    keep["access_count"] = int(rows["access_count"].sum())
-    keep["recurrence_score"] = min(1.0, float(rows["recurrence_score"].sum()) + 0.2 * (len(rows) - 1))
-    keep["importance_score"] = float(rows["importance_score"].max())
-    keep["pinned"] = bool(rows["pinned"].any())
-    keep["created_at"] = int(rows["created_at"].min())
-    keep["last_accessed_at"] = rows["last_accessed_at"].max()
+def _grouped(rows: DataFrame, label: DataFrame, fn: Any, schema: Any) -> DataFrame:
+    """fn for each component, given its rows in order."""
+    return rows.join(label.select("id", "component"), "id").groupBy("component").applyInPandas(lambda pdf: fn(pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)), schema)
+
+
+def _greedy(rows: DataFrame, pairs: DataFrame, fn: Any, rounds: Any, schema: str, order: list[str], group: int = GROUP) -> DataFrame:
+    """A greedy pass: components of up to `group` rows are groups of one task (fn), larger ones go by rounds of joins
+    (greedy.py): rounds(nodes with pos, pairs p and q). Both give the result of the pass row by row."""
+    label = _components(pairs)
+    small, large = label.where(F.col("size") <= group), label.where(F.col("size") > group).select("id")
+    got = _grouped(rows, small, fn, schema)
+    if large.isEmpty():
+        return cut_lineage(got)
+    nodes, met = numbered(rows.drop("embedding").join(large, "id"), pairs.join(large.withColumnRenamed("id", "a"), "a", "left_semi"), order)
+    return cut_lineage(got.union(rounds(nodes, met)))
+
+
+def keepers(live: DataFrame, pairs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(id, keeper) of rows that fold into another: of a pair the foundation stays, else the more important, else the newer row.
+    live: id, created_at, memory_type, importance_score, embedding, era."""
+    live = live.withColumn("rank", F.struct((F.col("memory_type") == "foundation").alias("f"), F.col("importance_score").alias("i"), F.col("created_at").alias("c")))
+    near = pairs.select("a", "b")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        met = pdf["rank"].map(lambda r: (r["f"], r["i"], r["c"]) if isinstance(r, dict) else tuple(r)).to_list()
+        g = unit_rows(list(pdf["embedding"]))
+        same = (g @ g.T >= pdf["low"].iloc[0]) & (pdf["era"].to_numpy()[:, None] == pdf["era"].to_numpy()[None])
+        parent: dict[int, int] = {}
+        for i in range(len(pdf)):
+            for j in np.flatnonzero(same[i, i + 1 :]) + i + 1 if i not in parent else ():
+                if j in parent:
+                    continue
+                if met[i] < met[j]:
+                    parent[i] = j
+                    break
+                parent[j] = i
+        ends = []
+        for k in parent:
+            end = parent[k]
+            while end in parent:
+                end = parent[end]
+            ends.append((pdf["id"][k], pdf["id"][end]))
+        return pd.DataFrame(ends, columns=["id", "keeper"])
+
+    def rounds(nodes: DataFrame, met: DataFrame) -> DataFrame:
+        names = nodes.select("pos", "id")
+        got = fold_pairs(nodes.select("pos", "rank"), met)
+        return got.join(names, "pos").select("id", F.col("keeper").alias("pos")).join(names.withColumnRenamed("id", "keeper"), "pos").select("id", "keeper")
+
+    return _greedy(live, near, run, rounds, "id string, keeper string", ["created_at", "id"], group)
+
+
+def merge_fold(mem: DataFrame, kept: DataFrame, now: int) -> DataFrame:
+    """Each keeper takes in its rows: sums, maxima, the earliest creation, unions in order (its own values first, then
+    by age). kept: id, keeper. Values are gathered once they are distinct."""
+    every = kept.union(kept.select("keeper", "keeper").distinct())
+    rows = mem.join(every, "id").withColumn("_o", F.struct(F.col("id") != F.col("keeper"), "created_at", "id"))
+    sums = rows.groupBy("keeper").agg(
+        F.sum("access_count").cast("long").alias("access_count"), F.least(F.lit(1.0), F.sum("recurrence_score") + 0.2 * (F.count("*") - 1)).alias("recurrence_score"), F.max("importance_score").alias("importance_score"), F.bool_or("pinned").alias("pinned"), F.min("created_at").alias("created_at"), F.max("last_accessed_at").alias("last_accessed_at"),
+    )
+    new = sums
     for c in ("tags", "entities"):
-        keep[c] = list(dict.fromkeys(v for row in rows[c] for v in row))
-    keep["updated_at"] = now
-    return keep
+        each = rows.select("keeper", "_o", F.posexplode(c).alias("_i", "_v")).groupBy("keeper", "_v").agg(F.min(F.struct("_o", "_i")).alias("_f"))
+        new = new.join(each.groupBy("keeper").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_v"))), lambda t: t["_v"]).alias(c)), "keeper", "left")
+    own = {c: F.coalesce(new[c], F.array().cast(mem.schema[c].dataType)) if c in ("tags", "entities") else new[c].cast(mem.schema[c].dataType) for c in new.columns if c != "keeper"} | {"updated_at": F.lit(now).cast(mem.schema["updated_at"].dataType)}
+    return mem.join(new, mem["id"] == new["keeper"]).select(*[(own[c] if c in own else mem[c]).alias(c) for c in mem.columns])
 
 
 def merge_duplicates(s: State, c: Config, now: int) -> State:
     """Near rows of one era fold into the foundation, else the more important, else the newer one of a pair. All duplicates of a keeper are folded, and their links stay as records."""
     mem = s["memory_items"]
-    live = mem.where("embedding is not null and memory_type <> 'archive'").withColumn("era", era_of(F.col("created_at"), _starts(s)))
-    pairs = similar_pairs(live, c.consolidation.duplicate, within="era")
-    names = mem.columns
-    schema = T.StructType([*mem.schema.fields, T.StructField("gone", T.ArrayType(T.StringType()))])
+    live = mem.where("embedding is not null and memory_type <> 'archive'").withColumn("era", era_of(F.col("created_at"), _starts(s))).select("id", "created_at", "memory_type", "importance_score", "embedding", "era", F.lit(c.consolidation.duplicate).alias("low"))
+    kept = keepers(live, similar_pairs(live, c.consolidation.duplicate, within="era"))
+    rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], kept.select("id"))
+    merged = rest.join(kept.select(F.col("keeper").alias("id")).distinct(), "id", "left_anti").select(*mem.columns).unionByName(merge_fold(mem, kept, now))
+    record = kept.select(F.col("keeper").alias("source_id"), F.col("id").alias("target_id"), F.lit("duplicates").alias("relation"))
+    return s | {"memory_items": merged, "memory_links": links.unionByName(record), "memory_edges": edges}
+
+
+def burst_members(live: DataFrame, pairs: DataFrame, least: int, tight: float, days: float, group: int = GROUP) -> DataFrame:
+    """(id, seed): rows that a seed draws together with itself. live: id, created_at, embedding, era, low."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         u = unit_rows(list(pdf["embedding"]))
-        near = u @ u.T >= c.consolidation.duplicate
-        era = pdf["era"].to_numpy()
-        dead, folded = set(), {}
+        near = (u @ u.T >= pdf["low"].iloc[0]) & (pdf["era"].to_numpy()[:, None] == pdf["era"].to_numpy()[None])
+        np.fill_diagonal(near, True)
+        at, free, found = pdf["created_at"].to_numpy(), np.ones(len(pdf), bool), []
         for i in range(len(pdf)):
-            for j in range(i + 1, len(pdf)):
-                if i in dead:
-                    break
-                if j in dead or not near[i, j] or era[i] != era[j]:
-                    continue
-                rank = lambda k: (pdf["memory_type"][k] == "foundation", pdf["importance_score"][k], pdf["created_at"][k])
-                keep, lose = (i, j) if rank(i) >= rank(j) else (j, i)
-                dead.add(lose)
-                folded.setdefault(keep, []).extend([lose, *folded.pop(lose, [])])
-        out = [merge_fold(pdf.loc[[k, *sorted(f)], names], now) | {"gone": [pdf["id"][d] for d in f]} for k, f in folded.items() if k not in dead]
-        return pd.DataFrame(out, columns=[*names, "gone"])
+            drawn = np.flatnonzero(near[i] & free) if free[i] else ()
+            if len(drawn) >= least and (at[drawn].max() - at[drawn].min()) / DAY / days <= tight:
+                free[drawn] = False
+                found += [(pdf["id"][j], pdf["id"][i]) for j in drawn]
+        return pd.DataFrame(found, columns=["id", "seed"])
 
-    folded = cut_lineage(_grouped(live, pairs, run, schema))
-    gone = folded.select(F.explode("gone").alias("id"), F.col("id").alias("keeper"))
-    rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], gone)
-    kept = rest.join(folded.select("id"), "id", "left_anti").select(*names).unionByName(folded.select(*names))
-    record = gone.select(F.col("keeper").alias("source_id"), F.col("id").alias("target_id"), F.lit("duplicates").alias("relation"))
-    return s | {"memory_items": kept, "memory_links": links.unionByName(record), "memory_edges": edges}
+    def rounds(nodes: DataFrame, met: DataFrame) -> DataFrame:
+        names = nodes.select("pos", "id")
+        got = bursts(nodes.select("pos", F.col("created_at").alias("at")), met, least, F.col("span") / DAY / days <= tight)
+        return got.join(names, "pos").select("id", F.col("seed").alias("pos")).join(names.withColumnRenamed("id", "seed"), "pos").select("id", "seed")
+
+    return _greedy(live, pairs.select("a", "b"), run, rounds, "id string, seed string", ["created_at", "id"], group)
 
 
 def collapse_bursts(s: State, c: Config, now: int, summarizer: Summarizer = summarize) -> State:
@@ -115,31 +173,20 @@ def collapse_bursts(s: State, c: Config, now: int, summarizer: Summarizer = summ
     span = max(1.0, max(0, now - (oldest if oldest is not None else now)) / DAY)
     live = mem.where("memory_type in ('raw_event', 'episodic') and not pinned and not stale and embedding is not null").withColumn("era", era_of(F.col("created_at"), _starts(s)))
     pairs = similar_pairs(live, p.similarity, within="era")
-    out = T.StructType([T.StructField("keep", T.StringType()), T.StructField("topic", T.StringType()), T.StructField("gone", T.ArrayType(T.StringType())), T.StructField("at", T.LongType()), T.StructField("gist", T.StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = unit_rows(list(pdf["embedding"]))
-        g, era, at = u @ u.T, pdf["era"].to_numpy(), pdf["created_at"].to_numpy()
-        used, found = np.zeros(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if used[i]:
-                continue
-            near = [i] + [j for j in range(len(pdf)) if j != i and not used[j] and era[j] == era[i] and g[i, j] >= p.similarity]
-            if len(near) < k.burst_min or (at[near].max() - at[near].min()) / DAY / span > p.tight:
-                continue
-            mean = [(g[a, near].sum() - g[a, a]) / (len(near) - 1) for a in near]
-            odd = near[int(np.argmin(mean))]
-            rest = [a for a in near if a != odd]
-            used[near] = True
-            body = summarizer([pdf["content"][a] for a in rest])
-            found.append((pdf["id"][odd], pdf["topic"][odd], [pdf["id"][a] for a in rest], int(at[rest].max()), f"Gist of {len(rest)} similar events: {body}"))
-        return pd.DataFrame(found, columns=out.names)
-
-    bursts = cut_lineage(_grouped(live, pairs, run, out))
-    rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], bursts.select(F.explode("gone").alias("id")))
-    odd = bursts.select(F.col("keep").alias("id"), F.lit(True).alias("odd"))
+    drawn = burst_members(live.select("id", "created_at", "embedding", "era", F.lit(p.similarity).alias("low")), pairs, k.burst_min, p.tight, span)
+    rows = live.select("id", "created_at", "content", "topic", "embedding").join(drawn, "id")
+    sums = vector_sums(rows, "seed").join(rows.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    # the sum of a row's cosines to the others of its burst is one product with the sum of their unit vectors
+    typical = F.round((dot(unit(F.col("embedding")), F.col("sum")) - dot(unit(F.col("embedding")), unit(F.col("embedding")))) / (F.col("n") - 1), 12)
+    rows = cut_lineage(rows.join(sums, "seed").select("seed", "id", "created_at", "content", "topic", "n", typical.alias("typical"), F.struct(F.col("id") != F.col("seed"), "created_at", "id").alias("pos")))
+    least = rows.groupBy("seed").agg(F.min_by(F.struct("id", "topic"), F.struct("typical", "pos")).alias("odd")).select("seed", F.col("odd.id").alias("keep"), "odd.topic")
+    rest_of = rows.drop("topic").join(least, "seed").where("id <> keep")
+    body = rest_of.groupBy("seed").agg(F.count("*").alias("n"), F.max("created_at").alias("at")).join(summaries(rest_of.select("seed", "pos", "content"), "seed", summarizer), "seed").join(least, "seed")
+    gist = cut_lineage(body.select("keep", "topic", "at", F.format_string("Gist of %d similar events: %s", "n", "summary").alias("gist")))
+    rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], rest_of.select("id"))
+    odd = gist.select(F.col("keep").alias("id"), F.lit(True).alias("odd"))
     rest = rest.join(odd, "id", "left").withColumn("importance_score", F.when(F.col("odd"), F.least(F.lit(1.0), F.col("importance_score") + 0.1)).otherwise(F.col("importance_score"))).withColumn("salience", F.when(F.col("odd"), F.greatest("salience", F.lit(0.6))).otherwise(F.col("salience"))).withColumn("updated_at", F.when(F.col("odd"), F.lit(now)).otherwise(F.col("updated_at"))).select(*mem.columns)
-    gists = _derived(bursts.select(F.col("gist").alias("content"), "topic", "at", F.lit("episodic").alias("memory_type"), F.lit(0.4).alias("importance_score"), F.lit(0.0).alias("recurrence_score")), mem, now)
+    gists = _derived(gist.select(F.col("gist").alias("content"), "topic", "at", F.lit("episodic").alias("memory_type"), F.lit(0.4).alias("importance_score"), F.lit(0.0).alias("recurrence_score")), mem, now)
     return s | {"memory_items": insert_ignore(rest, gists, ["content_hash"]), "memory_links": links, "memory_edges": edges}
 
 
@@ -357,22 +404,32 @@ def promote_to_foundation(s: State, c: Config, now: int) -> State:
     able = mem.where("memory_type in ('semantic', 'preference') and not stale and not pinned").join(stats.select("id"), "id", "left_semi")
     old = mem.where("memory_type = 'foundation' and embedding is not null")
     pool = able.unionByName(old).select("id", "importance_score", "created_at", "embedding", "memory_type")
-    pairs = similar_pairs(pool, c.neighbors.similarity).select("a", "b")
-    label = connected(pool.select("id"), pairs)
+    up = foundations(pool.withColumn("low", F.lit(c.neighbors.similarity)), similar_pairs(pool, c.neighbors.similarity)).withColumn("up", F.lit(True))
+    got = mem.join(up, "id", "left")
+    return s | {"memory_items": got.withColumn("memory_type", F.when(F.col("up"), "foundation").otherwise(F.col("memory_type"))).withColumn("updated_at", F.when(F.col("up"), F.lit(now)).otherwise(F.col("updated_at"))).select(*mem.columns)}
+
+
+def foundations(pool: DataFrame, pairs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(id): rows that are no foundation yet and near none, nor near a better one that becomes one.
+    pool: id, importance_score, created_at, embedding, memory_type, low."""
+    pool = pool.withColumn("better", -F.col("importance_score"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = unit_rows(list(pdf["embedding"]))
-        taken = [i for i in range(len(pdf)) if pdf["memory_type"][i] == "foundation"]
-        new = []
-        for i in pdf.sort_values(["importance_score", "created_at", "id"], ascending=[False, True, True]).index:
-            if pdf["memory_type"][i] != "foundation" and not any(u[i] @ u[j] >= c.neighbors.similarity for j in taken):
-                taken.append(i)
+        pdf = pdf.sort_values(["better", "created_at", "id"], kind="stable").reset_index(drop=True)
+        u, old = unit_rows(list(pdf["embedding"])), (pdf["memory_type"] == "foundation").to_numpy()
+        barred, new = ((u @ u[old].T) >= pdf["low"].iloc[0]).any(1), []
+        for i in np.flatnonzero(~old):
+            if not barred[i]:
+                barred |= u @ u[i] >= pdf["low"].iloc[0]
                 new.append(pdf["id"][i])
-        return pd.DataFrame({"id": new})
+        return pd.DataFrame({"id": new}, dtype=object)
 
-    up = pool.join(label, "id").groupBy("component").applyInPandas(lambda pdf: run(pdf.reset_index(drop=True)), "id string").withColumn("up", F.lit(True))
-    got = mem.join(up, "id", "left")
-    return s | {"memory_items": got.withColumn("memory_type", F.when(F.col("up"), "foundation").otherwise(F.col("memory_type"))).withColumn("updated_at", F.when(F.col("up"), F.lit(now)).otherwise(F.col("updated_at"))).select(*mem.columns)}
+    def rounds(nodes: DataFrame, met: DataFrame) -> DataFrame:
+        new = first_independent(nodes.select("pos", (F.col("memory_type") == "foundation").alias("taken")), met)
+        return new.join(nodes.select("pos", "id"), "pos").select("id")
+
+    lone = pool.where("memory_type <> 'foundation'").select("id").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti")
+    return lone.union(_greedy(pool, pairs.select("a", "b"), run, rounds, "id string", ["better", "created_at", "id"], group))
 
 
 def value_signature(text: str) -> tuple[str, ...]:
@@ -404,7 +461,7 @@ def contradictions(memories: DataFrame, c: Config, verdict: Verdict = judge) ->
         got = [(pdf["id"][newest], pdf["id"][i], "updates") for i in range(newest) if (v := verdict(pdf["content"][i], pdf["content"][newest], kind)) and v[0] >= c.contradiction.confidence]
         return pd.DataFrame(got, columns=out.names)
 
-    return _grouped(live.select("id", "content", "created_at"), pairs, run, out)
+    return _grouped(live.select("id", "content", "created_at"), _components(pairs), run, out)
 
 
 def infer_contradictions(s: State, c: Config, verdict: Verdict = judge) -> State:
@@ -519,8 +576,8 @@ def eras(memories: DataFrame, c: Config, summarizer: Summarizer = summarize) ->
     return got.select(F.concat(F.lit("epoch_"), "started_at", F.lit("_"), "ordinal").alias("id"), "ordinal", "started_at", "ended_at", F.col("centroid").cast("array<float>").alias("centroid"), "label", "summary", "member_count", "drift_in")
 
 
-def mean_direction(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """(group, centroid): the direction of the mean of unit vectors. Tasks add up the vectors of a batch before they hand on; no group is gathered."""
+def vector_sums(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, sum) of unit vectors. Tasks add up the vectors of a batch before they hand on; no group is gathered."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -529,7 +586,12 @@ def mean_direction(rows: DataFrame, group: str, vector: str = "embedding") -> Da
 
     sums = rows.select(group, vector).mapInPandas(add, T.StructType([rows.schema[group], T.StructField("sum", T.ArrayType(T.DoubleType()))]))
     places = sums.select(group, F.posexplode("sum").alias("place", "x")).groupBy(group, "place").agg(F.sum("x").alias("x"))
-    whole = places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("v"))
+    return places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("sum"))
+
+
+def mean_direction(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, centroid): the direction of the mean of unit vectors."""
+    whole = vector_sums(rows, group, vector).withColumnRenamed("sum", "v")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
     return whole.withColumn("size", size).select(group, F.transform("v", lambda y: F.when(F.col("size") > 0, y / F.col("size")).otherwise(0.0)).alias("centroid"))
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +29,7 @@ def unit_rows(vectors: list[np.ndarray]) -> np.ndarray:
 
 def similar_pairs(df: DataFrame, low: float, high: float | None = None, within: str | None = None, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(a, b, cosine) with a < b and low <= cosine (< high). Vectors of different sizes don't pair; null and zero ones have cosine 0."""
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("d"), (F.col(within) if within else F.lit(0)).alias("w"))
-    groups = rows.groupBy("w", "d").agg(F.count("*").alias("n"))
-    rows = rows.join(groups, ["w", "d"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.expr("pmod(xxhash64(k), blocks)").cast("int"))
-    spread = rows.select("k", "v", "w", "d", "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    spread = spread.select("k", "v", "w", "d", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    spread = _cells(df, within, key, vector, block)
     kind = df.schema[key].dataType
     top = math.inf if high is None else high
 
@@ -105,12 +102,56 @@ def neighbor_sums(df: DataFrame, similarity: float, at: str, key: str = "id", ve
     return got.select("id", "best", "near", *[F.when(F.col("near") > 0, F.col(c)).alias(c) for c in ("first", "last")])
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar partners of each row of (a, b, cosine): (id, other, cosine, rank). Ties: the smaller id."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").union(pairs.select("b", "a", "cosine"))
-    from pyspark.sql import Window as W
+def knn(df: DataFrame, k: int, low: float = -1.0, digits: int = 12, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """The k most similar other rows of each row at cosine `low` or more: (id, other, cosine, rank). Cosines are
+    compared to `digits` digits; of equal ones the smaller key comes first.
+
+    A pair of blocks is one product, of which each row keeps its k best: at most k rows for each row and block leave a task,
+    however many pairs are similar, and tasks keep k of those before the last shuffle.
+    """
+    cells = _cells(df, None, key, vector, block)
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("other", kind), T.StructField("cosine", T.DoubleType())])
+
+    def best(own: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": own[:0], "other": others[:0], "cosine": np.zeros(0)})]
+        for s in range(0, len(x), 512):
+            m = np.round(x[s : s + 512] @ y.T, digits)
+            here = own[s : s + 512]
+            m[here[:, None] == others[None]] = -2.0
+            # columns are in the order of the keys, so a stable choice of the k first by falling cosine is the right one
+            top = np.sort(np.partition(-m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1)[:, -1]
+            p, q = np.nonzero((-m <= top[:, None]) & (m >= low))
+            order = np.lexsort((q, -m[p, q], p))
+            p, q = p[order], q[order]
+            first = np.searchsorted(p, p)  # where each row's choice begins
+            keep = np.arange(len(p)) - first < k
+            out.append(pd.DataFrame({"id": here[p[keep]], "other": others[q[keep]], "cosine": m[p[keep], q[keep]]}))
+        return pd.concat(out)
+
+    def product(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, pdf = pdf["i"].iloc[0], pdf.sort_values("k", kind="stable")
+        left = pdf[pdf["mine"] == i]
+        right = left if i == pdf["j"].iloc[0] else pdf[pdf["mine"] != i]
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        x, a = unit_rows(list(left["v"])), left["k"].to_numpy()
+        if right is left:
+            return best(a, x, a, x)
+        y, b = unit_rows(list(right["v"])), right["k"].to_numpy()
+        return pd.concat([best(a, x, b, y), best(b, y, a, x)])
+
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))
+    return cells.groupBy("w", "d", "i", "j").applyInPandas(product, schema).withColumn("rank", place).where(F.col("rank") <= k)
+
 
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+def _cells(df: DataFrame, within: str | None, key: str, vector: str, block: int) -> DataFrame:
+    """Rows (k, v, w, d, mine) dealt into blocks and sent to each pair (i, j) of blocks of theirs."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.size(vector).alias("d"), (F.col(within) if within else F.lit(0)).alias("w"))
+    groups = rows.groupBy("w", "d").agg(F.count("*").alias("n"))
+    rows = rows.join(groups, ["w", "d"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.expr("pmod(xxhash64(k), blocks)").cast("int"))
+    spread = rows.select("k", "v", "w", "d", "mine", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    return spread.select("k", "v", "w", "d", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
 
 def search(queries: DataFrame, df: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -143,8 +184,6 @@ def search(queries: DataFrame, df: DataFrame, k: int, key: str = "id", vector: s
         best = run(held) if best is None else best.union(cut_lineage(run(held)))
     if best is None:
         return df.sparkSession.createDataFrame([], T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", kind), T.StructField("cosine", T.DoubleType())]))
-    from pyspark.sql import Window as W
-
     return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k).drop("rank")
 
 

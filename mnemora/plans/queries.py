@@ -17,7 +17,7 @@ from mnemora.operators import consolidate as co
 from mnemora.operators import graph, reports, retrieve
 from mnemora.operators.ingest import history, prior_messages
 from mnemora.operators.segment import era_of, rolling_threshold, segment_streams, surprise_by_window
-from mnemora.operators.similarity import connected, nearest, neighbor_sums, search, similar_pairs
+from mnemora.operators.similarity import connected, knn, neighbor_sums, search, similar_pairs
 from mnemora.plans.config import Config, Segment, Spreading
 from mnemora.sources import fixtures as fx
 from mnemora.sources import store as st
@@ -297,8 +297,7 @@ def _j3(s: SparkSession, d: str) -> DataFrame:
 
 @query("j5_knn", "SELECT id, other, rank FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, other) AS rank FROM (SELECT a AS id, b AS other, cosine FROM prs UNION ALL SELECT b, a, cosine FROM prs)) WHERE rank <= 5", MEM, BAG, _PAIRS)
 def _j5(s: SparkSession, d: str) -> DataFrame:
-    p = similar_pairs(fx.memories(s, d, vectors=True), 0.55).withColumn("cosine", F.round("cosine", 9))
-    return nearest(p, 5).select("id", "other", F.col("rank").cast("long").alias("rank"))
+    return knn(fx.memories(s, d, vectors=True), 5, 0.55, digits=9).select("id", "other", F.col("rank").cast("long").alias("rank"))
 
 
 @query("j1_search", "SELECT query_id, id, round(c, 6) AS cosine FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rn <= 10")
@@ -523,16 +522,6 @@ def _w3(s: SparkSession, d: str) -> DataFrame:
     return g.select("stream", "ord", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("t1s_segment")
-def _t1(s: SparkSession, d: str) -> DataFrame:
-    return segment_streams(_stream(s, d), Segment(window=3, gamma=0.5))
-
-
-@query("t10s_eras")
-def _t10(s: SparkSession, d: str) -> DataFrame:
-    return co.eras(fx.memories(s, d, vectors=True).withColumn("embedding", F.col("embedding").cast("array<float>")), Config()).drop("centroid")
-
-
 # windows and messages
 
 
@@ -609,3 +598,20 @@ def _r1(s: SparkSession, d: str) -> DataFrame:
 def _f1(s: SparkSession, d: str) -> DataFrame:
     o = retrieve.Options(types=("semantic", "episodic"), exclude_session="7")
     return retrieve.candidates(fx.memories(s, d), o, NOW - 60 * 86400, NOW - 86400).select("id")
+
+
+_BATCH = f"""qs AS (SELECT id AS query_id, list_distinct(toks) AS q FROM mem WHERE doc_id % 50 = 0),
+can AS (SELECT *, {fx.tokens_sql("array_to_string(list_filter(tags, lambda g: NOT starts_with(g, 'session:')), ' ')")} AS ts, {fx.tokens_sql("coalesce(topic, '') || ' ' || array_to_string(entities, ' ')")} AS es FROM mem WHERE NOT stale AND memory_type <> 'archive'),
+cs AS (SELECT p.id AS query_id, r.id, sum(p.x * r.x) AS c FROM bag p JOIN bag r USING (bucket) WHERE p.id IN (SELECT query_id FROM qs) GROUP BY ALL),
+rl AS (SELECT query_id, m.id, m.created_at, round(greatest(0, least(1, 0.7 * greatest(coalesce(c, 0), 0) + 0.2 * len(list_filter(q, lambda t: list_contains(list_concat(toks, ts, es), t))) / greatest(len(q), 1)::DOUBLE + 0.1 * len(list_filter(q, lambda t: list_contains(es, t))) / greatest(len(q), 1)::DOUBLE)), 9) AS relevance FROM qs CROSS JOIN can m LEFT JOIN cs USING (query_id, id)),
+pl AS (SELECT query_id, id, relevance FROM rl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, created_at, id) <= 60),
+sp AS (SELECT id, least(1.0, sum(ln(1 + w) / 3)) AS support FROM (SELECT src_id AS id, weight AS w FROM coe UNION ALL SELECT dst_id, weight FROM coe) GROUP BY id),
+tt AS (SELECT query_id, id, relevance, m.created_at, round(0.6 * relevance + 0.1 * ({_LIVE}) + 0.1 * recurrence_score + 0.15 * exp(-0.1 * {_AGE}) + 0.05 * coalesce(support, 0) + CASE WHEN pinned THEN 0.05 ELSE 0 END, 12) AS total FROM pl JOIN mem m USING (id) LEFT JOIN sp USING (id))"""
+
+
+@query("r1_batch", "SELECT query_id, rank, id, round(relevance, 6) AS relevance, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, created_at, id) AS rank FROM tt) WHERE rank <= 6", MEM, TRN, BAG, _CO, _BATCH)
+def _r1b(s: SparkSession, d: str) -> DataFrame:
+    """Every memory whose number is divisible by 50 asks for its context."""
+    mem = fx.memories(s, d, vectors=True)
+    asks = mem.where(F.expr("cast(substr(id, 5) as bigint) % 50 = 0")).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), x.tokenize("content").alias("tokens"))
+    return retrieve.retrieve_batch(mem, _coe(s, d), asks, NOW).select("query_id", "rank", "id", F.round("relevance", 6).alias("relevance"), F.round("total", 6).alias("total"))
