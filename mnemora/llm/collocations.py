@@ -11,32 +11,34 @@ Frequent words of each language get numbers, and the texts become a stored strea
 3. Mappers `bincount` slots into arrays; the arrays' pieces are summed in a tree of tasks, and frequent slots stay.
 
 Cuts are read by slot from the counts of the shorter phrases. Only structures of at most `slots` keys are built and sent to
-mappers. Where the words or candidates of a level are more, phrases are counted by shuffled rows (`by_rows`) instead: same
-results, no broadcast.
+mappers. Where the candidates of a level are more, their counts are sums over shuffled rows of keys; where the frequent
+words or phrases of a level are more, all phrases are counted as rows of text (`by_rows`). Results are the same.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import delete, materialize, mix64, owned, table, text_runs, tidy
+from mnemora.llm.common import delete, give_back, materialize, mix64, owned, table, text_runs, tidy
 
 SUPPORT, LONGEST, TOP, INSIDE_PERCENT = 30, 4, 2_000, 80
-#: Most keys of a structure that mappers hold; buckets of the pre-count; slots of a piece; arrays that one task adds up.
-SLOTS, BUCKETS, PIECE, FAN = 1 << 22, 1 << 24, 1 << 16, 64
+#: Most keys of a structure that mappers hold; most buckets of the pre-count (a byte each; one for four words of the corpus); slots of a piece; arrays that one task adds up.
+SLOTS, BUCKETS, PIECE, FAN = 1 << 22, 1 << 27, 1 << 16, 64
 #: Words that a mapper counts, and keys that it gathers, before it hands on.
-MEMO, KEYS = 300_000, 2_000_000
+MEMO, KEYS = 150_000, 500_000
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
 LAST = np.uint64((1 << 32) - 1)
 RESULT = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -107,36 +109,39 @@ class Level:
         return cls(slot, counts[order], None if other is None else other[order])
 
 
-def key_of(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_128_intdigest(lang.encode() + b"\0" + word)
+def keys_of(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit keys of a language's words, in halves."""
+    digest = partial(xxhash.xxh3_128_digest, seed=xxhash.xxh3_64_intdigest(lang.encode()))
+    both = np.frombuffer(b"".join(map(digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 1], both[:, 0]
 
 
-class Numbers(dict):
+class Numbers:
     """Numbers of the frequent words of one language, -1 for others; what a worker has met is kept."""
 
     def __init__(self, lang: str, words: Level) -> None:
         self.lang, self.words = lang, words
+        self.of: dict[bytes, int] = {}
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = list({w for w in words if w not in self})
+    def learn(self, words: set[bytes]) -> None:
+        new = list(words.difference(self.of))
+        if len(self.of) + len(new) > MEMO:
+            self.of, new = {}, list(words)
         if new:
-            if len(self) + len(new) > MEMO:
-                self.clear()
-                return self.learn(words)
-            key = [key_of(self.lang, w) for w in new]
-            got = self.words.slot.find(np.array([k & 0xFFFFFFFFFFFFFFFF for k in key], np.uint64))
-            other = np.array([k >> 64 for k in key], np.uint64)
+            low, high = keys_of(self.lang, new)
+            got = self.words.slot.find(low)
             known = got >= 0
-            known[known] = self.words.other[got[known]] == other[known]
-            self.update(zip(new, np.where(known, got, -1).tolist(), strict=True))
+            known[known] = self.words.other[got[known]] == high[known]
+            self.of.update(zip(new, np.where(known, got, -1).tolist(), strict=True))
 
-    def stream(self, text: bytes) -> list[int]:
-        """The numbers of a folded text's words, -1 at the end of each piece."""
-        self.learn(text.split())
+    def stream(self, texts: list[bytes]) -> list[int]:
+        """The numbers of folded texts' words, -1 at the end of each piece."""
+        pieces = [piece.split() for t in texts for piece in t.split(b"\n")]
+        self.learn(set().union(*pieces))
         out: list[int] = []
-        for piece in text.split(b"\n"):
-            if piece:
-                out += map(self.__getitem__, piece.split())
+        for words in pieces:
+            if words:
+                out += map(self.of.__getitem__, words)
                 out.append(-1)
         return out
 
@@ -182,12 +187,12 @@ def number_streams(rows: DataFrame, words: Any) -> DataFrame:
         for batch in batches:
             for part, texts in text_runs(batch, "text"):
                 ids: list[int] = []
-                for lang, t in zip(_langs(part), texts, strict=True):
+                for lang in dict.fromkeys(langs := _langs(part)):
                     if lang not in by:
                         if len(by) > 100:
                             by.clear()
                         by[lang] = Numbers(lang, words.value)
-                    ids += by[lang].stream(fold(t))
+                    ids += by[lang].stream([fold(t) for t, x in zip(texts, langs, strict=True) if x == lang])
                 yield pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int32).tobytes()], pa.binary())], names=["ids"])
 
     return rows.mapInArrow(run, "ids binary")
@@ -210,19 +215,21 @@ def next_keys(ids: np.ndarray, levels: list[Level]) -> np.ndarray:
     return joined(s, ids, len(levels) + 1)[0]
 
 
-def bucket_of(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(BUCKETS)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(keys ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], keys_of: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
-    """Keys of a task's streams, in portions."""
+    """Keys of a task's streams, in portions of about KEYS."""
     held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         for b in batch.column("ids"):
             held.append(keys_of(np.frombuffer(b.as_buffer(), np.int32).astype(np.int64)))
-            if sum(map(len, held)) > KEYS:
+            size += len(held[-1])
+            if size > KEYS:
                 yield np.concatenate(held)
-                held = []
+                held, size = [], 0
     if held:
         yield np.concatenate(held)
 
@@ -249,6 +256,7 @@ def tree_sum(parts: DataFrame, leaves: int, kind: type, most: int | None = None)
             total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, kind)
         at = np.flatnonzero(total)
         kept = (total if most is None else np.minimum(total, most)).astype(kind)[at]
+        give_back()
         return pa.table({"piece": group["piece"][:1], "node": group["node"][:1], "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([kept.tobytes()], pa.binary())})
 
     while True:
@@ -258,37 +266,79 @@ def tree_sum(parts: DataFrame, leaves: int, kind: type, most: int | None = None)
             return parts
 
 
-def heavy_buckets(streams: DataFrame, held: Any) -> np.ndarray:
+def heavy_buckets(streams: DataFrame, held: Any, buckets: int) -> np.ndarray:
     """A bit for each bucket whose keys reach the support together."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(buckets, np.uint8)
         for keys in _gathered(batches, lambda ids: next_keys(ids, held.value)):
-            np.add.at(counts, bucket_of(keys), 1)
-        yield from pieces(np.minimum(counts, SUPPORT).astype(np.uint8))
+            b, n = np.unique(bucket_of(keys, buckets), return_counts=True)
+            counts[b] = np.minimum(counts[b] + n, SUPPORT)
+        yield from pieces(counts)
 
-    heavy = np.zeros(BUCKETS, bool)
-    for row in tree_sum(streams.mapInArrow(run, PIECES), streams.rdd.getNumPartitions(), np.uint8, SUPPORT).collect():  # at most BUCKETS bytes
+    heavy = np.zeros(buckets, bool)
+    for row in tree_sum(streams.mapInArrow(run, PIECES), streams.rdd.getNumPartitions(), np.uint8, SUPPORT).toLocalIterator():  # at most BUCKETS bytes
         at = row["piece"] * PIECE + np.frombuffer(row["at"], np.uint16).astype(np.int64)
         heavy[at[np.frombuffer(row["n"], np.uint8) >= SUPPORT]] = True
     return np.packbits(heavy, bitorder="little")
 
 
-def candidate_keys(streams: DataFrame, held: Any) -> DataFrame:
-    """(key): distinct Apriori-safe keys in heavy buckets. held: (levels, bits of the buckets)."""
+def safe_keys(streams: DataFrame, held: Any, buckets: int, counted: bool = False) -> DataFrame:
+    """Distinct Apriori-safe keys in heavy buckets (key), or with their counts, of those that reach the support (key, n).
+    held: (levels, bits of the buckets). Distinct keys travel as sorted arrays, a row for each task and range of hashes, and
+    are united in a tree; a range is small at any size, as there are more of them in a larger corpus."""
 
-    def some(ids: np.ndarray) -> np.ndarray:
-        keys = np.unique(next_keys(ids, held.value[0]))
-        b = bucket_of(keys)
+    def heavy(keys: np.ndarray) -> np.ndarray:
+        b = bucket_of(keys, buckets)
         return keys[held.value[1][b >> 3] >> (b & 7).astype(np.uint8) & 1 == 1]
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a task hands a key on once, as long as its keys are few
+        for more in _gathered(batches, lambda ids: heavy(next_keys(ids, held.value[0]))):
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.ones(len(more), np.int64)]), len(keys)).astype(np.int64)
+            if len(keys) > KEYS:
+                yield keys, n
+                keys, n = keys[:0], n[:0]
+        yield keys, n
+
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys in _gathered(batches, some):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys).view(np.int64))], names=["key"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    if counted:
+        return streams.mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    ranges = max(1, buckets >> 16)
+
+    @tidy
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId()
+        for keys, _ in gathered(batches):
+            where = bucket_of(keys, ranges)
+            order = np.argsort(where, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(keys) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(where[part[:1]], pa.int32()), pa.array([node], pa.int32()), pa.array([keys[part].tobytes()], pa.binary())], names=["piece", "node", "keys"])
+
+    def unite(group: pa.Table) -> pa.Table:
+        keys = np.unique(np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64))
+        give_back()
+        return pa.table({"piece": group["piece"][:1], "node": group["node"][:1], "keys": pa.array([keys.tobytes()], pa.binary())})
+
+    @tidy
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in batch.column("keys"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64))], names=["key"])
 
-    return streams.mapInArrow(run, "key long").distinct()
+    schema, leaves = "piece int, node int, keys binary", streams.rdd.getNumPartitions()
+    parts = streams.mapInArrow(arrays, schema)
+    while True:
+        leaves = -(-leaves // FAN)
+        parts = parts.withColumn("node", F.expr(f"cast(node div {FAN} as int)")).groupBy("piece", "node").applyInArrow(unite, schema)
+        if leaves <= 1:
+            return parts.mapInArrow(spelled, "key long")
 
 
 def count_slots(streams: DataFrame, held: Any) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +352,7 @@ def count_slots(streams: DataFrame, held: Any) -> tuple[np.ndarray, np.ndarray]:
             counts += np.bincount(slot[slot >= 0], minlength=len(counts))
         yield from pieces(counts)
 
+    @tidy
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -314,30 +365,40 @@ def count_slots(streams: DataFrame, held: Any) -> tuple[np.ndarray, np.ndarray]:
 
 
 def phrase_levels(streams: DataFrame, words: Level, slots: int) -> list[Level] | None:
-    """Frequent phrases of 1 to LONGEST words; None where a level has more than `slots` candidates."""
-    spark, levels = streams.sparkSession, [words]
+    """Frequent phrases of 1 to LONGEST words; None where a level has more than `slots` of them."""
+    share, levels = streams.sparkSession.sparkContext.broadcast, [words]
+    buckets = int(np.clip(1 << int(words.count.sum() // 4).bit_length(), PIECE, BUCKETS))
     for _ in range(2, LONGEST + 1):
         scratch: list[str] = []
-        share = lambda value: spark.sparkContext.broadcast(value)
         with owned(scratch):
             held = share(levels)
-            bits = heavy_buckets(streams, held)
+            bits = heavy_buckets(streams, held, buckets)
             held.destroy()
             held = share((levels, bits))
-            keys = materialize(candidate_keys(streams, held), "candidates")
-            many = keys.count() > slots
-            hashed = None if many else PerfectHash(keys.toArrow()["key"].to_numpy().view(np.uint64))
+            keys = materialize(safe_keys(streams, held, buckets), "candidates")
+            if few := keys.count() <= slots:
+                hashed = PerfectHash(_unsigned(keys.toArrow()["key"]))
+                arrays = share((levels, hashed))
+                slot, n = count_slots(streams, arrays)
+                arrays.destroy()
+                level = Level.of(hashed.keys[slot], n)
+            else:  # too many for arrays: their counts come in rows
+                keys = materialize(safe_keys(streams, held, buckets, counted=True), "counted")
+                if few := keys.count() <= slots:
+                    got = keys.toArrow()
+                    level = Level.of(_unsigned(got["key"]), got["n"].to_numpy())
             held.destroy()
-            delete(spark, scratch)
-        if hashed is None:
+            delete(streams.sparkSession, scratch)
+        if not few:
             return None
-        held = share((levels, hashed))
-        slot, n = count_slots(streams, held)
-        held.destroy()
-        levels = [*levels, Level.of(hashed.keys[slot], n)]
+        levels = [*levels, level]
     return levels
 
 
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
 def words_of(levels: list[Level], k: int, slot: np.ndarray) -> list[np.ndarray]:
     """Numbers of the words of phrases of k words."""
     out: list[np.ndarray] = []
@@ -364,6 +425,7 @@ def read_cuts(spark: SparkSession, levels: list[Level], vocabulary: DataFrame) -
     rows = spark.range(0, sum(sizes[1:])).withColumnRenamed("id", "row")
     firsts = np.cumsum([0, *sizes[1:]]).tolist()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
@@ -451,9 +513,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     levels = None
     if vocabulary is not None:
         own = vocabulary.select("low", "high", "n").toArrow()  # at most `slots` rows
-        low = own["low"].to_numpy().view(np.uint64)
+        low = _unsigned(own["low"])
         if len(np.unique(low)) == len(low):
-            words = Level.of(low, own["n"].to_numpy(), own["high"].to_numpy().view(np.uint64))
+            words = Level.of(low, own["n"].to_numpy(), _unsigned(own["high"]))
             inner: list[str] = []
             held = spark.sparkContext.broadcast(words)
             with owned(inner):
@@ -466,6 +528,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
     else:
         held = spark.sparkContext.broadcast(levels[0].slot)
 
+        @tidy
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), pa.array(held.value.find(b.column("low").to_numpy().view(np.uint64)))], names=["lang", "word", "number"])
@@ -482,11 +545,13 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: i
 def with_keys(words: DataFrame) -> DataFrame:
     """(lang, word, n, low, high): the two halves of each word's key."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = [key_of(x, w.encode()) for x, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), strict=True)]
-            half = lambda shift: pa.array(np.array([k >> shift & 0xFFFFFFFFFFFFFFFF for k in key], np.uint64).view(np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("n"), half(0), half(64)], names=["lang", "word", "n", "low", "high"])
+            for lang in pc.unique(b.column("lang")).to_pylist():
+                own = b.filter(pc.equal(b.column("lang"), lang))
+                half = [pa.array(h.view(np.int64)) for h in keys_of(lang, [w.encode() for w in own.column("word").to_pylist()])]
+                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("word"), own.column("n"), *half], names=["lang", "word", "n", "low", "high"])
 
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n long, low long, high long")
 

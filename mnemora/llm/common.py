@@ -91,6 +91,14 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     return got
 
 
+def give_back() -> None:
+    """Free memory of this worker's allocators goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that gives its task's memory back to the system at its end. Workers live on and wait for other
     work, several an executor; what they leave in their allocators would count beside that of the tasks that run."""
@@ -98,10 +106,7 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     @wraps(f)
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 
