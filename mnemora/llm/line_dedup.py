@@ -9,10 +9,9 @@ A template without a fixed word (a line of numbers) is no template. Else it recu
 `min_docs` copy classes: copies of one document, however many, count once, and are the business of document dedup. Copy
 classes come from sketches, so that no texts are moved for them: the least hash of a document's `WINDOW`-byte windows in
 each of `BINS` classes of hashes (one-permutation minwise hashing). Equal sketches are one node, named by its hash. Nodes
-that share a band of bins are held against the one of the smallest name, and are its copies if `ALIKE` of the bins agree;
-those that aren't are held against the smallest of them, and so on until none is left. So classes depend on texts alone, not
-on how the input is split. A passage that fills half of two documents makes a third of their bins agree. Only documents
-that hold a template of `min_docs` documents have a say.
+that share a band of bins are held against the one of the smallest name, and are its copies if `ALIKE` of the bins agree. So
+classes depend on texts alone, not on how the input is split. A passage that fills half of two documents makes a third of
+their bins agree. Only documents that hold a template of `min_docs` documents have a say.
 Lines of recurring templates are dropped, in passages of any number of lines and lines of any number of words.
 """
 
@@ -94,16 +93,11 @@ def copy_classes(docs: DataFrame) -> DataFrame:
             same = ((x == y) & full).sum(1) >= ALIKE * full.sum(1)
             yield batch.select(["a", "b"]).filter(pa.array(same))
 
-    left, links = some.select("node", F.explode("bands").alias("key")), None
-    while True:
-        first = left.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        pairs = materialize(left.join(first.hint("merge"), "key").where("node <> a").select("key", "a", F.col("node").alias("b")), "lines-pairs")
-        met = pairs.select("a", "b").distinct().join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-        near = materialize(met.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "lines-links")
-        links = near if links is None else links.union(near)
-        left = pairs.join(near.hint("merge"), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
-        if pairs.isEmpty():
-            break
+    bands = some.select("node", F.explode("bands").alias("key"))
+    first = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = bands.join(first.hint("merge"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    met = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    links = met.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
     label = components(links, "lines-classes")
     return named.select("row", "node").join(label.hint("merge"), "node", "left").select("row", F.coalesce("label", "node").alias("comp"))
 
