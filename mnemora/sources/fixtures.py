@@ -22,6 +22,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def memories(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     """memory_items from `documents`: types, times, flags and counts by arithmetic on doc_id; entities from the first tokens; vectors by hashed_bow."""
     d = read(spark, sf_dir, "documents")
+    if vectors:  # a small table is one row group, so one task would embed all of it
+        d = d.repartition(max(spark.sparkContext.defaultParallelism, d.rdd.getNumPartitions()))
     n = F.col("doc_id")
     kind = F.when(n % 97 == 0, "foundation").otherwise(F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (n % 10).cast("int") + 1))
     named = F.array_sort(F.array_distinct(F.slice(F.filter(tokenize(F.col("text")), lambda t: F.octet_length(t) > 3), 1, 8)))
