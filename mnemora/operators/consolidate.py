@@ -25,9 +25,10 @@ from mnemora.functions.sketch import reservoir
 from mnemora.functions.text import STOPWORDS
 from mnemora.functions.vector import dot, unit
 from mnemora.operators import graph
+from mnemora.operators.asof import with_era
 from mnemora.operators.greedy import bursts, first_independent, fold_pairs, numbered
 from mnemora.operators.ranges import SMALL
-from mnemora.operators.segment import era_of, merge_micro, segmented
+from mnemora.operators.segment import merge_micro, segmented
 from mnemora.operators.similarity import connected, cut_lineage, neighbor_sums, similar_pairs, unit_rows
 from mnemora.plans.config import DAY, Config
 from mnemora.sources.store import cascade_delete, insert_ignore, replace_edges
@@ -51,11 +52,6 @@ def summarize(texts: list[str], most: int = 3) -> str:
     return f"Summary of {len(texts)} related memories: {' / '.join(texts[i] for i in best)}" if texts else ""
 
 
-def _starts(s: State) -> list[int]:
-    """Starts of the eras (a few hundred at most, as each spans days)."""
-    return [r[0] for r in s["epochs"].select("started_at").orderBy("started_at").collect()]
-
-
 def _components(pairs: DataFrame) -> DataFrame:
     """(id, component, size) of the rows of pairs."""
     label = connected(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), pairs)
@@ -133,7 +129,7 @@ def merge_fold(mem: DataFrame, kept: DataFrame, now: int) -> DataFrame:
 def merge_duplicates(s: State, c: Config, now: int) -> State:
     """Near rows of one era fold into the foundation, else the more important, else the newer one of a pair. All duplicates of a keeper are folded, and their links stay as records."""
     mem = s["memory_items"]
-    live = mem.where("embedding is not null and memory_type <> 'archive'").withColumn("era", era_of(F.col("created_at"), _starts(s))).select("id", "created_at", "memory_type", "importance_score", "embedding", "era", F.lit(c.consolidation.duplicate).alias("low"))
+    live = with_era(mem.where("embedding is not null and memory_type <> 'archive'"), s["epochs"]).select("id", "created_at", "memory_type", "importance_score", "embedding", "era", F.lit(c.consolidation.duplicate).alias("low"))
     kept = keepers(live, similar_pairs(live, c.consolidation.duplicate, within="era"))
     rest, links, edges = cascade_delete(mem, s["memory_links"], s["memory_edges"], kept.select("id"))
     merged = rest.join(kept.select(F.col("keeper").alias("id")).distinct(), "id", "left_anti").select(*mem.columns).unionByName(merge_fold(mem, kept, now))
@@ -171,7 +167,7 @@ def collapse_bursts(s: State, c: Config, now: int, summarizer: Summarizer = summ
     mem, k, p = s["memory_items"], c.consolidation, c.neighbors
     oldest = mem.agg(F.min("created_at")).first()[0]
     span = max(1.0, max(0, now - (oldest if oldest is not None else now)) / DAY)
-    live = mem.where("memory_type in ('raw_event', 'episodic') and not pinned and not stale and embedding is not null").withColumn("era", era_of(F.col("created_at"), _starts(s)))
+    live = with_era(mem.where("memory_type in ('raw_event', 'episodic') and not pinned and not stale and embedding is not null"), s["epochs"])
     pairs = similar_pairs(live, p.similarity, within="era")
     drawn = burst_members(live.select("id", "created_at", "embedding", "era", F.lit(p.similarity).alias("low")), pairs, k.burst_min, p.tight, span)
     rows = live.select("id", "created_at", "content", "topic", "embedding").join(drawn, "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import text as x
 from mnemora.operators import consolidate as co
 from mnemora.operators import graph, retrieve
+from mnemora.operators.asof import asof, with_era
 from mnemora.operators.segment import segment_streams
 from mnemora.operators.similarity import similar_pairs
 from mnemora.plans.config import DAY, Config, Segment
@@ -266,3 +267,18 @@ def _l5(s: SparkSession, d: str) -> DataFrame:
     return graph.maximal_paths(reach, 10_000).select(F.array_join("path", ">").alias("path"), "depth")
 
 
+@query("j16_asof", "SELECT e.event_id, p.event_id AS purchase_id, p.value AS value FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE p.event_id IS NOT NULL")
+def _j16(s: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's last purchase at or before it."""
+    e = fx.read(s, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    marks = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    got = asof(e.select("event_id", "ts", "user_id"), marks, "ts", ["user_id"], ["purchase_id", "paid"])
+    return got.where("purchase_id is not null").select("event_id", "purchase_id", F.col("paid").alias("value"))
+
+
+@query("j13_many_eras", f"SELECT m.id, coalesce(o, 0)::INT AS era FROM mem m ASOF LEFT JOIN (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS o FROM (SELECT DISTINCT floor(epoch(ts))::BIGINT AS ts FROM events)) s ON m.created_at >= s.ts", MEM)
+def _j13b(s: SparkSession, d: str) -> DataFrame:
+    """J13 with as many era starts as there are times of events."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    epochs = fx.read(s, d, "events").select(at.alias("started_at")).distinct()
+    return with_era(fx.memories(s, d).select("id", "created_at"), epochs).select("id", "era")
