@@ -56,6 +56,18 @@ def count_min_estimate(keys: DataFrame, key: str, sketch: DataFrame, width: int
     return got.groupBy(key).agg(F.min(F.coalesce("c", F.lit(0))).alias("estimate"))
 
 
+def count_min_settled(df: DataFrame, key: str, width: int = 2048, depth: int = 4) -> DataFrame:
+    """(key, estimate) of each key of df from its sketch, with the true count at any load: the estimate of a key that has a
+    cell for itself is its count; keys all of whose cells are shared may have too large ones, and are counted from their rows."""
+    keys = df.select(key).distinct()
+    about = count_min_estimate(keys, key, count_min_build(df, key, width, depth), width, depth)
+    cells = F.array(*[F.struct(F.lit(r).alias("row"), F.pmod(seeded_hash(100 + r, F.col(key)), F.lit(width)).alias("cell")) for r in range(depth)])
+    alone = keys.select(key, F.explode(cells).alias("x")).groupBy("x.row", "x.cell").agg(F.count("*").alias("n"), F.min(key).alias("own")).where("n = 1").select("own").distinct()
+    crowded = keys.join(alone, keys[key].eqNullSafe(alone["own"]), "left_anti").select(F.col(key).alias("_k"))
+    true = df.join(crowded, F.col(key).eqNullSafe(F.col("_k")), "left_semi").groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    return about.join(true, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, F.coalesce("_n", "estimate").alias("estimate"))
+
+
 def hll(column: Column, p: int = 12) -> Column:
     """A HyperLogLog state; merge with hll_union_agg, read with hll_sketch_estimate."""
     return F.hll_sketch_agg(column, F.lit(p))
