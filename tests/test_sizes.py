@@ -25,3 +25,36 @@ def test_crowded_count_min_sketch_is_settled(spark):
     assert {r["k"]: r["estimate"] for r in about.collect()} != true
     assert {r["k"]: r["estimate"] for r in sketch.count_min_settled(rows, "k", 256, 2).collect()} == true
     assert {r["k"]: r["estimate"] for r in sketch.count_min_settled(rows, "k", 2, 1).collect()} == true
+
+
+def test_vectors_are_written_once(spark, tmp_path, monkeypatch):
+    """However many blocks there are, a row is in one of them, and results are those of brute force."""
+    import numpy as np
+
+    from mnemora.operators import similarity as sm
+
+    written = []
+    monkeypatch.setattr(sm, "store", lambda *a, was=sm.store: (written.append(was(*a)), written[-1])[1])
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, (120, 6)).astype(float)
+    v[60:70] = v[0]
+    df = spark.createDataFrame([(f"k{i}", x.tolist(), int(i % 7)) for i, x in enumerate(v)], "id string, embedding array<double>, at long")
+    u = sm.unit_rows(list(v))
+    g = u @ u.T
+    pairs = {(i, j) for i in range(120) for j in range(i + 1, 120) if g[i, j] >= 0.83}
+    names = {tuple(sorted((f"k{i}", f"k{j}"))) for i, j in pairs}
+    assert {(r["a"], r["b"]) for r in sm.similar_pairs(df, 0.83, block=16).collect()} == names
+    label = {r["id"]: r["component"] for r in sm.connected(df.select("id"), sm.linked(df, 0.83, block=16, side=2)).collect()}
+    whole = {r["id"]: r["component"] for r in sm.connected(df.select("id"), spark.createDataFrame(sorted(names), "a string, b string")).collect()}
+    assert label == whole
+    sums = {r["id"]: r for r in sm.neighbor_sums(df, 0.83, "at", block=16).collect()}
+    for i in range(120):
+        others = [j for j in range(120) if j != i]
+        near = [j for j in others if g[i, j] >= 0.83]
+        r = sums[f"k{i}"]
+        assert abs(r["best"] - max(0.0, *(g[i, j] for j in others))) < 1e-9
+        assert (r["near"], r["first"], r["last"]) == (len(near), min((j % 7 for j in near), default=None), max((j % 7 for j in near), default=None))
+    for b in written:
+        rows = [n for g_ in b.groups.values() for _, n in g_]
+        assert len(rows) > 4 and sum(rows) == 120
+        assert spark.read.parquet(b.path).count() == 120
