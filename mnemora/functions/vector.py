@@ -37,6 +37,10 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x / n).cast("float"))).otherwise(F.transform(a, lambda x: x.cast("float")))
 
 
+#: Characters of tokens that an embedding task splits at once.
+RUN_CHARS = 1_000_000
+
+
 @lru_cache(maxsize=200_000)
 def _place(token: str, dim: int) -> tuple[int, float]:
     """Bucket and sign of a token: 60 bits of its MD5, the top one the sign."""
@@ -68,14 +72,31 @@ def bags(texts: list[list[str] | None], dim: int) -> np.ndarray:
 
 
 def hashed_bow(text: Column, dim: int = 256) -> Column:
-    """Hashed bag-of-words of tokenize(text), of unit length (zero without tokens). Tokens come from the JVM; one Arrow call a batch sums them."""
+    """Hashed bag-of-words of tokenize(text), of unit length (zero without tokens). Tokens come from the JVM in one string a row
+    (none holds a blank); a batch is split and summed in runs of about RUN_CHARS, so memory doesn't grow with a batch's words."""
 
     @F.pandas_udf("array<double>")
     def embed(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in tokens:
-            yield pd.Series(list(bags(list(batch), dim)))
-
-    return embed(tokenize(text))
+            out = []
+            for run in runs(list(batch)):
+                out.extend(bags([t.split(" ") if t else None for t in run], dim))
+            yield pd.Series(out)
+
+    return embed(F.array_join(tokenize(text), " "))
+
+
+def runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about RUN_CHARS in all; a longer one is a run of its own."""
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and total + n > RUN_CHARS:
+            yield texts[start:i]
+            start, total = i, 0
+        total += n
+    if texts[start:]:
+        yield texts[start:]
 
 
 def encode_vector(vector: Column) -> Column:

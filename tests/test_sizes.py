@@ -58,3 +58,18 @@ def test_vectors_are_written_once(spark, tmp_path, monkeypatch):
         rows = [n for g_ in b.groups.values() for _, n in g_]
         assert len(rows) > 4 and sum(rows) == 120
         assert spark.read.parquet(b.path).count() == 120
+
+
+def test_embedding_splits_few_words_at_a_time(spark):
+    """A batch of many words is embedded in runs, with the vectors of each text alone."""
+    import numpy as np
+
+    from mnemora.functions import vector
+
+    texts = ["apple pear " * 60_000, None, "", "one", "plum " * 250_000, "fig kiwi fig"] + [f"word{i} tree" for i in range(50)]
+    assert [len(r) for r in vector.runs([t * 2 if t else t for t in texts])] != [len(texts)]
+    assert sum(vector.runs(texts), []) == texts
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r["id"]: r["v"] for r in df.select("id", vector.hashed_bow(F.col("text"), 64).alias("v")).collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], vector.bag((t or "").split(), 64))
