@@ -13,7 +13,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -370,15 +370,21 @@ def modal_dimension(memories: DataFrame) -> DataFrame:
     return memories.join(F.broadcast(best), size == F.col("d"), "left_semi")
 
 
-def summarize_clusters(s: State, c: Config, now: int, summarizer: Summarizer = summarize) -> State:
-    """Events of the episodic stream with three or more rows get a semantic summary, linked to its sources."""
-    mem = s["memory_items"]
+def event_summaries(mem: DataFrame, c: Config, summarizer: Summarizer = summarize) -> tuple[DataFrame, DataFrame]:
+    """The episodic stream's rows (id, event, ...) in events of enough rows, and (event, size, most, summary, topic) of each such event."""
     live = modal_dimension(mem.where("memory_type = 'episodic' and not stale and embedding is not null"))
     rows = stream_events(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), c)
     large = rows.groupBy("event").agg(F.count("*").alias("size"), F.max("importance_score").alias("most")).where(F.col("size") >= c.consolidation.cluster_min)
     rows = rows.join(large, "event")
-    told = cut_lineage(large.join(summaries(rows, "event", summarizer), "event").join(modal_by(rows, "event", "topic"), "event", "left"))
-    found = told.select("event", F.col("summary").alias("content"), "topic", F.lit(now).alias("at"), F.greatest(F.lit(0.6), "most").alias("importance_score"), F.least(F.lit(1.0), F.col("size") / 10).alias("recurrence_score"))
+    return rows, cut_lineage(large.join(summaries(rows, "event", summarizer), "event").join(modal_by(rows, "event", "topic"), "event", "left"))
+
+
+def summarize_clusters(s: State, c: Config, now: int, summarizer: Summarizer = summarize) -> State:
+    """Events of the episodic stream with three or more rows get a semantic summary, linked to its sources. Events whose
+    summaries are equal share one row."""
+    mem = s["memory_items"]
+    rows, told = event_summaries(mem, c, summarizer)
+    found = told.select("event", F.col("summary").alias("content"), "topic", F.lit(now).alias("at"), importance_of_event().alias("importance_score"), recurrence_of_event().alias("recurrence_score"))
     new = _derived(found.withColumn("memory_type", F.lit("semantic")), mem, now)
     fresh = new.join(mem.select("content_hash"), "content_hash", "left_anti")
     found = found.join(rows.select("event", F.col("id").alias("target_id")), "event")
@@ -386,6 +392,14 @@ def summarize_clusters(s: State, c: Config, now: int, summarizer: Summarizer = s
     return s | {"memory_items": insert_ignore(mem, new, ["content_hash"]), "memory_links": insert_ignore(s["memory_links"], links, ["source_id", "target_id", "relation"])}
 
 
+def importance_of_event() -> Column:
+    return F.greatest(F.lit(0.6), F.col("most"))
+
+
+def recurrence_of_event() -> Column:
+    return F.least(F.lit(1.0), F.col("size") / 10)
+
+
 def promote_recurring(s: State, c: Config, now: int) -> State:
     """Episodic rows that are read often become semantic."""
     mem = s["memory_items"]

@@ -84,7 +84,7 @@ def cut_score(units: np.ndarray, p: int, left: int, right: int, half: int) -> fl
     """How well a cut at p parts its surroundings: alike within the sides, unlike across."""
     a, b = max(p - half, left, 0), min(p + half, right)
     cross = float(np.clip(units[a:p] @ units[p:b].T, -1, 1).mean()) if a < p < b else 0.0
-    return _within(units, a, p) + _within(units, p, b) - cross
+    return round(_within(units, a, p) + _within(units, p, b) - cross, 9)  # equal ones stay equal in any order of sums
 
 
 def settle(b: int, before: int, after: int, n: int, units: np.ndarray, c: Segment, first: int = 0) -> int | None:
