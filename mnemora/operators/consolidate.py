@@ -385,8 +385,8 @@ def modal_dimension(memories: DataFrame) -> DataFrame:
 
 def event_summaries(mem: DataFrame, c: Config, summarizer: Summarizer = summarize) -> tuple[DataFrame, DataFrame]:
     """The episodic stream's rows (id, event, ...) in events of enough rows, and (event, size, most, summary, topic) of each such event."""
-    live = modal_dimension(mem.where("memory_type = 'episodic' and not stale and embedding is not null"))
-    rows = stream_events(live.select("id", "content", "topic", "created_at", "importance_score", "embedding"), c)
+    live = mem.where("memory_type = 'episodic' and not stale and embedding is not null").select("id", "content", "topic", "created_at", "importance_score", "embedding")
+    rows = stream_events(modal_dimension(stored(live)), c)
     large = rows.groupBy("event").agg(F.count("*").alias("size"), F.max("importance_score").alias("most")).where(F.col("size") >= c.consolidation.cluster_min)
     rows = rows.join(large, "event")
     return rows, cut_lineage(large.join(summaries(rows, "event", summarizer), "event").join(modal_by(rows, "event", "topic"), "event", "left"))
@@ -577,8 +577,9 @@ def era_spans(events: DataFrame, least: int, least_days: float) -> list[tuple[in
 
 def eras(memories: DataFrame, c: Config, summarizer: Summarizer = summarize) -> DataFrame:
     """C15, T10s: eras of the active embedded rows of the most common vector size."""
-    live = modal_dimension(memories.where("memory_type <> 'archive' and embedding is not null"))
-    rows = stream_events(live.select("id", "content", "topic", "created_at", "salience", "embedding"), c)
+    live = memories.where("memory_type <> 'archive' and embedding is not null").select("id", "content", "topic", "created_at", "salience", "embedding")
+    live = modal_dimension(stored(live))  # read several times
+    rows = stream_events(live, c)
     events = cut_lineage(rows.groupBy("event").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"), F.min("created_at").alias("first"), F.max("created_at").alias("last")))
     spans = era_spans(events, c.consolidation.epoch_min, c.consolidation.epoch_min_days)
     ends = [b for _, b in spans]
