@@ -3,11 +3,15 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemora.functions import scoring as m
+from mnemora.functions import text as x
 from mnemora.functions.text import tokenize
-from mnemora.functions.vector import hashed_bow
+from mnemora.functions.vector import cosine, hashed_bow
 from mnemora.operators import graph, retrieve
 from mnemora.operators.similarity import cut_lineage, knn, similar_pairs
 from mnemora.plans.config import Config, Spreading
@@ -44,6 +48,39 @@ def test_batch_is_each_query_alone(spark, store, spreading, block):
     assert none.count() == 0
 
 
+def test_rows_are_embedded_once(spark, store):
+    """However many blocks of queries there are."""
+    mem, edges = store
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def counted(v: pd.Series) -> pd.Series:
+        made.add(len(v))
+        return v
+
+    asks = mem.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"), tokenize("content").alias("tokens"))
+    got = retrieve.pools(mem.withColumn("embedding", counted("embedding")), asks, 5, block=4)
+    assert got.count() == 5 * mem.count() and made.value == mem.count()
+
+
+def test_pools_are_those_of_all_pairs(spark):
+    """Copies, texts without words, other sizes of vectors, and none: ties go to the earlier row, then the smaller id."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(r.choice(WORDS, r.integers(1, 12))) for _ in range(60)]
+    rows = [{"id": f"m{i:03d}", "content": "" if i % 41 == 0 else texts[i % 60], "days": float(i % 5), "topic": WORDS[i % 7] if i % 3 else None, "entities": [WORDS[i % 9]], "tags": [f"session:{i % 3}", WORDS[i % 4]]} for i in range(300)]
+    v = F.when(F.col("id") != "m007", F.when(F.col("id") == "m009", F.array(F.lit(1.0))).otherwise(hashed_bow(F.col("content"), 32)))
+    mem = cut_lineage(memory(spark, rows).withColumn("embedding", v))
+    asks = cut_lineage(mem.where("substr(id, 3) % 4 = 1 and id not in ('m009')").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), tokenize("content").alias("tokens")))
+    held = mem.select("id", "created_at", "embedding", "content", "tags", "topic", "entities")
+    q = asks.crossJoin(held)
+    t = F.col("tokens")
+    rel = m.candidate_relevance(cosine(F.col("embedding"), F.col("vector")), x.keyword_overlap(t, F.col("content"), F.col("tags"), F.col("topic"), F.col("entities")), x.entity_overlap(t, F.col("topic"), F.col("entities")))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rel"), "created_at", "id"))
+    want = q.withColumn("rel", F.round(F.coalesce(rel, F.lit(0.0)), 9)).withColumn("n", place).where("n <= 20")
+    key = lambda df, c: {(a["query_id"], a["id"], a[c]) for a in df.collect()}
+    assert key(retrieve.pools(held, asks, 20, block=16), "relevance") == key(want, "rel")
+
+
 def test_spreading_apart(spark, store):
     adj = graph.adjacency(store[1])
     seeds = spark.createDataFrame([(q, f"m{i:02d}", 1.0) for q in range(3) for i in (q * 2, q * 2 + 8)], "q int, id string, strength double")
