@@ -119,6 +119,17 @@ class Blocks:
         """Tickets that hold each block against all of its group, at most `most` at a time."""
         return [([a], [n for n, _ in blocks[s : s + most]]) for blocks in self.groups.values() for a, _ in blocks for s in range(0, len(blocks), most)]
 
+    def earlier(self, most: int, at: str) -> list[tuple[list[str], list[str]]]:
+        """Tickets that hold each block against all blocks whose least `at` isn't beyond its largest, at most `most` at a time."""
+        spans = self.spark.read.schema(f"{at} bigint, block string").parquet(self.path).groupBy("block").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+        span = {r["block"]: (r["low"], r["high"]) for r in spans.collect()}  # a row a block
+        names = [n for blocks in self.groups.values() for n, _ in blocks]
+        out = []
+        for a in names:
+            held = [n for n in names if span[n][0] <= span[a][1]]
+            out += [([a], held[s : s + most]) for s in range(0, len(held), most)]
+        return out
+
     def runs(self, most: int) -> list[list[str]]:
         """Names of the blocks of each group, at most `most` at a time."""
         return [[n for n, _ in blocks[s : s + most]] for blocks in self.groups.values() for s in range(0, len(blocks), most)]

@@ -11,7 +11,8 @@ from mnemora.functions import text as x
 from mnemora.functions.extract import parsed
 from mnemora.functions.sketch import bloom_build, bloom_contains
 from mnemora.functions.vector import Provider, provider
-from mnemora.operators.similarity import cut_lineage, neighbor_sums
+from mnemora.operators.blocks import stored
+from mnemora.operators.similarity import neighbor_sums
 
 CHUNK, OVERLAP = 550, 80
 
@@ -21,11 +22,16 @@ def chat_request(session: str, text: Column, role: Column, at: Column) -> list[C
     return [text.alias("text"), F.lit("chat").alias("source"), F.array(F.lit(f"session:{session}")).alias("tags"), F.when(role == "assistant", "raw_event").alias("memory_type"), F.lit(session).alias("session_id"), role.alias("role"), at.alias("arrival_ts")]
 
 
+def _said() -> Column:
+    """That a text isn't empty once it is normalized."""
+    return F.col("text").rlike("(?U)\\S")
+
+
 def prepare(requests: DataFrame, embed: Provider | None = None) -> DataFrame:
     """Requests with everything a row alone tells: hash, mode, candidates, type, keywords, topic, importance, vector. Empty texts go."""
     embed = embed or provider()
-    df = requests.where(x.normalize(F.col("text")) != "").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    df = df.withColumn("content", x.normalize(F.col("text"))).withColumn("content_hash", x.content_hash(F.col("text"))).withColumn("mode", x.input_mode(F.col("text")))
+    df = requests.where(_said()).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    df = df.withColumn("content", x.normalize(F.col("text"))).withColumn("content_hash", F.sha2(F.lower("content"), 256)).withColumn("mode", x.input_mode(F.col("text")))
     df = df.withColumn("parse", parsed(F.col("text"), F.col("mode"))).withColumn("long", x.is_long(F.col("mode"))).withColumn("kinds", F.transform("parse.candidates", lambda c: c["candidate_type"]))
     df = df.withColumn("memory_type", F.coalesce("memory_type", m.inferred_type(F.col("kinds"), F.col("long")))).withColumn("entities", x.keywords(F.col("content"), 8))
     df = df.withColumn("topic", x.guess_topic(F.col("tags"), F.col("entities")))
@@ -36,16 +42,17 @@ def prepare(requests: DataFrame, embed: Provider | None = None) -> DataFrame:
 
 
 def split_arrivals(prepared: DataFrame, memories: DataFrame, warm: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(first arrivals of new hashes, (content_hash, times, last) of all repeats). Hashes are pre-aggregated, so a text that arrives very often is no hot window."""
+    """(first arrivals of new hashes, (content_hash, times, last) of all repeats). Rows of a hash are pre-aggregated, first arrivals with
+    their columns, so a text that arrives very often is no hot window."""
     order = F.struct("arrival_ts", F.coalesce("session_id", F.lit("")).alias("s"), F.col("text").alias("t"))
-    seen = prepared.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("arrival_ts").alias("last"), F.min(order).alias("o"))
+    seen = prepared.groupBy("content_hash").agg(F.count("*").alias("n"), F.max("arrival_ts").alias("last"), F.min_by(F.struct(*prepared.columns), order).alias("first"))
     known = memories.select("content_hash").distinct().withColumn("known", F.lit(1))
     if warm is None:
         seen = seen.join(known, "content_hash", "left")
     else:  # what the filter doesn't hold is new for certain
         asked = bloom_contains(seen, "content_hash", warm[0], warm[1])
         seen = asked.where("maybe").drop("maybe").join(known, "content_hash", "left").unionByName(asked.where("not maybe").drop("maybe").withColumn("known", F.lit(None).cast("int")))
-    fresh = prepared.join(seen.where("known is null").select("content_hash", F.col("o.arrival_ts").alias("arrival_ts"), F.col("o.t").alias("text"), F.col("o.s").alias("s")), ["content_hash", "arrival_ts", "text"]).where(F.coalesce("session_id", F.lit("")) == F.col("s")).drop("s").dropDuplicates(["content_hash"])
+    fresh = seen.where("known is null").select("first.*")
     again = seen.select("content_hash", (F.col("n") - F.when(F.col("known").isNull(), 1).otherwise(0)).alias("times"), "last").where("times > 0")
     return fresh, again
 
@@ -63,9 +70,9 @@ def ingest(requests: DataFrame, memories: DataFrame, embed: Provider | None = No
     novelty, 1 less the largest cosine to a stored row or an earlier one of the batch, times relevance.
     `warm` (K2): a Bloom filter of the stored hashes, of warm_filter(); hashes that it doesn't hold skip the join with the store.
     """
-    ready = prepare(requests, embed)
+    ready = requests.where(_said()).withColumn("content_hash", x.content_hash(F.col("text")))
     fresh, again = split_arrivals(ready, memories, warm)
-    fresh = cut_lineage(fresh)
+    fresh = stored(prepare(fresh, embed))  # only what is new is parsed and embedded, and once
     novelty = neighbor_sums(memories.select("content_hash", "created_at", "embedding"), 2.0, "created_at", "content_hash", queries=fresh.select("content_hash", F.col("arrival_ts").alias("created_at"), "embedding"))
     fresh = fresh.join(novelty.select(F.col("id").alias("content_hash"), "best"), "content_hash", "left").withColumn("novel", m.provisional_salience(F.coalesce("best", F.lit(0.0)), F.col("relevance")))
     ident = x.new_id("mem", F.col("content_hash"))
