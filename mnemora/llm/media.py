@@ -75,17 +75,30 @@ def feature(pcm: np.ndarray) -> str:
     return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};peak={int(np.abs(x).max()) if len(x) else 0}"
 
 
-def read_back(df: DataFrame, media: str = "media") -> DataFrame:
+#: What read_back() tells of a stream and its payload.
+FACTS = {
+    "payload_bytes": (T.LongType(), lambda s, p: len(p)),
+    "payload_sha256": (T.StringType(), lambda s, p: hashlib.sha256(p).hexdigest()),
+    "tail_crc32": (T.LongType(), lambda s, p: zlib.crc32(p[-ALIGN:])),
+    "media_bytes": (T.LongType(), lambda s, p: len(s)),
+    "media_sha256": (T.StringType(), lambda s, p: hashlib.sha256(s).hexdigest()),
+    "feature": (T.StringType(), lambda s, p: feature(np.frombuffer(p, np.uint8))),
+}
+
+
+def read_back(df: DataFrame, media: str = "media", only: tuple[str, ...] = (*FACTS, "blocks")) -> DataFrame:
     """The input's columns but `media`, with what the stored streams hold once they are decoded and their checksums verified.
 
     payload_bytes, payload_sha256, tail_crc32 and feature are of the payload, media_bytes and media_sha256 of the stream;
     blocks are its PCM blocks in order (sample_offset, pcm as unsigned samples), so that a reader can begin at any of them.
-    A null stream gives nulls, a broken one raises; input columns with these names give way.
+    A null stream gives nulls, a broken one raises; input columns with these names give way. `only`: those of these columns
+    that are made; streams are decoded and verified whichever they are.
     """
     rest = [c for c in df.columns if c != media]
     base = df.select(F.struct(*([df[f"`{c}`"] for c in rest] or [F.lit(0).alias("_")])).alias("rec"), df[f"`{media}`"].alias("__media"))
     block = T.ArrayType(T.StructType([T.StructField("sample_offset", T.LongType()), T.StructField("pcm", T.BinaryType())]))
-    own = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("blocks", block)]
+    facts = {n: f for n, f in FACTS.items() if n in only}
+    own = [*[T.StructField(n, k) for n, (k, _) in facts.items()], *([T.StructField("blocks", block)] if "blocks" in only else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,18 +112,18 @@ def read_back(df: DataFrame, media: str = "media") -> DataFrame:
                 rows = []
                 for s, found in zip(streams, parts, strict=True):
                     p = b"".join(x for _, x in found).translate(FROM_SAMPLE)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ALIGN:]), len(s), hashlib.sha256(s).hexdigest(), feature(np.frombuffer(p, np.uint8))) if s is not None else (None,) * 6)
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                ends = np.cumsum([0, *map(len, parts)])
-                inner = pa.StructArray.from_arrays([pa.array([at for f in parts for at, _ in f], pa.int64()), pa.array([p for f in parts for _, p in f], pa.binary())], names=["sample_offset", "pcm"])
-                blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array([s is None for s in streams]))
-                yield pa.RecordBatch.from_arrays([batch.column("rec").slice(a, b - a), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], blocks], names=["rec", *[f.name for f in own]])
+                    rows.append([None if s is None else make(s, p) for _, make in facts.values()])
+                cols = [pa.array([r[i] for r in rows], pa.int64() if k == T.LongType() else pa.string()) for i, (k, _) in enumerate(facts.values())]
+                if "blocks" in only:
+                    ends = np.cumsum([0, *map(len, parts)])
+                    inner = pa.StructArray.from_arrays([pa.array([at for f in parts for at, _ in f], pa.int64()), pa.array([p for f in parts for _, p in f], pa.binary())], names=["sample_offset", "pcm"])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array([s is None for s in streams])))
+                yield pa.RecordBatch.from_arrays([batch.column("rec").slice(a, b - a), *cols], names=["rec", *[f.name for f in own]])
 
     return unpack(base.mapInArrow(run, T.StructType([base.schema["rec"], *own])), rest, **{f.name: f.name for f in own})
 
 
-def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_media(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = (*FACTS, "blocks")) -> DataFrame:
     """Every text of `documents` stored as FLAC in the shared folder and read back from there: sizes, digests, features and PCM blocks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_back(materialize(to_flac(docs), "media", "none"))
+    return read_back(materialize(to_flac(docs), "media", "none"), only=only)

@@ -40,7 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op5_media that SQL can check."""
-    return op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    checked = ("payload_bytes", "payload_sha256", "tail_crc32")
+    return op5_media(spark, sf_dir, checked).select("doc_id", "n_bytes", *checked)
 
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,17 @@ def test_media(docs, none):
     assert media.read_back(media.to_flac(none)).count() == 0
 
 
+def test_media_columns_asked_for(spark, docs):
+    stored = media.to_flac(docs.select("doc_id", "text").where("doc_id < 20")).cache()
+    only = ("payload_sha256", "tail_crc32")
+    got = media.read_back(stored, only=only)
+    assert got.columns == ["doc_id", "n_bytes", *only]
+    assert sorted(got.collect()) == sorted(media.read_back(stored).select(got.columns).collect())
+    broken = stored.limit(1).withColumn("media", F.expr("substr(media, 1, octet_length(media) - 2)"))
+    with pytest.raises(Exception):
+        media.read_back(broken, only=only).collect()
+
+
 def test_media_of_long_texts_and_clashes(spark):
     texts = ["é b " * 40_000, "x" * 131_009, "word and word " * 220_000, None]
     df = spark.createDataFrame([(i, t, 7, "old") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, feature string")
