@@ -196,6 +196,22 @@ def test_tokens_match_the_library():
         assert np.frombuffer(raw, memo.dtype).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_signs_after_words_are_pieces_of_their_own():
+    """Runs of signs at the ends of words are cut off before the memo is asked: a word is learnt once, whatever follows it."""
+    memo, tok = ChunkIds(default_path(), 2), tokenizer(default_path())
+    memo.encode(["Geber,$$$ geber*** GEBER!! geber'& geber".encode()])
+    assert {c for c in memo.new if c.startswith(b"geber")} == {b"geber"}
+    texts = [f"{chr(c)}. x" for c in range(128, 0x110000) if chr(c).isalpha()]  # every letter, those that become a letter and a mark too
+    for t, raw, want in zip(texts, memo.encode([t.encode() for t in texts]), tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, memo.dtype).tolist() == [*want.ids, 2], ascii(t)
+    rng = random.Random(6)
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    ends = [x + y + z for x in signs for y in ["", *rng.sample(signs, 5)] for z in ["", rng.choice(signs)]] + ["'s", "'s'", "'ll.", "\u0301!", "!\u0338", "5!!", "</w>", "<|end|>"]
+    texts = ["".join(rng.choice(["don", "É", "e\u0301", "İ", "Σ", "ß", "中", "\u0958", "\ufb2a", "a5", "9", ""]) + rng.choice(ends) + rng.choice([" ", "\n", "\t", "\x0b", "\u00a0", "  "]) for _ in range(40)) for _ in range(200)]
+    for t, raw in zip(texts, memo.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(raw, memo.dtype).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
+
+
 BASE = (re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
 
 
