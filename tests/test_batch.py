@@ -102,3 +102,23 @@ def test_nearest_are_those_of_all_pairs(spark):
     got = knn(df, 4, 0.2, digits=9, block=16)
     assert {(x["id"], x["other"]) for x in got.collect()} == want and got.where("rank > 4").count() == 0
     assert similar_pairs(df, 0.2, block=16).count() == sum(g[i, j] >= 0.2 for i in range(90) for j in range(i + 1, 90))
+
+
+def test_common_words_are_counted_for_whole_blocks():
+    """By a matrix product for words with a column, from the rows that have them for others; in runs, and with words that no query knows."""
+    r = np.random.default_rng(5)
+    lists = lambda n: [r.choice(60, r.integers(0, 25), replace=False) * 7 for _ in range(n)]
+    words = lambda rows: retrieve.Words(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate([*rows, []]).astype(np.int64))
+    asks, rows = lists(23), lists(31)
+    asks = [a[a < 280] for a in asks]
+    known = np.unique(words(asks).code)
+    own, every = words(asks).numbered(known), words(rows).numbered(known)
+    assert every.sizes.tolist() == [int(np.isin(x, known).sum()) for x in rows]
+    column = np.full(len(known), -1)
+    column[[3, 17, 5]] = [0, 1, 2]
+    (a, light), (b, rest) = retrieve.dense(own, column), retrieve.dense(every, column)
+    want = [[len(set(x) & set(y)) for y in rows] for x in asks]
+    for most in (1, 40, 1 << 20):
+        assert (retrieve.Postings.of(every, len(known)).shared(own, 0, 23, most) == want).all()
+        got = a[4:20] @ b.T + retrieve.Postings.of(rest, len(known)).shared(light, 4, 20, most)
+        assert (got == want[4:20]).all()
