@@ -122,3 +122,40 @@ def test_common_words_are_counted_for_whole_blocks():
         assert (retrieve.Postings.of(every, len(known)).shared(own, 0, 23, most) == want).all()
         got = a[4:20] @ b.T + retrieve.Postings.of(rest, len(known)).shared(light, 4, 20, most)
         assert (got == want[4:20]).all()
+
+
+def test_blocks_that_meet_once_serve_both():
+    """Sums and nearest of two blocks from one product of each pair: more rows than a byte counts, copies, rows without a time."""
+    import pyarrow as pa
+
+    from mnemora.operators import similarity as sm
+    from mnemora.operators.blocks import Rows, unit
+
+    r = np.random.default_rng(9)
+    v, t = unit(r.integers(-1, 2, (900, 6)).astype(float)), [None if i % 11 == 0 or i >= 890 else int(i * 37 % 101) for i in range(900)]
+    cut = [("a", 0, 600), ("b", 600, 890), ("c", 890, 900)]
+    blocks = [Rows(n, pa.array(np.arange(a, z)), v[a:z], pa.table({"t": pa.array(t[a:z], pa.int64())})) for n, a, z in cut]
+    g = v @ v.T
+    np.fill_diagonal(g, -np.inf)
+    made = []
+
+    def once(state):
+        class Counted(state):
+            def meet(self, s, m, b):
+                made.append(m.size)
+                super().meet(s, m, b)
+
+        return Counted
+
+    tell = lambda state: [x for lefts, rights in ((blocks[:2], blocks[:2]), (blocks[:2], blocks[2:]), (blocks[2:], blocks[2:])) for out in sm._mutual(state)(lefts, iter(rights)) for x in out.to_pylist()]
+    sums = tell(lambda rows: once(sm.Sums)(rows, 0.8))
+    assert sum(made) == 600 * 600 + 600 * 290 + 290 * 290 + 890 * 10 + 10 * 10
+    for i in range(900):
+        mine, near = [x for x in sums if x["id"] == i], np.flatnonzero(g[i] >= 0.8)
+        times = [t[j] for j in near if t[j] is not None]
+        assert abs(max(x["best"] for x in mine) - max(0.0, g[i].max())) < 1e-12 and sum(x["near"] for x in mine) == len(near)
+        assert [x for x in (min(x["first"] for x in mine), max(x["last"] for x in mine))] == ([min(times), max(times)] if times else [np.iinfo(np.int64).max, np.iinfo(np.int64).min])
+    near = tell(lambda rows: sm.Nearest(rows, 4, 0.3, 9))
+    for i in range(900):
+        want = sorted(((-round(g[i, j], 9), j) for j in range(900) if round(g[i, j], 9) >= 0.3))[:4]
+        assert sorted((-x["cosine"], x["other"]) for x in near if x["id"] == i)[:4] == want
