@@ -159,3 +159,27 @@ def test_blocks_that_meet_once_serve_both():
     for i in range(900):
         want = sorted(((-round(g[i, j], 9), j) for j in range(900) if round(g[i, j], 9) >= 0.3))[:4]
         assert sorted((-x["cosine"], x["other"]) for x in near if x["id"] == i)[:4] == want
+
+
+def test_passes_compute_vectors_once(spark, store):
+    """Sums, nearest and topics read a computed vector from where it was written; rows without one are left out."""
+    from mnemora.operators import consolidate as co
+    from mnemora.sources.schemas import SCHEMAS
+
+    mem, _ = store
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def counted(v: pd.Series) -> pd.Series:
+        made.add(len(v))
+        return v.map(lambda x: np.asarray(x, float) if x is not None else None)
+
+    mem = mem.withColumn("embedding", F.when(F.col("id") != "m03", F.col("embedding")))
+    live = mem.where("memory_type <> 'archive'").count()
+    shaped = mem.withColumn("embedding", counted("embedding"))
+    was = 0
+    for run in (lambda: co.neighbor_stats(shaped, NOW).select("id"), lambda: graph.semantic_edges(shaped, 0.1, 3, NOW).select(F.explode(F.array("src_id", "dst_id")).alias("id")), lambda: co.refine_topics({n: empty(spark, n) for n in SCHEMAS} | {"memory_items": shaped}, Config(), NOW)["memory_items"].select("id").where("id <> 'm03'")):
+        ids = {r["id"] for r in run().collect()}
+        assert ids and "m03" not in ids
+        assert made.value - was <= live + 1  # the archived one may be computed
+        was = made.value
